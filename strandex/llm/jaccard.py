@@ -128,7 +128,9 @@ def common(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
 
 
 def incidence(docs: DataFrame, k: int, percent: int, hot: np.ndarray, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, n, s1, s2, cols, sketch): size and 128-bit fingerprint of each set, its columns for the product in order, and its parity sketch."""
+    """(id, n, s1, s2, cols, last, sketch): size and 128-bit fingerprint of each set, its columns for the product in order,
+    the place of the last of them in the order of all columns, and its parity sketch.
+    """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(hot)
 
@@ -137,7 +139,7 @@ def incidence(docs: DataFrame, k: int, percent: int, hot: np.ndarray, text: str
         seen = np.zeros(1 << 22, bool)
         seen[(hot >> np.uint64(42)).astype(np.int64)] = True
         for pdf in batches:
-            out: dict[str, list] = {c: [] for c in ("id", "n", "s1", "s2", "cols", "sketch")}
+            out: dict[str, list] = {c: [] for c in ("id", "n", "s1", "s2", "cols", "last", "sketch")}
             for i, s in zip(pdf["i"], sets(list(pdf["t"]), k), strict=True):
                 n = len(s)
                 p = n - required(n, percent) + 1 if n else 0
@@ -154,11 +156,12 @@ def incidence(docs: DataFrame, k: int, percent: int, hot: np.ndarray, text: str
                 out["id"].append(i)
                 out["n"].append(n)
                 out["cols"].append(cols.view(np.int64))
+                out["last"].append(int(cols[-1] >> np.uint64(2)) + ((1 << 62) if p > n - late.sum() else 0) if n else 0)
                 out["sketch"].append(np.packbits(parity).view(np.int64))
             yield pd.DataFrame(out)
 
     kind = dict(docs.dtypes)[id]
-    return docs.select(F.col(id).alias("i"), F.col(text).alias("t")).mapInPandas(rows, f"id {kind}, n long, s1 long, s2 long, cols array<long>, sketch array<long>")
+    return docs.select(F.col(id).alias("i"), F.col(text).alias("t")).mapInPandas(rows, f"id {kind}, n long, s1 long, s2 long, cols array<long>, last long, sketch array<long>")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, k: int, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -204,10 +207,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
     rows = written(incidence(docs, k, percent, hot, text, id), "rows")
     # Equal sets are one row of the matrix. The smallest id stands for them.
     classes = written(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    heads = rows.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"])
-    inc = heads.select("id", "n", F.posexplode("cols").alias("pos", "col"))
-    shared = inc.groupBy("col").agg(F.count("*").alias("c"), F.min("id").alias("p1"), F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("id"))).getField("id").alias("p2")).where("c > 1")
-    block = written(inc.join(shared, "col").select("col", "id", "n", "pos", "p1", "p2"), "block")
+    heads = rows.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi")
+    inc = heads.select("id", "n", "last", F.posexplode("cols").alias("pos", "col"))
+    shared = inc.groupBy("col").agg(F.count("*").alias("c")).where("c > 1").select("col")
+    block = written(inc.join(shared, "col", "left_semi").select("col", "id", "n", "last", "pos"), "block")
+    # Columns of a row that no other row has in the product are lost to its overlap with rows whose columns go further.
+    most = block.groupBy("id").agg((F.max("n") - F.expr(f"max(n) - ceil({percent} * max(n) / 100) + 1") + F.count_distinct("col")).cast("long").alias("cap"))
+    block = written(block.join(most, "id"), "block")
 
     sketch = written(heads.join(block.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"), "sketch")
 
@@ -222,24 +228,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
         most = f"(na + nb) - 2 * cast(ceil({percent} * (na + nb) / {100 + percent}) as bigint)"
         return pairs.join(x, "a").join(y, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(differ <= F.expr(most)).select("a", "b").distinct()
 
+    # Overlap is at most the cap of the row whose columns end first.
+    fits = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * CASE WHEN x.last < y.last THEN x.cap
+        WHEN x.last > y.last THEN y.cap ELSE greatest(x.cap, y.cap) END >= {percent} * (x.n + y.n)"""
+    own = F.struct("id", "n", "last", "cap")
+    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+
     # Block one: each column times two of its rows.
-    one = block.select("id", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("p")).where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    two_rows = block.groupBy("col").agg(F.min(own).alias("p1"), F.max(own).alias("p2"))
+    one = block.select("col", own.alias("x")).join(two_rows, "col").select("x", F.explode(F.array("p1", "p2")).alias("y"))
+    one = one.where("x.id <> y.id").where(fits).select(*pair).distinct()
     tried = written(plausible(one), "pairs")
     near = written(_verified(tried, docs, k, percent, text, id), "links")
     label = components(near)
 
     # Block two: rows of different components in a column. Most columns have one component by now.
-    named = block.select("col", "id", "n", "pos").join(label, "id", "left").select("col", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+    named = block.join(label, "id", "left").select("col", "id", "n", "last", "cap", "pos", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("col").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("col")
     named = written(named.join(mixed, "col", "left_semi"), "mixed")
     kinds = named.select("col", "c").distinct()
     meet = kinds.alias("u").join(kinds.alias("v"), F.expr("u.col = v.col AND u.c < v.c")).select("u.col", F.col("u.c").alias("c1"), F.col("v.c").alias("c2"))
-    left = named.select("col", F.col("c").alias("c1"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("ix"))
-    right = named.select("col", F.col("c").alias("c2"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("iy"))
-    # The first shared column of a pair leaves min(rest of x, rest of y) for the overlap.
-    bound = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND {100 + percent} * (1 + least(nx - ix - 1, ny - iy - 1) + least(ix, iy)) >= {percent} * (nx + ny)"
-    two = meet.join(left, ["col", "c1"]).join(right, ["col", "c2"]).where(bound)
-    two = two.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("overlap")).select("a", "b")
+    # A shared column leaves the rests of x and y behind it for the overlap, and what may be shared before it.
+    places = f"{100 + percent} * (1 + least(x.n - x.pos - 1, y.n - y.pos - 1) + least(x.pos, y.pos)) >= {percent} * (x.n + y.n)"
+    x = meet.join(named.withColumnRenamed("c", "c1"), ["col", "c1"]).alias("x")
+    two = x.join(named.alias("y"), F.expr(f"x.col = y.col AND x.c2 = y.c AND {fits} AND {places}"))
+    two = two.groupBy(*pair).agg(F.count("*").alias("overlap")).select("a", "b")
     rest = written(plausible(two.join(tried, ["a", "b"], "left_anti")), "pairs")
     far = written(_verified(rest, docs, k, percent, text, id), "links")
     links = near.unionByName(far)
