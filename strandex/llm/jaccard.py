@@ -13,6 +13,7 @@ prove that its overlap stays under the bound. What is left is compared on whole
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from .base import components, forget, written
 HOT = 1 << 18  # columns that are put last; bounds what is broadcast to 2 MB
 FLUSH = 2_000_000  # n-grams whose repeats are counted at once in a task
 BITS = 1024
+FEW = 16  # components in a column, up to which its rows are joined by pairs of components
 
 _SEED = np.random.default_rng(20240229)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -208,25 +210,30 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
     # Equal sets are one row of the matrix. The smallest id stands for them.
     classes = written(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
     heads = rows.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi")
+    # A row needs another in its column that is near in size. Sizes that may link fall in one of 64 cyclic bands or two
+    # neighbouring ones; where a column has a row for each band that it has, a row without a neighbour is alone.
+    band = F.pmod(F.floor(F.log(F.col("n")) / F.lit(-math.log(percent / 100 - 0.005))), F.lit(64)).cast("int")
     inc = heads.select("id", "n", "last", F.posexplode("cols").alias("pos", "col"))
-    shared = inc.groupBy("col").agg(F.count("*").alias("c")).where("c > 1").select("col")
-    block = written(inc.join(shared, "col", "left_semi").select("col", "id", "n", "last", "pos"), "block")
-    # Columns of a row that no other row has in the product are lost to its overlap with rows whose columns go further.
+    shared = inc.groupBy("col").agg(F.count("*").alias("c"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), band)).alias("bands")).where("c > 1")
+    bit = lambda d: F.call_function("getbit", "bands", F.pmod(band + d, F.lit(64))) == 1
+    met = inc.join(shared, "col").where((F.col("c") > F.bit_count("bands")) | bit(1) | bit(-1))
+    block = written(met.select("col", "id", "n", "last", "pos"), "block")
+    # Columns of a row that no other row shares are lost to its overlap with rows whose columns go further.
     most = block.groupBy("id").agg((F.max("n") - F.expr(f"max(n) - ceil({percent} * max(n) / 100) + 1") + F.count_distinct("col")).cast("long").alias("cap"))
     block = written(block.join(most, "id"), "block")
 
     sketch = written(heads.join(block.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"), "sketch")
 
+    def parity(x: str, y: str, nx: str, ny: str) -> str:
+        """The sketches differ in no more bits than two linking sets of these sizes have elements in one of them only."""
+        differ = " + ".join(f"bit_count({x}[{w}] ^ {y}[{w}])" for w in range(BITS // 64))
+        return f"{differ} <= {nx} + {ny} - 2 * cast(ceil({percent} * ({nx} + {ny}) / {100 + percent}) as bigint)"
+
     def plausible(pairs: DataFrame) -> DataFrame:
         """Discard pairs of (a, b) by size and by the parity of their symmetric difference, which the set bits never exceed."""
         x = sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
         y = sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-        differ = F.lit(0)
-        for w in range(BITS // 64):
-            differ = differ + F.bit_count(F.get("x", F.lit(w)).bitwiseXOR(F.get("y", F.lit(w))))
-        # overlap o >= t (na + nb) / (1 + t), and |difference| = na + nb - 2 o
-        most = f"(na + nb) - 2 * cast(ceil({percent} * (na + nb) / {100 + percent}) as bigint)"
-        return pairs.join(x, "a").join(y, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(differ <= F.expr(most)).select("a", "b").distinct()
+        return pairs.join(x, "a").join(y, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {parity('x', 'y', 'na', 'nb')}").select("a", "b").distinct()
 
     # Overlap is at most the cap of the row whose columns end first.
     fits = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * CASE WHEN x.last < y.last THEN x.cap
@@ -244,15 +251,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
 
     # Block two: rows of different components in a column. Most columns have one component by now.
     named = block.join(label, "id", "left").select("col", "id", "n", "last", "cap", "pos", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("col").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("col")
-    named = written(named.join(mixed, "col", "left_semi"), "mixed")
-    kinds = named.select("col", "c").distinct()
-    meet = kinds.alias("u").join(kinds.alias("v"), F.expr("u.col = v.col AND u.c < v.c")).select("u.col", F.col("u.c").alias("c1"), F.col("v.c").alias("c2"))
+    kinds = named.groupBy("col", "c").agg(F.lit(1).alias("one"))
+    mixed = kinds.groupBy("col").agg(F.count("*").alias("k")).where("k > 1")
+    named = written(named.join(mixed, "col").join(sketch.select("id", "sketch").distinct(), "id"), "mixed")
     # A shared column leaves the rests of x and y behind it for the overlap, and what may be shared before it.
     places = f"{100 + percent} * (1 + least(x.n - x.pos - 1, y.n - y.pos - 1) + least(x.pos, y.pos)) >= {percent} * (x.n + y.n)"
-    x = meet.join(named.withColumnRenamed("c", "c1"), ["col", "c1"]).alias("x")
-    two = x.join(named.alias("y"), F.expr(f"x.col = y.col AND x.c2 = y.c AND {fits} AND {places}"))
-    two = two.groupBy(*pair).agg(F.count("*").alias("overlap")).select("a", "b")
+    linkable = f"{fits} AND {places} AND {parity('x.sketch', 'y.sketch', 'x.n', 'y.n')}"
+    # Columns of few components, which may be large, are joined by component, so that rows of one never meet.
+    few, many = named.where(f"k <= {FEW}"), named.where(f"k > {FEW}")
+    kinds = few.select("col", "c").distinct()
+    meet = kinds.alias("u").join(kinds.alias("v"), F.expr("u.col = v.col AND u.c < v.c")).select("u.col", F.col("u.c").alias("c1"), F.col("v.c").alias("c2"))
+    x = meet.join(few.withColumnRenamed("c", "c1"), ["col", "c1"]).alias("x")
+    two = x.join(few.alias("y"), F.expr(f"x.col = y.col AND x.c2 = y.c AND {linkable}")).select(*pair)
+    two = two.unionByName(many.alias("x").join(many.alias("y"), F.expr(f"x.col = y.col AND x.c < y.c AND {linkable}")).select(*pair))
+    two = two.groupBy("a", "b").agg(F.count("*").alias("overlap")).select("a", "b")
     rest = written(plausible(two.join(tried, ["a", "b"], "left_anti")), "pairs")
     far = written(_verified(rest, docs, k, percent, text, id), "links")
     links = near.unionByName(far)
