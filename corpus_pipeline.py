@@ -40,7 +40,7 @@ TARGETS = tuple(mixing.Domain(d.name, d.where, {"clean": 0.96, "toxic": 0.01, "l
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says, by the target weights of the domains."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    n = mixing.mix(docs, labels, TARGETS, at_present=("clean",)).groupBy("doc_id").agg(F.max("copies").alias("__sx_copies"))
+    n = mixing.mix(docs, labels, TARGETS, at_present=("clean",), most=2.0).groupBy("doc_id").agg(F.max("copies").alias("__sx_copies"))
     out = docs.join(n.where("__sx_copies > 0"), "doc_id")
     return out.withColumn("__sx_copy", F.explode(F.sequence(F.lit(1), "__sx_copies"))).select(*docs.columns)
 

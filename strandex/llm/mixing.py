@@ -9,6 +9,7 @@ themselves are a function of posteriors and those sums, so that no rate is ever
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,6 +22,7 @@ EVIDENCE = 48.0  # words that a document's evidence counts for, at most: longer
 ALPHA = 0.5
 PULL = 1e-3
 ROUNDS = 30
+MOST = 8.0  # copies of a document, at most: a domain that is nearly absent can't be had by repeating a few of its documents
 
 
 @dataclass(frozen=True)
@@ -60,8 +62,6 @@ def fit(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAIN
     wide = written(wide, "buckets")
     total = wide.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(size))).first()
     rows = {r["k"]: r["n"] for r in chosen.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    import math
-
     prior = [math.log((rows.get(k, 0) + 1) / (sum(rows.values()) + size)) for k in range(size)]
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(wide), "bucket", "left")
     model = every.select("bucket", *(F.log((F.coalesce(f"n{k}", F.lit(0)) + ALPHA) / F.lit(float(total[k] + ALPHA * BUCKETS))).alias(f"w{k}") for k in range(size)))
@@ -86,11 +86,11 @@ def posteriors(docs: DataFrame, model: DataFrame, prior: list[float], keep: tupl
     return soft.select("row", *keep, "n_tokens", *((F.col(f"e{k}") / norm).alias(f"p{k}") for k in range(size)))
 
 
-def rates(post: DataFrame, weights: list[float], total: float | None = None, rounds: int = ROUNDS, pull: float = PULL) -> tuple[Column, list[float]]:
+def rates(post: DataFrame, weights: list[float], total: float | None = None, rounds: int = ROUNDS, pull: float = PULL, most: float = MOST) -> tuple[Column, list[float]]:
     """The rate of a row of `post` as a column, and the expected share of each domain that it gives.
 
     Minimises the sum over domains of (share - target)^2 / present share, plus pull * the token-weighted mean of
-    (rate - 1)^2, with rates of 0 or more. In the token-weighted metric the largest curvature is 1 + pull, so that the
+    (rate - 1)^2, with rates from 0 to `most`. In the token-weighted metric the largest curvature is 1 + pull, so that the
     step 1 / (1 + pull) needs no search. `total` is the tokens wanted, by default those there are. Shares are of that.
     """
     size = len(weights)
@@ -108,7 +108,7 @@ def rates(post: DataFrame, weights: list[float], total: float | None = None, rou
     for _ in range(rounds):
         push = [step * (s - w) / m for s, w, m in zip(share, wanted, there, strict=True)]
         move = sum((F.lit(-c) * F.col(f"p{k}") for k, c in enumerate(push)), F.lit(step * pull))
-        rate = F.greatest(F.lit(0.0), rate * F.lit(keep) + move)
+        rate = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), rate * F.lit(keep) + move))
         now = [float(x) / tokens for x in post.agg(*sums(rate)).first()]
         still = max(abs(a - b) for a, b in zip(now, share, strict=True))
         share = now
@@ -128,7 +128,7 @@ def copies(rate: Column, id: Column, seed: int = 17, snap: float = 0.02) -> Colu
     return F.when(F.abs(rate - near) <= snap, near).otherwise(F.floor(rate) + (draw < rest).cast("int")).cast("long")
 
 
-def mix(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAINS, total: float | None = None, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, at_present: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAINS, total: float | None = None, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, at_present: tuple[str, ...] = (), most: float = MOST) -> DataFrame:
     """`keep`, n_tokens, a posterior p_<name> for each domain, rate and copies; a row for each row of `docs`.
 
     Domains in `at_present` are wanted with the tokens that they have, and take no part in the sharing out of `total`.
@@ -143,7 +143,7 @@ def mix(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAIN
         share = sum(d.weight for d in domains if d.name in at_present)
         total = fixed / share if share and fixed else total
         weights = [row[k] / total if d.name in at_present and total else d.weight for k, d in enumerate(domains)]
-    rate, _ = rates(post, weights, total)
+    rate, _ = rates(post, weights, total, most=most)
     out = post.select(*keep, "n_tokens", *(F.col(f"p{k}").alias(f"p_{d.name}") for k, d in enumerate(domains)), rate.alias("rate"), F.col("row"))
     return out.withColumn("copies", copies(F.col("rate"), F.col(keep[0]))).drop("row")
 

@@ -45,7 +45,7 @@ STANDARD = Policy("standard-1", tuple(BIT))
 LENIENT = Policy("lenient-1", ("few_words", "repeated_spans", "symbols"))
 
 
-def _repeated(ws: str, size: str, hashes: str) -> Column:
+def _repeated(hashes: str) -> Column:
     """Words inside windows of SPAN words that the text holds twice or more, every occurrence counted.
 
     `hashes` are the 64-bit hashes of the windows. Two different windows of one text sharing a hash would be counted
@@ -77,19 +77,20 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     for s in SYMBOLS:
         bare = F.replace(bare, F.lit(s), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    one = docs.select(*keep, words(F.col(text)).alias("_w"), (F.length(t) - F.length(bare)).cast("long").alias("n_symbols"), lines.alias("_l"))
-    at = lambda i, k: F.get("_w", i + k)
-    windows = F.when(F.size("_w") >= SPAN, F.transform(F.sequence(F.lit(0), F.size("_w") - SPAN), lambda i: F.xxhash64(*(at(i, k) for k in range(SPAN))))).otherwise(F.array().cast("array<bigint>"))
-    two = one.select(
-        *keep,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        "n_symbols",
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        windows.alias("_h"),
+    one = docs.select(*keep, words(F.col(text)).alias("__sx_w"), (F.length(t) - F.length(bare)).cast("long").alias("__sx_s"), lines.alias("__sx_l"))
+    at = lambda i, k: F.get("__sx_w", i + k)
+    windows = F.when(F.size("__sx_w") >= SPAN, F.transform(F.sequence(F.lit(0), F.size("__sx_w") - SPAN), lambda i: F.xxhash64(*(at(i, k) for k in range(SPAN))))).otherwise(F.array().cast("array<bigint>"))
+    two = one.select(*keep, "__sx_w", "__sx_s", "__sx_l", windows.alias("__sx_h"))
+    # A generator of one row: filters on what it makes stay above it, and so never compute a measurement again.
+    measured = F.struct(
+        F.size("__sx_w").cast("long").alias("n_words"),
+        F.length(F.array_join("__sx_w", "")).cast("long").alias("word_chars"),
+        F.col("__sx_s").alias("n_symbols"),
+        F.size("__sx_l").cast("long").alias("n_lines"),
+        (F.size("__sx_l") - F.size(F.array_distinct("__sx_l"))).cast("long").alias("n_dup_lines"),
+        _repeated("__sx_h").alias("n_repeat_words"),
     )
-    three = two.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", _repeated("_w", "n_words", "_h").alias("n_repeat_words"))
+    three = two.select(*keep, F.inline(F.array(measured)))
     bits = F.lit(0).cast("long")
     for name, test in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(test), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
