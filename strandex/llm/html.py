@@ -3,7 +3,8 @@
 Markup is stripped into lines, one for each block element. A line weighs as many characters as it has text outside
 boilerplate: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments and link lists weigh
 nothing, and neither does what stands outside the page's article, if it has one. The weights of a sliding window of
-lines are summed; text surges where a window's sum passes the threshold and goes on, and dives where the weights end.
+lines are summed; text surges at a heading or a line of some length where a window's sum passes the threshold, and dives
+where the weights end. On pages that mark no article, the characters of links weigh nothing either.
 What stands between a surge and its dive is kept, whatever the length of its single lines.
 """
 
@@ -49,17 +50,21 @@ def _boilerplate(tag: str, attrs: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in boilerplate, in an article) of each block of a page, in order; no line is empty."""
-    out: list[tuple[str, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, bool, bool, bool, int]]:
+    """(text, in boilerplate, in an article, is a heading, characters of links) of each block of a page, in order; no line is empty."""
+    out: list[tuple[str, bool, bool, bool, int]] = []
     stack: list[tuple[str, bool, bool]] = []
     held: list[str] = []
+    links = 0
 
     def flush() -> None:
+        nonlocal links
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, stack[-1][1] if stack else False, stack[-1][2] if stack else False))
+            heading = any(re.fullmatch("h[1-6]", t) for t, _, _ in stack[-3:])
+            out.append((text, stack[-1][1] if stack else False, stack[-1][2] if stack else False, heading, min(links, len(text))))
+        links = 0
 
     def close(k: int) -> None:
         if any(t not in _INLINE for t, _, _ in stack[k:]):
@@ -69,6 +74,8 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     at = 0
     while m := _TOKEN.search(page, at):
         held.append(page[at : m.start()])
+        if stack and stack[-1][0] == "a":
+            links += m.start() - at
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -113,13 +120,13 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 def main_text(page: str | None) -> str:
     """The text between surges and dives, blocks joined by one space; empty for null pages and pages without any."""
     blocks = lines(page or "")
-    marked = any(inside and not bad for _, bad, inside in blocks)
-    weight = [0 if bad or marked and not inside else len(text) for text, bad, inside in blocks]
+    marked = any(inside and not bad for _, bad, inside, _, _ in blocks)
+    weight = [0 if bad or marked and not inside else len(text) - (0 if marked else link) for text, bad, inside, _, link in blocks]
     need = 1 if marked else min(SURGE, max((sum(weight[i : i + WINDOW]) for i in range(len(weight))), default=0))
     kept: list[str] = []
     i, n = 0, len(weight)
     while i < n:
-        if not weight[i] or sum(weight[i : i + WINDOW]) < need:
+        if not weight[i] or sum(weight[i : i + WINDOW]) < need or not (blocks[i][3] or WINDOW * weight[i] >= need):
             i += 1
             continue
         while i < n and any(weight[i : i + WINDOW]):  # until the dive
