@@ -3,8 +3,8 @@
 topk TEXT K [--mode exact|node|levelwise] [--longest L]     exact top-K
 sample TEXT K STRIDE [--pruned]                             by sampled positions
 sketch TEXT K                                               by a sketch; also written beside the text
-usi TEXT WEIGHTS|random PATTERNS [K [STRIDE]]               utilities, with a table of the K most frequent substrings
-usi TEXT WEIGHTS|random random:COUNT:MIN:MAX [K [STRIDE]]   the same for random patterns
+utility TEXT WEIGHTS|random PATTERNS [K [STRIDE]]               utilities, with a table of the K most frequent substrings
+utility TEXT WEIGHTS|random random:COUNT:MIN:MAX [K [STRIDE]]   the same for random patterns
 replay TEXT WEIGHTS|random K PATTERNS --policy lru|lfu|sketch
 """
 
@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--mode", choices=("exact", "node", "levelwise"), default="node")
         if name == "sample":
             c.add_argument("--pruned", action="store_true")
-    c = sub.add_parser("usi")
+    c = sub.add_parser("utility")
     for n in ("text", "weights", "patterns"):
         c.add_argument(n)
     c.add_argument("k", type=int, nargs="?", default=0)

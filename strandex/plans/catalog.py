@@ -61,15 +61,15 @@ def random_patterns(spark, d):
     return files.random_patterns(benchmark(spark, d), 500, 3, 12)
 
 
-def usi_pattern_utility(spark, d):
+def pattern_utility(spark, d):
     return utility.answers(documents(spark, d), patterns(spark))
 
 
-def usi_utility_by_lang(spark, d):
+def utility_by_lang(spark, d):
     return utility.pattern_utility(documents(spark, d), patterns(spark), ("lang",))
 
 
-def usi_position_weights(spark, d):
+def utility_position_weights(spark, d):
     """Weights by position, not by symbol."""
     b = benchmark(spark, d)
     w = files.weight_rows(b).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"].cast("double")).alias("weights"))
@@ -138,7 +138,7 @@ def topk_approx(spark, d):
     return sketch.approximate(documents(spark, d), K, 4)
 
 
-def usi_table_answer(spark, d):
+def table_answer(spark, d):
     table = _utility_table(spark, d).persist()
     return utility.table_answers(documents(spark, d), patterns(spark), table)
 
@@ -193,7 +193,7 @@ def lcp_array(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        usi_pattern_utility, usi_utility_by_lang, usi_position_weights, usi_table_answer, pattern_positions, char_alphabet, weight_prefix_sums, random_weights, random_patterns, gram_counts, topk_exact, topk_nodes,
+        pattern_utility, utility_by_lang, utility_position_weights, table_answer, pattern_positions, char_alphabet, weight_prefix_sums, random_weights, random_patterns, gram_counts, topk_exact, topk_nodes,
         topk_summary, topk_utility_table, topk_levelwise, topk_levelwise_unbounded, topk_sampled, topk_sampled_pruned, topk_recall, topk_heavykeeper, topk_approx, topk_rollup, cache_lru_replay, cache_lru_evictions,
         cache_lfu_replay, cache_sketch_replay, kr_fingerprint, kr_composition, suffix_array, lcp_array,
     )
@@ -257,12 +257,12 @@ _HASH = f"(item_id * 1103515 + pos * 40503 + 12345) % 1000003"
 _QUERY_HASH = "((query_id * {} + 12345) % 1000003)"
 
 ORACLES: dict[str, str] = {
-    "usi_pattern_utility": f"WITH {_found()}, o AS (SELECT pattern, count(*) AS n FROM f GROUP BY pattern) SELECT query_id, p.pattern, coalesce(n, 0)::BIGINT AS occurrences, (coalesce(n, 0) * {_GRAM_WEIGHT.format('p.pattern')})::BIGINT AS utility FROM p LEFT JOIN o ON p.pattern = o.pattern",
-    "usi_utility_by_lang": f"WITH {_found(', lang')} SELECT lang, pattern, count(*) AS occurrences, (count(*) * {_GRAM_WEIGHT.format('pattern')})::BIGINT AS utility FROM f GROUP BY lang, pattern",
-    "usi_position_weights": f"""WITH {_PATTERNS}, {_grams("benchmark", "item_id", max(_LENGTHS), "", ", ".join(map(str, _LENGTHS)))}, w AS (SELECT item_id, pos, [70, 75, 80, 85, 90, 95, 100][(({_HASH}) * ({_HASH})) % 1000003 % 7 + 1] AS w FROM c),
+    "pattern_utility": f"WITH {_found()}, o AS (SELECT pattern, count(*) AS n FROM f GROUP BY pattern) SELECT query_id, p.pattern, coalesce(n, 0)::BIGINT AS occurrences, (coalesce(n, 0) * {_GRAM_WEIGHT.format('p.pattern')})::BIGINT AS utility FROM p LEFT JOIN o ON p.pattern = o.pattern",
+    "utility_by_lang": f"WITH {_found(', lang')} SELECT lang, pattern, count(*) AS occurrences, (count(*) * {_GRAM_WEIGHT.format('pattern')})::BIGINT AS utility FROM f GROUP BY lang, pattern",
+    "utility_position_weights": f"""WITH {_PATTERNS}, {_grams("benchmark", "item_id", max(_LENGTHS), "", ", ".join(map(str, _LENGTHS)))}, w AS (SELECT item_id, pos, [70, 75, 80, 85, 90, 95, 100][(({_HASH}) * ({_HASH})) % 1000003 % 7 + 1] AS w FROM c),
 o AS (SELECT g.substr, count(DISTINCT (g.item_id, g.pos)) AS n, sum(w.w) AS u FROM g JOIN w ON g.item_id = w.item_id AND w.pos BETWEEN g.pos AND g.pos + g.len - 1 WHERE g.substr IN (SELECT pattern FROM p) GROUP BY g.substr)
 SELECT query_id, pattern, coalesce(n, 0)::BIGINT AS occurrences, coalesce(u, 0)::BIGINT AS utility FROM p LEFT JOIN o ON p.pattern = o.substr""",
-    "usi_table_answer": f"""WITH {_TABLE}, {_PATTERNS}, o AS (SELECT p.query_id, p.pattern, (SELECT sum((length(d.text) - length(replace(d.text, p.pattern, ''))) // length(p.pattern)) FROM documents d) AS n FROM p)
+    "table_answer": f"""WITH {_TABLE}, {_PATTERNS}, o AS (SELECT p.query_id, p.pattern, (SELECT sum((length(d.text) - length(replace(d.text, p.pattern, ''))) // length(p.pattern)) FROM documents d) AS n FROM p)
 SELECT o.query_id, o.pattern, coalesce(h.utility, n * {_GRAM_WEIGHT.format('o.pattern')})::BIGINT AS utility, CASE WHEN h.utility IS NULL THEN 'index' ELSE 'table' END AS source FROM o LEFT JOIN h ON h.substr = o.pattern""",
     "pattern_positions": f"WITH {_found()} SELECT pattern, doc_id, pos FROM f WHERE pattern IN ('schein', 'Licensed under', 'ción', 'on the')",
     "char_alphabet": f"WITH {_chars('documents', 'doc_id')} SELECT ch, count(*) AS freq FROM c GROUP BY ch",

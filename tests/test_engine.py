@@ -205,9 +205,9 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "p").write_text("ba\na\nana\nn\nan\n")
     t, w, p = (str(tmp_path / x) for x in "twp")
     want = [4, 7, 18, 8, 14]
-    for argv in (["usi", t, w, p], ["usi", t, w, p, "3"], ["usi", t, w, p, "3", "2"], ["replay", t, w, "2", p]):
+    for argv in (["utility", t, w, p], ["utility", t, w, p, "3"], ["utility", t, w, p, "3", "2"], ["replay", t, w, "2", p]):
         assert [r["utility"] for r in cli.run(spark, argv).orderBy("query_id").collect()] == want
-    assert cli.run(spark, ["usi", t, "random", "random:5:1:3", "2"]).count() == 5
+    assert cli.run(spark, ["utility", t, "random", "random:5:1:3", "2"]).count() == 5
     assert cli.run(spark, ["topk", t, "3"]).count() == 3
     assert cli.run(spark, ["sample", t, "3", "2", "--pruned"]).count() == 3
 
