@@ -12,16 +12,17 @@ from strandex.functions.symbols import symbols
 
 from .lineage import spread
 
-BLOCK = 256
+BLOCK = 64  # starts in a block, or four times what the longest substring needs if that is more
 
 
 def blocks(corpus: DataFrame, reach: int, keep: tuple[str, ...] = (), text: str = "text", id: str = "doc_id", weights: str | None = None) -> DataFrame:
     """(doc_id, keep, start, own, block[, w]): every text in pieces of `own` starts and reach - 1 more symbols."""
     texts = spread(corpus.where(F.length(text) > 0).select(F.col(id).alias("doc_id"), *keep, F.col(text).alias("_t"), *([F.col(weights).alias("_w")] if weights else [])))
     arr = texts.withColumn("_s", symbols(F.col("_t")))
-    cut = lambda a, s: F.slice(a, s + 1, F.lit(BLOCK + reach - 1))
-    fields = lambda s: [s.cast("long").alias("start"), F.least(F.lit(BLOCK), F.size("_s") - s).alias("own"), F.array_join(cut("_s", s), "").alias("block")] + ([cut("_w", s).alias("w")] if weights else [])
-    return arr.select("doc_id", *keep, F.explode(F.transform(F.sequence(F.lit(0), F.size("_s") - 1, F.lit(BLOCK)), lambda s: F.struct(*fields(s)))).alias("b")).select("doc_id", *keep, "b.*")
+    size = max(BLOCK, 4 * reach)
+    cut = lambda a, s: F.slice(a, s + 1, F.lit(size + reach - 1))
+    fields = lambda s: [s.cast("long").alias("start"), F.least(F.lit(size), F.size("_s") - s).alias("own"), F.array_join(cut("_s", s), "").alias("block")] + ([cut("_w", s).alias("w")] if weights else [])
+    return arr.select("doc_id", *keep, F.explode(F.transform(F.sequence(F.lit(0), F.size("_s") - 1, F.lit(size)), lambda s: F.struct(*fields(s)))).alias("b")).select("doc_id", *keep, "b.*")
 
 
 def grams(corpus: DataFrame, lengths: list[int], keep: tuple[str, ...] = (), text: str = "text", id: str = "doc_id", weights: str | None = None, first: list[str] | None = None, where: Column | None = None) -> DataFrame:

@@ -5,14 +5,17 @@ U(P) is the sum, over all occurrences of P in all texts, of the weights of the s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strandex.functions.symbols import gram_weight
 
 from .grams import grams
+from .lineage import spread
 
 #: Pattern lists up to this many distinct rows are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Lists up to this many distinct patterns are counted by scanning each text once for each of them.
+DIRECT = 64
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -35,11 +38,35 @@ def matches(corpus: DataFrame, patterns: DataFrame, keep: tuple[str, ...] = (),
     return rows.join(_small(distinct.withColumnRenamed("pattern", "substr")), "substr").select("doc_id", *keep, "pos", F.col("substr").alias("pattern"), *(["w"] * bool(weights)))
 
 
+def _occurrences(text: Column, pattern: str) -> Column:
+    """How often a pattern occurs in a text, overlaps included.
+
+    A pattern no proper prefix of which is its suffix can't overlap itself, so that removing it counts it.
+    """
+    if any(pattern.startswith(pattern[-n:]) for n in range(1, len(pattern))):
+        quoted = pattern.replace("\\E", "\\E\\\\E\\Q")
+        return F.regexp_count(text, F.lit(f"(?=\\Q{quoted}\\E)"))
+    left = F.length(F.replace(text, F.lit(pattern), F.lit("")))
+    return ((F.length(text) - left) / len(pattern)).cast("long")
+
+
+def _counted(corpus: DataFrame, patterns: list[str], by: tuple[str, ...], text: str) -> DataFrame:
+    """(by, pattern, occurrences) for a short list: one pass, and one row for each group and task in the shuffle."""
+    sums = [F.sum(_occurrences(F.col(text), p)).alias(f"_{i}") for i, p in enumerate(patterns)]
+    wide = spread(corpus.select(*by, text)).groupBy(*by).agg(*sums)
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("pattern"), F.coalesce(f"_{i}", F.lit(0)).cast("long").alias("occurrences")) for i, p in enumerate(patterns))))
+    return wide.select(*by, each.alias("x")).select(*by, "x.*").where("occurrences > 0")
+
+
 def pattern_utility(corpus: DataFrame, patterns: DataFrame, by: tuple[str, ...] = (), text: str = "text", id: str = "doc_id", weights: str | None = None) -> DataFrame:
     """(by, pattern, occurrences, utility) of the patterns that occur. Without `weights` a symbol's weight depends on the symbol.
 
     Then an occurrence's utility is its pattern's, and counts are all that is shuffled.
     """
+    if not weights:
+        few = [r["pattern"] for r in patterns.where(F.length("pattern") > 0).select("pattern").distinct().limit(DIRECT + 1).collect()]
+        if 0 < len(few) <= DIRECT:
+            return _counted(corpus, sorted(few), by, text).withColumn("utility", F.col("occurrences") * gram_weight(F.col("pattern")))
     found = matches(corpus, patterns, by, text, id, weights)
     if weights:
         own = F.aggregate("w", F.lit(0).cast("double"), lambda a, x: a + x)
