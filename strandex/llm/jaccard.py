@@ -25,6 +25,8 @@ from .base import components, forget, written
 HOT = 1 << 18  # columns that are put last; bounds what is broadcast to 2 MB
 FLUSH = 2_000_000  # n-grams whose repeats are counted at once in a task
 BITS = 1024
+FOLDED = 256  # bits of a sketch while rows of a column meet
+BROADCAST_IDS = 1_000_000  # candidates (16 MB) up to which texts are picked where they are; beyond, they are shuffled
 FEW = 16  # components in a column, up to which its rows are joined by pairs of components
 
 _SEED = np.random.default_rng(20240229)
@@ -174,13 +176,15 @@ def whole_sets(docs: DataFrame, ids: DataFrame, k: int, text: str = "text", id:
             yield pd.DataFrame({"id": pdf["i"], "grams": [s.view(np.int64) for s in sets(list(pdf["t"]), k)]})
 
     kind = dict(docs.dtypes)[id]
-    some = docs.select(F.col(id).alias("i"), F.col(text).alias("t")).join(ids.select(F.col("id").alias("i")), "i", "left_semi")
+    wanted = ids.select(F.col("id").alias("i"))
+    wanted = F.broadcast(wanted) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else wanted
+    some = docs.select(F.col(id).alias("i"), F.col(text).alias("t")).join(wanted, "i", "left_semi")
     return some.mapInPandas(rows, f"id {kind}, grams array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str, id: str) -> DataFrame:
     """Of (a, b) those whose whole sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     full = written(whole_sets(docs, ids, k, text, id), "sets")
 
     def exact(batches):
@@ -224,9 +228,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
 
     sketch = written(heads.join(block.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"), "sketch")
 
-    def parity(x: str, y: str, nx: str, ny: str) -> str:
+    def parity(x: str, y: str, nx: str, ny: str, bits: int = BITS) -> str:
         """The sketches differ in no more bits than two linking sets of these sizes have elements in one of them only."""
-        differ = " + ".join(f"bit_count({x}[{w}] ^ {y}[{w}])" for w in range(BITS // 64))
+        differ = " + ".join(f"bit_count({x}[{w}] ^ {y}[{w}])" for w in range(bits // 64))
         return f"{differ} <= {nx} + {ny} - 2 * cast(ceil({percent} * ({nx} + {ny}) / {100 + percent}) as bigint)"
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -253,10 +257,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
     named = block.join(label, "id", "left").select("col", "id", "n", "last", "cap", "pos", F.coalesce("component", "id").alias("c"))
     kinds = named.groupBy("col", "c").agg(F.lit(1).alias("one"))
     mixed = kinds.groupBy("col").agg(F.count("*").alias("k")).where("k > 1")
-    named = written(named.join(mixed, "col").join(sketch.select("id", "sketch").distinct(), "id"), "mixed")
+    # Folding a parity sketch by exclusive or gives the parity sketch of fewer bits.
+    step = FOLDED // 64
+    folded = F.array(*(F.expr(" ^ ".join(f"sketch[{w}]" for w in range(i, BITS // 64, step))) for i in range(step)))
+    named = written(named.join(mixed, "col").join(sketch.select("id", folded.alias("sketch")).distinct(), "id"), "mixed")
     # A shared column leaves the rests of x and y behind it for the overlap, and what may be shared before it.
     places = f"{100 + percent} * (1 + least(x.n - x.pos - 1, y.n - y.pos - 1) + least(x.pos, y.pos)) >= {percent} * (x.n + y.n)"
-    linkable = f"{fits} AND {places} AND {parity('x.sketch', 'y.sketch', 'x.n', 'y.n')}"
+    linkable = f"{fits} AND {places} AND {parity('x.sketch', 'y.sketch', 'x.n', 'y.n', FOLDED)}"
     # Columns of few components, which may be large, are joined by component, so that rows of one never meet.
     few, many = named.where(f"k <= {FEW}"), named.where(f"k > {FEW}")
     kinds = few.select("col", "c").distinct()
