@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandex.functions import fingerprint
 from strandex.functions.symbols import symbol_weight, symbols
-from strandex.operators import cache, grams, sketch, suffixes, topk, utility
+from strandex.operators import cache, grams, prefix, sketch, suffixes, topk, utility
 from strandex.sources import files
 
 PATTERNS = ("the", "a", "ion", "zzzq", "e ", "tion", "the ", "er", "on the", "schein", "eau", "ción", "Licensed under", "and of", "xyz", "the", "é", "\n")
@@ -48,9 +48,8 @@ def char_alphabet(spark, d):
 
 def weight_prefix_sums(spark, d):
     rows = benchmark(spark, d).select("doc_id", F.posexplode(symbols(F.col("text"))).alias("pos", "ch"))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select(F.col("doc_id"), F.col("pos").cast("long").alias("pos"), symbol_weight(F.col("ch")).alias("w"))
-    return rows.select(F.col("doc_id").alias("item_id"), "pos", "w", F.sum("w").over(w).alias("ps"))
+    return prefix.prefix_sums(rows, 128).select(F.col("doc_id").alias("item_id"), "pos", "w", "ps")
 
 
 def random_weights(spark, d):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandex.functions import fingerprint
-from strandex.operators import cache, grams, sketch, suffixes, topk, utility
+from strandex.operators import cache, grams, prefix, sketch, suffixes, topk, utility
 from strandex.sources import files
 from strandex.streaming.caches import stream_replay, windowed_patterns
 
@@ -100,6 +100,16 @@ def test_levelwise_goes_on_without_a_bound(spark):
     assert max(r["len"] for r in got) == 16 and len(got) == 136
 
 
+def test_prefix_sums(spark):
+    w = [1, 3, 4, 3, 4, 1]
+    rows = spark.createDataFrame([(0, i, x) for i, x in enumerate(w)] + [(1, 0, 5)], "doc_id long, pos long, w long")
+    for span in (1, 2, 4, 4096):
+        sums = prefix.prefix_sums(rows, span)
+        assert [r["ps"] for r in sums.where("doc_id = 0").orderBy("pos").collect()] == [1, 4, 8, 11, 15, 16]
+    found = spark.createDataFrame([(0, 1, 3), (0, 3, 3), (0, 0, 2), (1, 0, 1)], "doc_id long, pos long, len int")
+    assert sorted(r["utility"] for r in prefix.occurrence_utility(sums, found).collect()) == [4, 5, 8, 10]
+
+
 def test_table_answers_agree(spark):
     c = corpus(spark, "banana", "bandana", "ananas")
     table = topk.expanded(topk.top_nodes(c, 4, 4)).withColumnRenamed("substr", "pattern")
