@@ -7,9 +7,11 @@ work divides.
 from __future__ import annotations
 
 from collections import OrderedDict, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 SCHEMA = "stream_id long, seq long, pattern string, hit boolean, evicted string"
@@ -64,6 +66,11 @@ class Counts:
         return self.n[key]
 
 
+@lru_cache(1 << 16)
+def _digests(key: str) -> tuple[int, int, int]:
+    return tuple(xxhash.xxh64_intdigest(key, seed) for seed in (99, 0, 1))
+
+
 class Keeper:
     """Counts with exponential decay in two rows of `width` cells, with a seeded generator."""
 
@@ -75,12 +82,10 @@ class Keeper:
         self.cells = [[[0, 0] for _ in range(width)] for _ in range(2)]
 
     def add(self, key: str) -> int:
-        import xxhash
-
         best = 0
-        mark = xxhash.xxh64_intdigest(key, 99)
+        mark, *places = _digests(key)
         for row in range(2):
-            cell = self.cells[row][xxhash.xxh64_intdigest(key, row) % self.width]
+            cell = self.cells[row][places[row] % self.width]
             if cell[0] and cell[1] == mark:
                 cell[0] += 1
                 best = max(best, cell[0])

@@ -11,6 +11,7 @@ from .grams import counts, grams
 from .lineage import written
 from .utility import _small
 
+STEP = 3  # lengths that levelwise() counts in a pass
 
 def _best(rows: DataFrame, k: int, length: str = "len", label: str = "substr") -> DataFrame:
     """The first k rows in tie order, with their rank; what is ranked is k rows."""
@@ -65,7 +66,7 @@ def summary(node_rows: DataFrame) -> DataFrame:
 def levelwise(corpus: DataFrame, k: int, longest: int | None = None, least: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:
     """As exact(), without a bound on length unless `longest` is given.
 
-    A substring is at most as frequent as its prefix. From one length to the next only substrings go on whose prefix is
+    A substring is at most as frequent as its prefix. From one pass, of STEP lengths, to the next only substrings go on whose prefix is
     at least as frequent as the k-th best so far, and the work ends when none is left. The driver holds the k best; the
     survivors, about as many, are written and joined by broadcast if their count allows it.
     """
@@ -74,17 +75,18 @@ def levelwise(corpus: DataFrame, k: int, longest: int | None = None, least: int
     alive = None
     level = 1
     while longest is None or level <= longest:
-        rows = grams(corpus, [level], text=text, id=id)
+        last = level + STEP - 1 if longest is None else min(level + STEP - 1, longest)
+        rows = grams(corpus, list(range(level, last + 1)), text=text, id=id)
         if alive is not None:
-            rows = rows.withColumn("prefix", F.expr("substring(substr, 1, len - 1)")).join(_small(alive), "prefix", "left_semi")
+            rows = rows.withColumn("prefix", F.expr(f"substring(substr, 1, {level - 1})")).join(_small(alive), "prefix", "left_semi")
         now = written(counts(rows).where(F.col("freq") >= least).select("substr", "len", "freq"), "level")
         top = now.orderBy(F.desc("freq"), F.asc("len"), F.asc("substr")).limit(k).collect()
         if not top:
             break
         best = sorted(best + [(r["substr"], r["len"], r["freq"]) for r in top], key=lambda r: (-r[2], r[1], r[0].encode()))[:k]
         bar = best[-1][2] if len(best) == k else least
-        alive = now.where(F.col("freq") >= bar).select(F.col("substr").alias("prefix"))
-        level += 1
+        alive = now.where((F.col("freq") >= bar) & (F.col("len") == last)).select(F.col("substr").alias("prefix"))
+        level = last + 1
     return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(best)], "rank long, substr string, len int, freq long")
 
 

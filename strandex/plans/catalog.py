@@ -290,3 +290,18 @@ y AS (SELECT item_id, row_number() OVER w - 1 AS rank, pos, t, lag(t) OVER w AS
 SELECT item_id, rank, pos, coalesce(list_max(list_filter(range(0, 33), lambda n: n = 0 OR (n <= length(t) AND n <= length(p) AND substr(t, 1, n::INT) = substr(p, 1, n::INT)))), 0)::BIGINT AS lcp FROM y""",
 }
 ORACLES["topk_levelwise"] = ORACLES["topk_exact"]
+# No substring of more than 16 symbols is among the 2000 best of the small corpus.
+ORACLES["topk_levelwise_unbounded"] = f"WITH {_grams('benchmark', 'item_id', 16)}, x AS (SELECT substr, len, count(*) AS freq FROM g GROUP BY substr, len HAVING count(*) >= 2) SELECT row_number() OVER (ORDER BY {_TIES}) AS rank, substr, len, freq FROM x ORDER BY {_TIES} LIMIT 2000"
+# A full cache evicts at every further miss.
+ORACLES["cache_lru_evictions"] = f"WITH hits AS ({ORACLES['cache_lru_replay']}) SELECT stream_id, count(*) - 16 AS evictions FROM hits WHERE NOT hit GROUP BY stream_id HAVING count(*) > 16"
+
+
+def _pruned_sql() -> str:
+    rounds = _SAMPLED.split(",\nre AS")[0]
+    out = f"{rounds},\nre AS (SELECT r, label[1:len] AS substr, len::INT AS len, freq FROM rk, LATERAL (SELECT unnest(range(pd + 1, d + 1)) AS len)),\nk0 AS (SELECT substr, len, freq FROM re WHERE r = 0 ORDER BY {_TIES} LIMIT {K})"
+    for r in range(1, 4):
+        out += f",\nk{r} AS (SELECT substr, len, sum(freq)::BIGINT AS freq FROM (SELECT * FROM k{r - 1} UNION ALL SELECT substr, len, freq FROM re WHERE r = {r}) GROUP BY substr, len ORDER BY {_TIES} LIMIT {K})"
+    return f"WITH {out} SELECT k3.substr, k3.len, k3.freq AS est_freq, count(*) AS freq FROM k3 JOIN g ON g.substr = k3.substr GROUP BY ALL"
+
+
+ORACLES["topk_sampled_pruned"] = _pruned_sql()
