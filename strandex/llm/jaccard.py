@@ -224,7 +224,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
     block = written(met.select("col", "id", "n", "last", "pos"), "block")
     # Columns of a row that no other row shares are lost to its overlap with rows whose columns go further.
     most = block.groupBy("id").agg((F.max("n") - F.expr(f"max(n) - ceil({percent} * max(n) / 100) + 1") + F.count_distinct("col")).cast("long").alias("cap"))
-    block = written(block.join(most, "id"), "block")
+    block = block.join(most, "id")
+
+    def fits(x: str, y: str) -> str:
+        """Near in size, and overlap, which is at most the cap of the row whose columns end first, can suffice."""
+        return f"""100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {100 + percent} * CASE WHEN {x}.last < {y}.last THEN {x}.cap
+            WHEN {x}.last > {y}.last THEN {y}.cap ELSE greatest({x}.cap, {y}.cap) END >= {percent} * ({x}.n + {y}.n)"""
+
+    # Two rows of each column, by which block one goes on; most columns have no others, and end here if those don't fit.
+    own = F.struct("id", "n", "last", "cap")
+    ends = block.groupBy("col").agg(F.count("*").alias("c"), F.min(own).alias("p1"), F.max(own).alias("p2"))
+    block = written(block.join(ends.where(f"c > 2 OR {fits('p1', 'p2')}").drop("c"), "col"), "block")
 
     sketch = written(heads.join(block.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"), "sketch")
 
@@ -239,16 +249,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
         y = sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
         return pairs.join(x, "a").join(y, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {parity('x', 'y', 'na', 'nb')}").select("a", "b").distinct()
 
-    # Overlap is at most the cap of the row whose columns end first.
-    fits = f"""100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * CASE WHEN x.last < y.last THEN x.cap
-        WHEN x.last > y.last THEN y.cap ELSE greatest(x.cap, y.cap) END >= {percent} * (x.n + y.n)"""
-    own = F.struct("id", "n", "last", "cap")
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
 
     # Block one: each column times two of its rows.
-    two_rows = block.groupBy("col").agg(F.min(own).alias("p1"), F.max(own).alias("p2"))
-    one = block.select("col", own.alias("x")).join(two_rows, "col").select("x", F.explode(F.array("p1", "p2")).alias("y"))
-    one = one.where("x.id <> y.id").where(fits).select(*pair).distinct()
+    one = block.select(own.alias("x"), F.explode(F.array("p1", "p2")).alias("y"))
+    one = one.where("x.id <> y.id").where(fits("x", "y")).select(*pair).distinct()
     tried = written(plausible(one), "pairs")
     near = written(_verified(tried, docs, k, percent, text, id), "links")
     label = components(near)
@@ -263,7 +268,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
     named = written(named.join(mixed, "col").join(sketch.select("id", folded.alias("sketch")).distinct(), "id"), "mixed")
     # A shared column leaves the rests of x and y behind it for the overlap, and what may be shared before it.
     places = f"{100 + percent} * (1 + least(x.n - x.pos - 1, y.n - y.pos - 1) + least(x.pos, y.pos)) >= {percent} * (x.n + y.n)"
-    linkable = f"{fits} AND {places} AND {parity('x.sketch', 'y.sketch', 'x.n', 'y.n', FOLDED)}"
+    linkable = f"{fits('x', 'y')} AND {places} AND {parity('x.sketch', 'y.sketch', 'x.n', 'y.n', FOLDED)}"
     # Columns of few components, which may be large, are joined by component, so that rows of one never meet.
     few, many = named.where(f"k <= {FEW}"), named.where(f"k > {FEW}")
     kinds = few.select("col", "c").distinct()
