@@ -7,7 +7,7 @@ product with its first |x| - ceil(t |x|) + 1 columns only: two rows with similar
 Pairs come from the columns in blocks. First each column is multiplied with two of its rows (pivots) only; the links
 found so far are contracted to components. Then the product is taken between rows of different components in a column,
 so that a column shared by thousands of near copies never yields all their pairs. Both times overlap is accumulated
-for each pair over the shared columns, and a pair is discarded as soon as sizes, positions or 1024-bit parity sketches
+for each pair over the shared columns, and a pair is discarded as soon as sizes, positions or parity sketches
 prove that its overlap stays under the bound. What is left is compared on whole sets.
 """
 
@@ -24,7 +24,7 @@ from .base import components, forget, written
 
 HOT = 1 << 18  # columns that are put last; bounds what is broadcast to 2 MB
 FLUSH = 2_000_000  # n-grams whose repeats are counted at once in a task
-BITS = 1024
+BITS = (1024, 1 << 16)  # a sketch has as many bits as its set has elements, a power of two between these
 FOLDED = 256  # bits of a sketch while rows of a column meet
 BROADCAST_IDS = 1_000_000  # candidates (16 MB) up to which texts are picked where they are; beyond, they are shuffled
 FEW = 16  # components in a column, up to which its rows are joined by pairs of components
@@ -132,8 +132,8 @@ def common(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
 
 
 def incidence(docs: DataFrame, k: int, percent: int, hot: np.ndarray, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, n, s1, s2, cols, last, sketch): size and 128-bit fingerprint of each set, its columns for the product in order,
-    the place of the last of them in the order of all columns, and its parity sketch.
+    """(id, n, s1, s2, cols, last, sketch, small): size and 128-bit fingerprint of each set, its columns for the product in order,
+    the place of the last of them in the order of all columns, and its parity sketch, whole and folded.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(hot)
@@ -143,7 +143,7 @@ def incidence(docs: DataFrame, k: int, percent: int, hot: np.ndarray, text: str
         seen = np.zeros(1 << 22, bool)
         seen[(hot >> np.uint64(42)).astype(np.int64)] = True
         for pdf in batches:
-            out: dict[str, list] = {c: [] for c in ("id", "n", "s1", "s2", "cols", "last", "sketch")}
+            out: dict[str, list] = {c: [] for c in ("id", "n", "s1", "s2", "cols", "last", "sketch", "small")}
             for i, s in zip(pdf["i"], sets(list(pdf["t"]), k), strict=True):
                 n = len(s)
                 p = n - required(n, percent) + 1 if n else 0
@@ -154,7 +154,8 @@ def incidence(docs: DataFrame, k: int, percent: int, hot: np.ndarray, text: str
                 cols = np.concatenate((s[~late], s[late]))[:p]
                 with np.errstate(over="ignore"):
                     a, b = _mix(s + _ODD[50]), _mix(s ^ _ODD[51])
-                    parity = np.bincount((b >> np.uint64(54)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
+                    bits = min(BITS[1], max(BITS[0], 1 << max(n - 1, 0).bit_length()))
+                    parity = (np.bincount((b & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
                     out["s1"].append(np.add.reduce(a).view(np.int64) if n else 0)
                     out["s2"].append(np.bitwise_xor.reduce(b).view(np.int64) if n else 0)
                 out["id"].append(i)
@@ -162,10 +163,11 @@ def incidence(docs: DataFrame, k: int, percent: int, hot: np.ndarray, text: str
                 out["cols"].append(cols.view(np.int64))
                 out["last"].append(int(cols[-1] >> np.uint64(2)) + ((1 << 62) if p > n - late.sum() else 0) if n else 0)
                 out["sketch"].append(np.packbits(parity).view(np.int64))
+                out["small"].append(np.packbits(parity.reshape(-1, FOLDED).sum(axis=0, dtype=np.uint32).astype(np.uint8) & 1).view(np.int64))
             yield pd.DataFrame(out)
 
     kind = dict(docs.dtypes)[id]
-    return docs.select(F.col(id).alias("i"), F.col(text).alias("t")).mapInPandas(rows, f"id {kind}, n long, s1 long, s2 long, cols array<long>, last long, sketch array<long>")
+    return docs.select(F.col(id).alias("i"), F.col(text).alias("t")).mapInPandas(rows, f"id {kind}, n long, s1 long, s2 long, cols array<long>, last long, sketch array<long>, small array<long>")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, k: int, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -236,18 +238,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
     ends = block.groupBy("col").agg(F.count("*").alias("c"), F.min(own).alias("p1"), F.max(own).alias("p2"))
     block = written(block.join(ends.where(f"c > 2 OR {fits('p1', 'p2')}").drop("c"), "col"), "block")
 
-    sketch = written(heads.join(block.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch"), "sketch")
+    sketch = written(heads.join(block.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch", "small"), "sketch")
 
-    def parity(x: str, y: str, nx: str, ny: str, bits: int = BITS) -> str:
-        """The sketches differ in no more bits than two linking sets of these sizes have elements in one of them only."""
-        differ = " + ".join(f"bit_count({x}[{w}] ^ {y}[{w}])" for w in range(bits // 64))
-        return f"{differ} <= {nx} + {ny} - 2 * cast(ceil({percent} * ({nx} + {ny}) / {100 + percent}) as bigint)"
+    def differs(nx: str, ny: str) -> str:
+        """The most elements that two linking sets of these sizes have in one of them only; parity sketches differ in no more bits."""
+        return f"{nx} + {ny} - 2 * cast(ceil({percent} * ({nx} + {ny}) / {100 + percent}) as bigint)"
+
+    def halved(x: str, y: str) -> str:
+        """Folding a parity sketch by exclusive or gives the parity sketch of fewer bits."""
+        return f"CASE WHEN size({x}) > size({y}) THEN transform(sequence(0, size({y}) - 1), i -> {x}[i] ^ {x}[i + size({y})]) ELSE {x} END"
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """Discard pairs of (a, b) by size and by the parity of their symmetric difference, which the set bits never exceed."""
         x = sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
         y = sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {parity('x', 'y', 'na', 'nb')}").select("a", "b").distinct()
+        near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+        bits = f"aggregate(zip_with({halved('x', 'y')}, {halved('y', 'x')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+        unlike = "size(x) > 2 * size(y) OR size(y) > 2 * size(x)"  # not for similarities over a half
+        return pairs.join(x, "a").join(y, "b").where(near).where(f"{unlike} OR {bits} <= {differs('na', 'nb')}").select("a", "b").distinct()
 
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
 
@@ -262,13 +270,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
     named = block.join(label, "id", "left").select("col", "id", "n", "last", "cap", "pos", F.coalesce("component", "id").alias("c"))
     kinds = named.groupBy("col", "c").agg(F.lit(1).alias("one"))
     mixed = kinds.groupBy("col").agg(F.count("*").alias("k")).where("k > 1")
-    # Folding a parity sketch by exclusive or gives the parity sketch of fewer bits.
-    step = FOLDED // 64
-    folded = F.array(*(F.expr(" ^ ".join(f"sketch[{w}]" for w in range(i, BITS // 64, step))) for i in range(step)))
-    named = written(named.join(mixed, "col").join(sketch.select("id", folded.alias("sketch")).distinct(), "id"), "mixed")
+    named = written(named.join(mixed, "col").join(sketch.select("id", "small").distinct(), "id"), "mixed")
     # A shared column leaves the rests of x and y behind it for the overlap, and what may be shared before it.
     places = f"{100 + percent} * (1 + least(x.n - x.pos - 1, y.n - y.pos - 1) + least(x.pos, y.pos)) >= {percent} * (x.n + y.n)"
-    linkable = f"{fits('x', 'y')} AND {places} AND {parity('x.sketch', 'y.sketch', 'x.n', 'y.n', FOLDED)}"
+    differ = " + ".join(f"bit_count(x.small[{w}] ^ y.small[{w}])" for w in range(FOLDED // 64))
+    linkable = f"{fits('x', 'y')} AND {places} AND {differ} <= {differs('x.n', 'y.n')}"
     # Columns of few components, which may be large, are joined by component, so that rows of one never meet.
     few, many = named.where(f"k <= {FEW}"), named.where(f"k > {FEW}")
     kinds = few.select("col", "c").distinct()
