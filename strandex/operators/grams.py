@@ -42,8 +42,18 @@ def grams(corpus: DataFrame, lengths: list[int], keep: tuple[str, ...] = (), tex
     return each.select("doc_id", *keep, "pos", "len", F.expr("substring(block, p, len)").alias("substr"), *([F.expr("slice(w, p, len)").alias("w")] if weights else []))
 
 
-def counts(rows: DataFrame, by: tuple[str, ...] = (), first: bool = False) -> DataFrame:
-    """(by, substr, len, freq[, first_doc, first_pos]) of gram rows. Partial sums are combined before the shuffle."""
-    aggs = [F.count("*").alias("freq")] + ([F.min(F.struct("doc_id", "pos")).alias("first")] if first else [])
-    out = rows.groupBy(*by, "substr", "len").agg(*aggs)
-    return out.select(*by, "substr", "len", "freq", *([F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")] if first else []))
+def packable(corpus: DataFrame, id: str = "doc_id") -> bool:
+    """Whether ids and positions fit in one long. Parquet answers this from a single column."""
+    low, high = corpus.agg(F.min(id), F.max(id)).first()
+    return low is not None and isinstance(low, int) and low >= 0 and high < 1 << 31
+
+
+def counts(rows: DataFrame, by: tuple[str, ...] = (), first: bool = False, packed: bool = False) -> DataFrame:
+    """(by, substr, len, freq[, first_doc, first_pos]) of gram rows. Partial sums are combined before the shuffle.
+
+    The first occurrence is the least (doc_id, pos); as one long, if `packed`, it is aggregated by hash and not by sort.
+    """
+    place = F.shiftleft(F.col("doc_id").cast("long"), 32).bitwiseOR(F.col("pos")) if packed else F.struct("doc_id", "pos")
+    out = rows.groupBy(*by, "substr", "len").agg(F.count("*").alias("freq"), *([F.min(place).alias("first")] if first else []))
+    doc, pos = ("shiftright(first, 32)", "first & 4294967295L") if packed else ("first.doc_id", "first.pos")
+    return out.select(*by, "substr", "len", "freq", *([F.expr(doc).alias("first_doc"), F.expr(pos).alias("first_pos")] if first else []))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .grams import counts, grams
+from .grams import counts, grams, packable
 from .lineage import written
 from .utility import _small
 
@@ -49,7 +49,7 @@ def cut_nodes(node_rows: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFra
 
 def top_nodes(corpus: DataFrame, k: int, longest: int, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(label, freq, pd, d) of the node-mode top k; substrings longer than `longest` are not looked at."""
-    return cut_nodes(nodes(counts(grams(corpus, list(range(1, longest + 1)), text=text, id=id), first=True)), k)
+    return cut_nodes(nodes(counts(grams(corpus, list(range(1, longest + 1)), text=text, id=id), first=True, packed=packable(corpus, id))), k)
 
 
 def expanded(node_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -93,7 +93,7 @@ def levelwise(corpus: DataFrame, k: int, longest: int | None = None, least: int
 def rounds(corpus: DataFrame, k: int, longest: int, stride: int, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(r, substr, len, freq): the node-mode top k of the starts of each residue r of pos modulo `stride`, all in one job."""
     rows = grams(corpus, list(range(1, longest + 1)), text=text, id=id).withColumn("r", (F.col("pos") % stride).cast("int"))
-    return expanded(cut_nodes(nodes(counts(rows, ("r",), first=True), ("r",)), k, ("r",)), ("r",))
+    return expanded(cut_nodes(nodes(counts(rows, ("r",), True, packable(corpus, id)), ("r",)), k, ("r",)), ("r",))
 
 
 def recount(corpus: DataFrame, found: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
