@@ -7,20 +7,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .cache import Keeper
 from .grams import grams
+from .topk import STEP
 
 
-def walk(texts, k: int, longest: int, seed: int = 1) -> dict[str, int]:
+def walk(texts, k: int, longest: int | None = None, seed: int = 1) -> dict[str, int]:
     """Estimates of the k substrings that a decaying sketch of 256 k cells tracks, in one pass over the texts.
 
     From every start, single symbols are always counted; a longer substring only after the one before it is tracked,
-    and past the first untracked one with probability 1 / floor(1.08 ** length).
+    and past the first untracked one with probability 1 / floor(1.08 ** length). Lengths end at `longest`, if given.
     """
     sketch = Keeper(min(256 * k, 1 << 20), seed)
     kept: dict[str, int] = {}
     low = 0
     for text in texts:
         for i in range(len(text)):
-            for n in range(1, min(longest, len(text) - i) + 1):
+            for n in range(1, min(longest or len(text), len(text) - i) + 1):
                 s = text[i : i + n]
                 value = sketch.add(s)
                 if s in kept:
@@ -41,7 +42,7 @@ def walk(texts, k: int, longest: int, seed: int = 1) -> dict[str, int]:
     return kept
 
 
-def heavy_keeper(corpus: DataFrame, k: int, longest: int = 6, text: str = "text", seed: int = 1) -> DataFrame:
+def heavy_keeper(corpus: DataFrame, k: int, longest: int | None = 6, text: str = "text", seed: int = 1) -> DataFrame:
     """(rank, substr, len, est_freq): a sketch for each partition, then the k largest sums of their estimates."""
 
     def run(batches):
@@ -55,8 +56,28 @@ def heavy_keeper(corpus: DataFrame, k: int, longest: int = 6, text: str = "text"
     return total.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select("rank", "substr", "len", "est_freq")
 
 
-def approximate(corpus: DataFrame, k: int, longest: int, tracked: int = 10_000, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(substr, len, est_freq) by the built-in mergeable sketch, `tracked` items in each."""
-    g = grams(corpus, list(range(1, longest + 1)), text=text, id=id)
-    top = g.agg(F.expr(f"approx_top_k(substr, {k}, {max(tracked, k)})").alias("t"))
-    return top.select(F.explode("t").alias("x")).select(F.col("x.item").alias("substr"), F.length("x.item").alias("len"), F.col("x.count").alias("est_freq"))
+def approximate(corpus: DataFrame, k: int, longest: int | None = None, tracked: int = 10_000, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(substr, len, est_freq) by the built-in mergeable sketch, `tracked` items in each.
+
+    A pass has STEP lengths. Substrings go on to the next whose prefix was returned with the k-th best estimate so far
+    or more, and the work ends when none is left, or at `longest`. The driver holds the k best.
+    """
+    spark = corpus.sparkSession
+    best: list[tuple[str, int, int]] = []
+    alive: list[str] = []
+    level = 1
+    while longest is None or level <= longest:
+        last = level + STEP - 1 if longest is None else min(level + STEP - 1, longest)
+        g = grams(corpus, list(range(level, last + 1)), text=text, id=id)
+        if level > 1:
+            before = spark.createDataFrame([(s,) for s in alive], "prefix string")  # k rows at most
+            g = g.withColumn("prefix", F.expr(f"substring(substr, 1, {level - 1})")).join(F.broadcast(before), "prefix", "left_semi")
+        top = g.agg(F.expr(f"approx_top_k(substr, {k}, {max(tracked, k)})").alias("t")).select(F.explode("t").alias("x"))
+        rows = [(r["substr"], r["len"], r["n"]) for r in top.select(F.col("x.item").alias("substr"), F.length("x.item").alias("len"), F.col("x.count").alias("n")).collect()]
+        best = sorted(best + rows, key=lambda r: (-r[2], r[1], r[0].encode()))[:k]
+        bar = best[-1][2] if len(best) == k else 2
+        alive = [s for s, n, freq in rows if n == last and freq >= bar]
+        if not alive:
+            break
+        level = last + 1
+    return spark.createDataFrame(best, "substr string, len int, est_freq long")

@@ -47,11 +47,41 @@ def cut_nodes(node_rows: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFra
     return top.withColumn("_b", before).where(F.col("_b") < k).drop("_b")
 
 
-def top_nodes(corpus: DataFrame, k: int, longest: int, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(label, freq, pd, d) of the node-mode top k; substrings longer than `longest` are not looked at."""
+def top_nodes(corpus: DataFrame, k: int, longest: int | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(label, freq, pd, d) of the node-mode top k, of any length; substrings longer than `longest`, if given, are not looked at.
+
+    Nodes less frequent than the k-th best substring are never chosen. Without a bound, substrings at least as frequent
+    as the k-th best so far are therefore followed level by level, as in levelwise(), until none is left.
+    """
+    if longest is None:
+        return cut_nodes(nodes(_frequent(corpus, k, text, id)), k)
     return cut_nodes(nodes(counts(grams(corpus, list(range(1, longest + 1)), text=text, id=id), first=True, packed=packable(corpus, id))), k)
 
 
+def _frequent(corpus: DataFrame, k: int, text: str, id: str) -> DataFrame:
+    """(substr, len, freq, first_doc, first_pos) of all substrings, of any length, at least as frequent as the k-th best.
+
+    The driver holds k frequencies; what a level finds is written.
+    """
+    packed = packable(corpus, id)
+    best: list[int] = []
+    found = alive = None
+    level, bar = 1, 2
+    while True:
+        last = level + STEP - 1
+        rows = grams(corpus, list(range(level, last + 1)), text=text, id=id)
+        if alive is not None:
+            rows = rows.withColumn("prefix", F.expr(f"substring(substr, 1, {level - 1})")).join(_small(alive), "prefix", "left_semi").drop("prefix")
+        now = written(counts(rows, first=True, packed=packed).where(F.col("freq") >= bar), "nodes")
+        found = now if found is None else found.unionByName(now)
+        best = sorted(best + [r["freq"] for r in now.orderBy(F.desc("freq")).limit(k).select("freq").collect()], reverse=True)[:k]
+        bar = best[-1] if len(best) == k else 2
+        alive = now.where((F.col("freq") >= bar) & (F.col("len") == last)).select(F.col("substr").alias("prefix"))
+        if alive.isEmpty():
+            return found.where(F.col("freq") >= bar)
+        level = last + 1
+
+
 def expanded(node_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, substr, len, freq) of the substrings that nodes stand for."""
     each = node_rows.select(*by, "label", "freq", F.explode(F.sequence(F.col("pd") + 1, F.col("d"))).alias("len"))

@@ -97,7 +97,7 @@ def topk_summary(spark, d):
 
 
 def _utility_table(spark, d):
-    g = topk.expanded(topk.top_nodes(documents(spark, d), K, 4))
+    g = topk.expanded(topk.top_nodes(documents(spark, d), K))
     from strandex.functions.symbols import gram_weight
 
     return g.select("substr", "freq", (F.col("freq") * gram_weight(F.col("substr"))).alias("utility"))
@@ -130,11 +130,11 @@ def topk_recall(spark, d):
 
 
 def topk_heavykeeper(spark, d):
-    return sketch.heavy_keeper(documents(spark, d), K, 4)
+    return sketch.heavy_keeper(documents(spark, d), K, None)
 
 
 def topk_approx(spark, d):
-    return sketch.approximate(documents(spark, d), K, 4)
+    return sketch.approximate(documents(spark, d), K)
 
 
 def table_answer(spark, d):

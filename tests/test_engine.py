@@ -100,6 +100,14 @@ def test_levelwise_goes_on_without_a_bound(spark):
     assert max(r["len"] for r in got) == 16 and len(got) == 136
 
 
+def test_nodes_and_sketches_go_on_without_a_bound(spark):
+    c = corpus(spark, *["abcdefg", "abcdefg", "xabcdefgy"] * 4)
+    got = {(r["label"], r["freq"], r["pd"], r["d"]) for r in topk.top_nodes(c, 28).collect()}
+    assert got == {("abcdefg"[i:], 12, 0, 7 - i) for i in range(7)}
+    for got in (sketch.heavy_keeper(c, 28, None), sketch.approximate(c, 28)):
+        assert "abcdefg" in {r["substr"] for r in got.collect()}
+
+
 def test_prefix_sums(spark):
     w = [1, 3, 4, 3, 4, 1]
     rows = spark.createDataFrame([(0, i, x) for i, x in enumerate(w)] + [(1, 0, 5)], "doc_id long, pos long, w long")
