@@ -10,18 +10,18 @@ from strandex.functions.symbols import symbols
 def suffix_array(corpus: DataFrame, text: str = "text", id: str = "doc_id", rounds: int = 40) -> DataFrame:
     """(doc_id, rank, pos): the suffixes of each text in binary order, ranks from 0; a text's end sorts before any symbol.
 
-    Ranks by 2^i symbols are made of the pair of ranks at pos and pos + 2^i. Each round sorts within texts and joins on
-    (doc_id, pos), until all ranks of a text differ.
+    Ranks by 2^i symbols are made of the pair of ranks at pos and pos + 2^i. Each round sorts within texts, until all
+    ranks of a text differ. A row is a text of its own, whatever its id: null ids and repeated ones are kept apart.
     """
-    cur = corpus.select(F.col(id).alias("doc_id"), F.posexplode(symbols(F.col(text))).alias("pos", "ch"))
-    cur = cur.select("doc_id", F.col("pos").cast("long").alias("pos"), F.dense_rank().over(Window.partitionBy("doc_id").orderBy("ch")).cast("long").alias("r")).persist()
+    rows = corpus.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("doc_id"), F.col(text).alias("_t"))
+    cur = rows.select("row", "doc_id", F.posexplode(symbols(F.col("_t"))).alias("pos", "ch"))
+    cur = cur.select("row", "doc_id", F.col("pos").cast("long").alias("pos"), F.dense_rank().over(Window.partitionBy("row").orderBy("ch")).cast("long").alias("r")).persist()
     step = 1
     for _ in range(rounds):
-        if not cur.groupBy("doc_id").agg((F.count("*") > F.max("r")).alias("ties")).where("ties").limit(1).count():
+        if not cur.groupBy("row").agg((F.count("*") > F.max("r")).alias("ties")).where("ties").limit(1).count():
             break
-        ahead = cur.select("doc_id", (F.col("pos") - step).alias("pos"), F.col("r").alias("r2")).where("pos >= 0")
-        both = cur.join(ahead, ["doc_id", "pos"], "left")
-        new = both.select("doc_id", "pos", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("r", F.coalesce("r2", F.lit(0)))).cast("long").alias("r")).persist()
+        both = cur.withColumn("r2", F.lead("r", step, 0).over(Window.partitionBy("row").orderBy("pos")))
+        new = both.select("row", "doc_id", "pos", F.dense_rank().over(Window.partitionBy("row").orderBy("r", "r2")).cast("long").alias("r")).persist()
         new.count()
         cur.unpersist()
         cur, step = new, 2 * step

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandex.functions import fingerprint
 from strandex.operators import cache, grams, prefix, sketch, suffixes, topk, utility
+from strandex.plans import catalog
 from strandex.sources import files
 from strandex.streaming.caches import stream_replay, windowed_patterns
 
@@ -198,6 +199,14 @@ def test_suffixes(spark):
     assert [r["lcp"] for r in suffixes.lcp_array(c, sa, 8).where("doc_id = 0").orderBy("rank").collect()] == [0, 1, 3, 0, 0, 2]
 
 
+def test_suffixes_of_any_id(spark, tmp_path):
+    rows = [(1, "banana"), (1_000_000_001, "banana"), (None, "banana"), (None, "aab")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = catalog.suffix_array(spark, str(tmp_path)).collect()
+    want = [(i, k, pos) for i, t in rows for k, pos in enumerate(sorted(range(len(t)), key=lambda j: t[j:]))]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t").write_text("ban\rana\n")
     (tmp_path / "w").write_text("1 3 4 3\n4 1 x 9")
