@@ -1,17 +1,19 @@
 """Soft-membership mixing of sources to target weights [native].
 
 A naive Bayes classifier over hashed words, fitted on the labelled table, predicts each document's posterior over
-domains. Nonnegative rates of the documents are then fitted by projected-gradient least squares, so that the expected
-tokens of each domain, the sum of rate * tokens * posterior, meet the targets; a weak pull to rate 1 settles what the
-targets leave open. A pass over the compact table of posteriors gives the few sums that a gradient needs, and the rates
-themselves are a function of posteriors and those sums, so that no rate is ever gathered.
+domains. Nonnegative rates of the documents are then fitted by least squares, so that the expected tokens of each
+domain, the sum of rate * tokens * posterior, meet the targets; a weak pull to rate 1 settles what the targets leave
+open. The rates are a function of posteriors and one multiplier for each domain, which Newton steps find: a pass over
+the compact table of posteriors gives the few sums that a step needs, and no rate is ever gathered.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .base import words, written
@@ -23,6 +25,9 @@ ALPHA = 0.5
 PULL = 1e-3
 ROUNDS = 30
 MOST = 8.0  # copies of a document, at most: a domain that is nearly absent can't be had by repeating a few of its documents
+MISS = 0.02  # of its wanted share, beyond which a domain's share is logged as a warning
+
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -86,35 +91,58 @@ def posteriors(docs: DataFrame, model: DataFrame, prior: list[float], keep: tupl
     return soft.select("row", *keep, "n_tokens", *((F.col(f"e{k}") / norm).alias(f"p{k}") for k in range(size)))
 
 
-def rates(post: DataFrame, weights: list[float], total: float | None = None, rounds: int = ROUNDS, pull: float = PULL, most: float = MOST) -> tuple[Column, list[float]]:
+def rates(post: DataFrame, weights: list[float], total: float | None = None, rounds: int = ROUNDS, pull: float = PULL, most: float = MOST, held: Column | None = None) -> tuple[Column, list[float]]:
     """The rate of a row of `post` as a column, and the expected share of each domain that it gives.
 
     Minimises the sum over domains of (share - target)^2 / present share, plus pull * the token-weighted mean of
-    (rate - 1)^2, with rates from 0 to `most`. In the token-weighted metric the largest curvature is 1 + pull, so that the
-    step 1 / (1 + pull) needs no search. `total` is the tokens wanted, by default those there are. Shares are of that.
+    (rate - 1)^2, with rates from 0 to `most`, and 1 where `held`. The best rate is 1 + the sum of posterior * multiplier,
+    cut to the bounds; the multipliers minimise a convex function, piecewise quadratic, by Newton steps that are halved
+    until it falls. `total` is the tokens wanted, by default those there are. Shares are of that.
     """
     size = len(weights)
-    sums = lambda r: [F.sum(r * F.col("n_tokens") * F.col(f"p{k}")) for k in range(size)]
-    first = post.agg(F.sum("n_tokens"), *sums(F.lit(1.0))).first()
+    first = post.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(f"p{k}")) for k in range(size))).first()
     tokens = float(first[0] or 0)
     if not tokens:
         return F.lit(1.0), [0.0] * size
-    share = [float(x) / tokens for x in first[1:]]
     scale = (total or tokens) / tokens
-    wanted = [w / sum(weights) * scale for w in weights]
-    there = [max(s, 1e-9) for s in share]
-    step = 1 / (1 + pull)
-    rate, keep = F.lit(1.0), 1 - step * pull
+    wanted = np.array([w / sum(weights) * scale for w in weights])
+    there = np.array([max(float(x) / tokens, 1e-9) for x in first[1:]])
+    held = F.lit(False) if held is None else F.coalesce(held, F.lit(False))
+
+    def rate(at: np.ndarray) -> tuple[Column, Column]:
+        free = sum((F.lit(float(c)) * F.col(f"p{k}") for k, c in enumerate(at)), F.lit(1.0))
+        return free, F.when(held, 1.0).otherwise(F.least(F.lit(float(most)), F.greatest(F.lit(0.0), free)))
+
+    def sums(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The function, its gradient and curvature, and the shares."""
+        free, r = rate(at)
+        n = F.col("n_tokens") / F.lit(tokens)
+        inside = F.when(~held & (free > 0) & (free < most), n).otherwise(0.0)
+        pairs = [(i, j) for i in range(size) for j in range(i, size)]
+        value = F.when(held, free).otherwise(r * free - r * r / 2)
+        row = post.agg(F.sum(n * value), *(F.sum(n * r * F.col(f"p{k}")) for k in range(size)), *(F.sum(inside * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs)).first()
+        row = [float(x or 0) for x in row]
+        share, bend = np.array(row[1 : size + 1]), np.diag(there * pull)
+        for (i, j), x in zip(pairs, row[size + 1 :], strict=True):
+            bend[i, j] += x
+            bend[j, i] = bend[i, j]
+        return row[0] + float(there * pull @ at**2) / 2 - float(wanted @ at), share - wanted + there * pull * at, bend, share
+
+    at = np.zeros(size)
+    value, slope, bend, share = sums(at)
     for _ in range(rounds):
-        push = [step * (s - w) / m for s, w, m in zip(share, wanted, there, strict=True)]
-        move = sum((F.lit(-c) * F.col(f"p{k}") for k, c in enumerate(push)), F.lit(step * pull))
-        rate = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), rate * F.lit(keep) + move))
-        now = [float(x) / tokens for x in post.agg(*sums(rate)).first()]
-        still = max(abs(a - b) for a, b in zip(now, share, strict=True))
-        share = now
-        if still < 1e-7:
+        move = -np.linalg.solve(bend, slope)
+        fall = float(slope @ move)
+        if -fall < 1e-14 or np.abs(move).max() < 1e-7:
             break
-    return rate, [s / scale for s in share]
+        part = 1.0
+        while (new := sums(at + part * move))[0] > value + 1e-4 * part * fall + 1e-15 and part > 1e-6:
+            part /= 2
+        at = at + part * move
+        value, slope, bend, share = new
+    else:
+        raise RuntimeError("rates: no fixed point")
+    return rate(at)[1], [float(s) / scale for s in share]
 
 
 def copies(rate: Column, id: Column, seed: int = 17, snap: float = 0.02) -> Column:
@@ -143,7 +171,10 @@ def mix(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAIN
         share = sum(d.weight for d in domains if d.name in at_present)
         total = fixed / share if share and fixed else total
         weights = [row[k] / total if d.name in at_present and total else d.weight for k, d in enumerate(domains)]
-    rate, _ = rates(post, weights, total, most=most)
+    rate, got = rates(post, weights, total, most=most)
+    for d, want, share in zip(domains, weights, got, strict=True):
+        want /= sum(weights)
+        log.log(logging.WARNING if abs(share - want) > MISS * want else logging.INFO, "mixing: %s wanted %.5f of the tokens, gets %.5f", d.name, want, share)
     out = post.select(*keep, "n_tokens", *(F.col(f"p{k}").alias(f"p_{d.name}") for k, d in enumerate(domains)), rate.alias("rate"), F.col("row"))
     return out.withColumn("copies", copies(F.col("rate"), F.col(keep[0]))).drop("row")
 

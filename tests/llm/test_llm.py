@@ -295,6 +295,21 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(df.limit(0), labels).count() == 0 and mixing.mix(df, labels.limit(0)).count() == 602
 
 
+def test_rates_reach_what_can_be_reached(spark):
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.7, 0.1, 0.3], 400)
+    t = rng.integers(1, 200, 400).astype(float)
+    df = spark.createDataFrame([(i, float(n), *map(float, x)) for i, (n, x) in enumerate(zip(t, p))], "row long, n_tokens double, p0 double, p1 double, p2 double")
+    want, m = np.array([0.97, 0.005, 0.025]), (t[:, None] * p).sum(0) / t.sum()
+    rate, share = mixing.rates(df, list(want), most=2.0)
+    got = np.array([r["rate"] for r in df.select("row", rate.alias("rate")).orderBy("row").collect()])
+    x = np.ones(len(t))
+    for _ in range(60_000):  # the slow way, to its end
+        x = np.clip(x - (p @ ((((x * t)[:, None] * p).sum(0) / t.sum() - want) / m) + mixing.PULL * (x - 1)) / (1 + mixing.PULL), 0, 2.0)
+    assert np.abs(got - x).max() < 1e-4
+    assert np.abs(((got * t)[:, None] * p).sum(0) / t.sum() - share).max() < 1e-9
+
+
 # --- 7 line dedup
 
 
