@@ -159,19 +159,23 @@ def copies(rate: Column, id: Column, seed: int = 17, snap: float = 0.02) -> Colu
 def mix(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAINS, total: float | None = None, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, at_present: tuple[str, ...] = (), most: float = MOST) -> DataFrame:
     """`keep`, n_tokens, a posterior p_<name> for each domain, rate and copies; a row for each row of `docs`.
 
-    Domains in `at_present` are wanted with the tokens that they have, and take no part in the sharing out of `total`.
+    Domains in `at_present` are wanted with the tokens that they have, and take no part in the sharing out of `total`;
+    rows whose likeliest domain is one of them keep the rate 1, and the rates of the others are fitted beside them.
     Null, empty and blank texts have no tokens and the priors; empty tables give empty results.
     """
     model, prior = fit(docs, labels, domains, sample)
     post = written(posteriors(docs, model, prior, keep), "posteriors")
     weights = [d.weight for d in domains]
+    held = None
     if at_present:
+        top = F.greatest(*(F.col(f"p{k}") for k in range(len(domains)))) if len(domains) > 1 else F.col("p0")
+        held = F.greatest(F.lit(-1.0), *(F.col(f"p{k}") for k, d in enumerate(domains) if d.name in at_present)) == top
         row = post.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{k}")), F.lit(0.0)) for k in range(len(domains)))).first()
         fixed = sum(row[k] for k, d in enumerate(domains) if d.name in at_present)
         share = sum(d.weight for d in domains if d.name in at_present)
         total = fixed / share if share and fixed else total
         weights = [row[k] / total if d.name in at_present and total else d.weight for k, d in enumerate(domains)]
-    rate, got = rates(post, weights, total, most=most)
+    rate, got = rates(post, weights, total, most=most, held=held)
     for d, want, share in zip(domains, weights, got, strict=True):
         want /= sum(weights)
         log.log(logging.WARNING if abs(share - want) > MISS * want else logging.INFO, "mixing: %s wanted %.5f of the tokens, gets %.5f", d.name, want, share)

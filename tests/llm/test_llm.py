@@ -310,6 +310,17 @@ def test_rates_reach_what_can_be_reached(spark):
     assert np.abs(((got * t)[:, None] * p).sum(0) / t.sum() - share).max() < 1e-9
 
 
+def test_mixing_keeps_likely_clean_rows(spark):
+    texts = ["alpha beta gamma delta"] * 30 + ["alpha beta gamma red"] * 6 + ["red green blue pink"] * 20 + ["one two three four"] * 20
+    kinds = [0] * 36 + [1] * 20 + [2] * 20
+    labels = spark.createDataFrame([(i, [1, 1, 0][k], [0, 1, 0][k]) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    domains = tuple(mixing.Domain(d.name, d.where, w) for d, w in zip(mixing.DOMAINS, (0.96, 0.01, 0.03), strict=True))
+    rows = mixing.mix(docs(spark, *texts), labels, domains, at_present=("clean",), most=2.0).collect()
+    likely = [r for r in rows if r["p_clean"] >= max(r["p_toxic"], r["p_low"])]
+    assert len(likely) == 36 and all(r["rate"] == 1 and r["copies"] == 1 for r in likely)
+    assert all(r["rate"] < 0.5 for r in rows if r["p_toxic"] > 0.5)
+
+
 # --- 7 line dedup
 
 
