@@ -186,7 +186,7 @@ def suffix_array(spark, d):
 
 def lcp_array(spark, d):
     b = benchmark(spark, d)
-    return suffixes.lcp_array(b, suffixes.suffix_array(b), 32).select(F.col("doc_id").alias("item_id"), "rank", "pos", "lcp")
+    return suffixes.lcp_array(b, suffixes.suffix_array(b)).select(F.col("doc_id").alias("item_id"), "rank", "pos", "lcp")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

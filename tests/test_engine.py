@@ -207,6 +207,20 @@ def test_suffixes_of_any_id(spark, tmp_path):
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_whole_common_prefixes(spark, tmp_path):
+    part = "a passage of more than thirty-two symbols\0 with a NUL"
+    rows = [(1, part + "|" + part), (None, "a" * 50), (None, "banana"), (7, "")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = []
+    for i, t in rows:
+        starts = sorted(range(len(t)), key=lambda j: t[j:])
+        for k, at in enumerate(starts):
+            a, b = t[at:], t[starts[k - 1] :] if k else ""
+            want.append((i, k, at, next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))))
+    got = [tuple(r) for r in catalog.lcp_array(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and max(r[3] for r in got) == len(part)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t").write_text("ban\rana\n")
     (tmp_path / "w").write_text("1 3 4 3\n4 1 x 9")
