@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandex.llm import jaccard, linededup, mixing, packing, quality
-from strandex.llm.base import written
+from strandex.llm.base import BLANKS, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines of three-line windows that an earlier document holds; n_chars follows, and texts left empty go."""
     out = linededup.dedup_lines(docs)
-    out = out.withColumn("n_chars", F.length("text").cast("long")).where("n_lines_removed = 0 OR btrim(text) <> ''")
+    out = out.withColumn("n_chars", F.length("text").cast("long")).where((F.col("n_lines_removed") == 0) | (F.btrim("text", F.lit(BLANKS)) != ""))
     return out.select(*docs.columns)
 
 

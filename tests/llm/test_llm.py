@@ -452,3 +452,11 @@ def test_pipeline_stages(spark, sf):
     for rows in (odd, odd.limit(0)):
         for _, stage in p.STAGES:
             assert stage(spark, rows, sf).count() >= 0
+
+
+def test_pipeline_drops_texts_of_blank_lines(spark, sf):
+    import corpus_pipeline as p
+
+    text = "one\n\ntwo\n \t\nthree\n"
+    d = spark.createDataFrame([(1, text, None, None, None), (2, text, None, None, None)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    assert [r["doc_id"] for r in p.line_dedup(spark, d, sf).collect()] == [1]
