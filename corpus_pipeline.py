@@ -38,10 +38,12 @@ TARGETS = tuple(mixing.Domain(d.name, d.where, {"clean": 0.96, "toxic": 0.01, "l
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, by the target weights of the domains."""
+    """Each document, with an id or without, as often as its rate says, by the target weights of the domains."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    n = mixing.mix(docs, labels, TARGETS, at_present=("clean",), most=2.0).groupBy("doc_id").agg(F.max("copies").alias("__sx_copies"))
-    out = docs.join(n.where("__sx_copies > 0"), "doc_id")
+    own = docs.withColumn("__sx_th", F.xxhash64("text"))  # tells rows of one id apart, those without an id too
+    n = mixing.mix(own, labels, TARGETS, at_present=("clean",), most=2.0, keep=("doc_id", "__sx_th")).groupBy("doc_id", "__sx_th").agg(F.max("copies").alias("__sx_copies"))
+    n = n.where("__sx_copies > 0").select(F.col("doc_id").alias("__sx_id"), F.col("__sx_th").alias("__sx_th2"), "__sx_copies")
+    out = own.join(n, F.col("doc_id").eqNullSafe(F.col("__sx_id")) & (F.col("__sx_th") == F.col("__sx_th2")))
     return out.withColumn("__sx_copy", F.explode(F.sequence(F.lit(1), "__sx_copies"))).select(*docs.columns)
 
 

@@ -180,7 +180,7 @@ def mix(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAIN
         want /= sum(weights)
         log.log(logging.WARNING if abs(share - want) > MISS * want else logging.INFO, "mixing: %s wanted %.5f of the tokens, gets %.5f", d.name, want, share)
     out = post.select(*keep, "n_tokens", *(F.col(f"p{k}").alias(f"p_{d.name}") for k, d in enumerate(domains)), rate.alias("rate"), F.col("row"))
-    return out.withColumn("copies", copies(F.col("rate"), F.col(keep[0]))).drop("row")
+    return out.withColumn("copies", copies(F.col("rate"), F.col(keep[0]) if len(keep) == 1 else F.struct(*keep))).drop("row")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -460,3 +460,15 @@ def test_pipeline_drops_texts_of_blank_lines(spark, sf):
     text = "one\n\ntwo\n \t\nthree\n"
     d = spark.createDataFrame([(1, text, None, None, None), (2, text, None, None, None)], spark.read.parquet(f"{sf}/documents.parquet").schema)
     assert [r["doc_id"] for r in p.line_dedup(spark, d, sf).collect()] == [1]
+
+
+def test_pipeline_mixes_rows_without_an_id(spark, sf):
+    import corpus_pipeline as p
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id")
+    clean = d.join(labels, "doc_id").limit(20)
+    rows = clean.unionByName(clean.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" more"))))
+    rows = spark.createDataFrame(rows.collect(), d.schema)
+    got = p.mixing_sources(spark, rows, sf).where("doc_id IS NULL")
+    assert got.select("text").distinct().count() >= 15
