@@ -5,7 +5,7 @@ boilerplate: menus, headers, footers, sidebars, notices, adverts, forms, scripts
 nothing, and neither does what stands outside the page's article, if it has one. The weights of a sliding window of
 lines are summed; text surges at a heading or a line of some length where a window's sum passes the threshold, and dives
 where the weights end. On pages that mark no article, the characters of links weigh nothing either.
-What stands between a surge and its dive is kept, whatever the length of its single lines.
+What stands between a surge and its dive is kept, whatever the length of its single lines, boilerplate excepted.
 """
 
 from __future__ import annotations
@@ -121,6 +121,7 @@ def main_text(page: str | None) -> str:
     """The text between surges and dives, blocks joined by one space; empty for null pages and pages without any."""
     blocks = lines(page or "")
     marked = any(inside and not bad for _, bad, inside, _, _ in blocks)
+    good = [not bad and (inside or not marked) for _, bad, inside, _, _ in blocks]
     weight = [0 if bad or marked and not inside else len(text) - (0 if marked else link) for text, bad, inside, _, link in blocks]
     need = 1 if marked else min(SURGE, max((sum(weight[i : i + WINDOW]) for i in range(len(weight))), default=0))
     kept: list[str] = []
@@ -130,7 +131,7 @@ def main_text(page: str | None) -> str:
             i += 1
             continue
         while i < n and any(weight[i : i + WINDOW]):  # until the dive
-            if weight[i]:
+            if good[i]:
                 kept.append(blocks[i][0])
             i += 1
     return " ".join(kept)

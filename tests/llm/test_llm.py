@@ -376,6 +376,12 @@ def test_html(spark, sf):
         assert " ".join(got[r["page_id"]].split()) == want
 
 
+def test_html_keeps_links_between_paragraphs():
+    long = "long text here. " * 10
+    page = f"<p>{long}</p><p><a href=x>A whole block that is a link</a></p><p class=ad>buy</p><p>{long}</p><ul><li><a href=y>next page</a></ul>"
+    assert html.main_text(page) == f"{long.strip()} A whole block that is a link {long.strip()}"
+
+
 # --- 9 packing
 
 
