@@ -21,28 +21,32 @@ _POOL: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """Text to ids with a public byte-level BPE file (.json with its .tiktoken twin beside it, or .tiktoken).
+    """Text to ids with a public byte-level BPE file (.json with its .tiktoken twin beside it).
 
-    Both files hold one vocabulary, and give the same ids; the twin's library needs a third of the time. Strings of
-    special tokens in a text are ordinary text. Without the twin the .json file is used itself.
+    The ids are those of the tokenizers library with the .json file and add_special_tokens=False: a special token's string
+    in a text is that token. Both files hold one vocabulary, and the twin's library needs a third of the time; it is used
+    where the .json file's added tokens are plain strings. Without a twin the .json file is used itself.
     """
     if path not in _POOL:
+        import json
         import os
 
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
         twin = re.sub(r"\.json$", ".tiktoken", path)
-        if os.path.exists(twin):
+        plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in added)
+        if os.path.exists(twin) and twin != path and plain:
             import public_tokenizers
             import tiktoken
 
             with open(twin, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-            own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _POOL[path] = lambda t: own.encode_to_numpy(t, disallowed_special=()) if t else np.empty(0, np.uint32)
+            own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
+            _POOL[path] = lambda t: own.encode_to_numpy(t, allowed_special="all") if t else np.empty(0, np.uint32)
         else:
-            from tokenizers import Tokenizer
-
             tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
             _POOL[path] = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, np.uint32)
     return _POOL[path]
 
@@ -80,7 +84,11 @@ def pieces(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", l
 
 
 def pack(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", length: int = LENGTH, ids: bool = False) -> DataFrame:
-    """The pieces with `bucket` (their power of two), `sequence_id` and `offset`; documents with repeated ids are packed each.
+    """The pieces with `bucket` (their power of two), `sequence_id` and `offset`.
+
+    Null and empty texts are one piece, their end id. Repeated rows and ids are packed each on their own, and a null id
+    stays null. A text of any length is encoded whole, in its task's memory. Columns of `docs` other than its id and text
+    are ignored, whatever their names; an empty table gives an empty one.
 
     A piece is a sequence, so numbering needs no sort and no shuffle: a sequence's number is its partition and its row
     there, and a task that runs again gives the same numbers. Nothing is broadcast or gathered.
@@ -96,6 +104,7 @@ def write_buckets(packed: DataFrame, path: str) -> None:
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all `documents`, in sequences of at most 2048 tokens. Awkward rows: see pack."""
     import public_tokenizers
 
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))

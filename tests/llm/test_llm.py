@@ -382,6 +382,49 @@ def test_html_keeps_links_between_paragraphs():
     assert html.main_text(page) == f"{long.strip()} A whole block that is a link {long.strip()}"
 
 
+def article(page):
+    import html as h
+
+    body = page.split("<article>")[1].split("</article>")[0]
+    return " ".join(h.unescape(re.sub(r"<[^>]*>", " ", body)).split())
+
+
+@pytest.mark.parametrize("box", ["", "div", "section"])
+def test_html_needs_no_article_element(sf, box):
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist():
+        bare = page.replace("<article>", f"<{box}>" * bool(box)).replace("</article>", f"</{box}>" * bool(box))
+        assert html.main_text(bare) == html.main_text(page) and " ".join(html.main_text(bare).split()) == article(page)
+
+
+def test_html_names_do_not_decide():
+    long = "long text here. " * 10
+    said = f"{long.strip()} A b c Some history verse"
+    assert html.main_text(f"<article><p>{long}</p><p class='header-text'>A b c</p><div class='social-history'>Some history</div><p id='form-of-verse'>verse</p></article>") == said
+    assert html.main_text(f"<article><header><h1>My title</h1></header><p>{long}</p></article>") == f"My title {long.strip()}"
+    assert html.main_text(f"<div><p>{long}</p><p>{long}</p></div><article>teaser card</article>") == f"{long.strip()} {long.strip()}"
+    assert html.main_text(f"<div><p>{long}</p><p>{long}</p></div><div>Copyright 2020 Site</div>") == f"{long.strip()} {long.strip()}"
+    assert html.main_text(f"<div class=comments><p>{long * 3}</p></div><p>{long}</p>") == long.strip()
+    assert html.main_text(f"<div class=a><p>{long}</p></div><div class=b><p>short tail</p></div><div class=c><p>{long}</p></div>") == f"{long.strip()} short tail {long.strip()}"
+
+
+@pytest.mark.parametrize("page", ["<p" * 100_000, "<div>" * 100_000, "<div>" * 50_000 + "</x>" * 50_000, "<b>" * 50_000 + "<p></p>" * 50_000, "<a '>" * 100_000, "<p " + "class " * 50_000 + ">", "<li><div>" + "<b>" * 30_000 + "<li></li>" * 30_000, "<p>a" * 100_000])
+def test_html_takes_linear_time(page):
+    import time
+
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 5
+
+
+def test_html_awkward_tables(spark):
+    rows = [(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (None, None, None), (2, "u", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("factor", F.lit("clash"))
+    assert sorted(((r["page_id"], r["url"], r["text"]) for r in html.extract(df).collect()), key=str) == sorted([(1, "u", "x"), (1, "u", "x"), (None, None, ""), (2, "u", "")], key=str)
+    assert html.extract(df.limit(0)).count() == 0
+
+
 # --- 9 packing
 
 
@@ -390,9 +433,10 @@ def test_packing(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     rng = random.Random(5)
-    texts = AWKWARD + ["".join(rng.choices("the and ñ 12\n<|endoftext|> é😀  ", k=rng.randint(1, 4000))) for _ in range(40)]
+    texts = AWKWARD + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext", "  <|endoftext|>  \n"]
+    texts += ["".join(rng.choices(["the", " and", "ñ", " ", "12", "\n", "<|endoftext|>", "é😀"], k=rng.randint(1, 400))) for _ in range(20)] + ["".join(rng.choices("the and ñ 12\n<|endoftext|> é😀  ", k=rng.randint(1, 4000))) for _ in range(40)]
     df = docs(spark, *texts).withColumn("length", F.lit("clash"))
     rows = packing.pack(df, path, ids=True).collect()
     assert len({r["sequence_id"] for r in rows}) == len(rows)
