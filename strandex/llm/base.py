@@ -14,11 +14,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder if all runs in this one process (tests), and the warehouse on a cluster.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="strandex-")
+        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        found = tempfile.mkdtemp(prefix="strandex-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/strandex"
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir() or found
     return found
@@ -34,13 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table of written() that nothing will read again."""
-    path = getattr(df, "_strandex_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_strandex_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words(text: Column) -> Column:
@@ -53,7 +58,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """Connected components of an undirected graph as (id, component): the smallest id that each id reaches.
 
     Alternating large-star and small-star contraction. Only ids that have an edge are returned. Every round is two
-    grouped minima, which Spark combines before the shuffle, and joins back; nothing is gathered by component.
+    grouped minima, which Spark combines before the shuffle, and joins back; nothing is gathered by component. forget() takes
+    the result's table away.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = written(e, "edges")
@@ -74,4 +80,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError("components: no fixed point")
     roots = e.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    out = e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    out._strandex_path = e._strandex_path
+    return out

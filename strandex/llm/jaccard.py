@@ -1,14 +1,19 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 The matrix has a row for each distinct set of word n-grams (texts with equal sets are one row) and a column for each
-n-gram. Its columns are put in one order for the whole corpus: by hash, the commonest n-grams last. A row enters the
-product with its first |x| - ceil(t |x|) + 1 columns only: two rows with similarity t or more share one of those.
-
-Pairs come from the columns in blocks. First each column is multiplied with two of its rows (pivots) only; the links
-found so far are contracted to components. Then the product is taken between rows of different components in a column,
-so that a column shared by thousands of near copies never yields all their pairs. Both times overlap is accumulated
-for each pair over the shared columns, and a pair is discarded as soon as sizes, positions or parity sketches
-prove that its overlap stays under the bound. What is left is compared on whole sets.
+n-gram, in one order for the whole corpus: by hash, the commonest n-grams last. An entry of rows times rows is the
+overlap of two sets. Similarity t asks of sets of x and y elements an overlap of t (x + y) / (1 + t), and entries are
+discarded as soon as what they have and what is left to add stay below that.
+
+The first block of columns brings up the entries. It has the first |x| - ceil(t |x|) + 1 columns of a row, one of which
+two linking rows share, and no less than the columns up to a place that is the same for all rows. Each column is first
+multiplied with two of its rows (pivots) only; the links found are contracted to components. Then the product is taken
+between rows of different components in a column, so that a column shared by thousands of near copies never yields all
+their pairs. A row must share many columns of the block with a larger one that links with it, so that it leaves out the
+commonest of its own; a passage that unrelated texts share brings up no pairs of them. Columns that a row shares with no
+other count against it, and so do places in the order and parity sketches.
+
+The other blocks add up the overlap of the entries that are left, discarding on the way; after the last one it is exact.
 """
 
 from __future__ import annotations
@@ -18,15 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .base import components, forget, written
 
 HOT = 1 << 18  # columns that are put last; bounds what is broadcast to 2 MB
 FLUSH = 2_000_000  # n-grams whose repeats are counted at once in a task
+GIVE = 500_000  # n-grams that a task holds before it gives rows away
 BITS = (1024, 1 << 16)  # a sketch has as many bits as its set has elements, a power of two between these
 FOLDED = 256  # bits of a sketch while rows of a column meet
 BROADCAST_IDS = 1_000_000  # candidates (16 MB) up to which texts are picked where they are; beyond, they are shuffled
+HIGH = np.uint64(1 << 62)  # set in the place of a common n-gram
+PARTS = 8  # parts of a row's range of columns, for each of which the columns that are its own alone are counted
+SPARE = 0.15  # by how much the place up to which every row brings its columns lies beyond the share of them that it must bring
+BLOCKS = (0.25, 1.0)  # parts of the order of columns where the blocks of the final product end
+MEET = 3  # columns in which two rows must meet, if their sizes allow it, to be an entry
+SALTS = 64  # parts of the entries of one row, which may be a pivot of very many
 FEW = 16  # components in a column, up to which its rows are joined by pairs of components
 
 _SEED = np.random.default_rng(20240229)
@@ -64,23 +76,26 @@ def sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
         i = j
 
 
-def _block(raw: list[bytes], k: int) -> Iterator[np.ndarray]:
-    none = np.empty(0, np.uint64)
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of some texts, letters A-Z lower-cased, and where each text's words begin and the last's end."""
     b = _LOWER[np.frombuffer(b"\n".join([*raw, b""]), np.uint8)]
     gap = _GAP[b]
     edge = np.diff(np.concatenate(([1], gap.view(np.int8), [1])))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    first = np.concatenate(([0], np.cumsum([len(x) + 1 for x in raw])))
+    at = np.searchsorted(start, np.concatenate(([0], np.cumsum([len(x) + 1 for x in raw]))))
     if not len(start):
-        yield from (none for _ in raw)
-        return
+        return np.empty(0, np.uint64), at
     with np.errstate(over="ignore"):
-        place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b)))) if start[0] == 0 else np.concatenate((np.zeros(start[0], int), np.arange(start[0], len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))))
+        before = np.concatenate((np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(b))))))
+        place = np.arange(len(b)) - before
         value = np.where(gap, np.uint64(0), _BYTE[b] * _powers(int(place.max()) + 1)[place])
-        word = _mix(np.add.reduceat(value, start) + (end - start).astype(np.uint64))
-        at = np.searchsorted(start, first)
-        n = len(word) - k + 1
-        gram = None
+        return _mix(np.add.reduceat(value, start) + (end - start).astype(np.uint64)), at
+
+
+def _block(raw: list[bytes], k: int) -> Iterator[np.ndarray]:
+    word, at = word_hashes(raw)
+    n = len(word) - k + 1
+    with np.errstate(over="ignore"):
         if n > 0:
             gram = np.zeros(n, np.uint64)
             for d in range(k):
@@ -96,7 +111,7 @@ def _block(raw: list[bytes], k: int) -> Iterator[np.ndarray]:
                     short = short + word[lo + d] * _ODD[1 + d]
                 yield _mix(np.array([short], np.uint64))
             else:
-                yield none
+                yield np.empty(0, np.uint64)
 
 
 def required(n: int, percent: int) -> int:
@@ -131,27 +146,43 @@ def common(docs: DataFrame, k: int, text: str = "text") -> np.ndarray:
     return np.sort(top["g"].to_numpy(np.int64).view(np.uint64))
 
 
+def place(percent: int) -> int:
+    """Up to this place in the order, every row brings all its columns."""
+    return int((1 - percent / 100) * (1 + SPARE) * (1 << 62))
+
+
 def incidence(docs: DataFrame, k: int, percent: int, hot: np.ndarray, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, n, s1, s2, cols, last, sketch, small): size and 128-bit fingerprint of each set, its columns for the product in order,
-    the place of the last of them in the order of all columns, and its parity sketch, whole and folded.
+    """(id, n, s1, s2, cols, last, early, below, sketch, small): size and 128-bit fingerprint of each set, its columns for the
+    product as places in their order, the place up to which it has all, how many are up to place(), how many in the first
+    1 to PARTS parts of the range, and its parity sketch, whole and folded.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(hot)
 
     def rows(batches):
-        hot = known.value
+        hot, common_end = known.value, place(percent)
         seen = np.zeros(1 << 22, bool)
         seen[(hot >> np.uint64(42)).astype(np.int64)] = True
         for pdf in batches:
-            out: dict[str, list] = {c: [] for c in ("id", "n", "s1", "s2", "cols", "last", "sketch", "small")}
+            out: dict[str, list] = {c: [] for c in ("id", "n", "s1", "s2", "cols", "last", "early", "below", "sketch", "small")}
+            held = 0
             for i, s in zip(pdf["i"], sets(list(pdf["t"]), k), strict=True):
+                held += len(s)
+                if held > GIVE:
+                    yield pd.DataFrame(out)
+                    out, held = {c: [] for c in out}, len(s)
                 n = len(s)
                 p = n - required(n, percent) + 1 if n else 0
                 late = seen[(s >> np.uint64(42)).astype(np.int64)]
                 if late.any():
                     at = np.minimum(np.searchsorted(hot, s[late]), len(hot) - 1)
                     late[late] = hot[at] == s[late]
-                cols = np.concatenate((s[~late], s[late]))[:p]
+                cols = np.concatenate((s[~late] >> np.uint64(2), (s[late] >> np.uint64(2)) | HIGH)).view(np.int64)
+                early = int(np.searchsorted(cols, common_end, side="right"))
+                cols = cols[: max(p, early)]
+                last = max(common_end, int(cols[-1])) if n else 0
+                ends = last // PARTS * np.arange(1, PARTS + 1)
+                ends[-1] = last
                 with np.errstate(over="ignore"):
                     a, b = _mix(s + _ODD[50]), _mix(s ^ _ODD[51])
                     bits = min(BITS[1], max(BITS[0], 1 << max(n - 1, 0).bit_length()))
@@ -160,14 +191,16 @@ def incidence(docs: DataFrame, k: int, percent: int, hot: np.ndarray, text: str
                     out["s2"].append(np.bitwise_xor.reduce(b).view(np.int64) if n else 0)
                 out["id"].append(i)
                 out["n"].append(n)
-                out["cols"].append(cols.view(np.int64))
-                out["last"].append(int(cols[-1] >> np.uint64(2)) + ((1 << 62) if p > n - late.sum() else 0) if n else 0)
+                out["cols"].append(cols)
+                out["last"].append(last)
+                out["early"].append(early)
+                out["below"].append(np.searchsorted(cols, ends, side="right"))
                 out["sketch"].append(np.packbits(parity).view(np.int64))
                 out["small"].append(np.packbits(parity.reshape(-1, FOLDED).sum(axis=0, dtype=np.uint32).astype(np.uint8) & 1).view(np.int64))
             yield pd.DataFrame(out)
 
     kind = dict(docs.dtypes)[id]
-    return docs.select(F.col(id).alias("i"), F.col(text).alias("t")).mapInPandas(rows, f"id {kind}, n long, s1 long, s2 long, cols array<long>, last long, sketch array<long>, small array<long>")
+    return docs.select(F.col(id).alias("i"), F.col(text).alias("t")).mapInPandas(rows, f"id {kind}, n long, s1 long, s2 long, cols array<long>, last long, early long, below array<long>, sketch array<long>, small array<long>")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, k: int, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -175,7 +208,15 @@ def whole_sets(docs: DataFrame, ids: DataFrame, k: int, text: str = "text", id:
 
     def rows(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["i"], "grams": [s.view(np.int64) for s in sets(list(pdf["t"]), k)]})
+            ids, grams, held = [], [], 0
+            for i, s in zip(pdf["i"], sets(list(pdf["t"]), k), strict=True):
+                ids.append(i)
+                grams.append(s.view(np.int64))
+                held += len(s)
+                if held > GIVE:
+                    yield pd.DataFrame({"id": ids, "grams": grams})
+                    ids, grams, held = [], [], 0
+            yield pd.DataFrame({"id": ids, "grams": grams})
 
     kind = dict(docs.dtypes)[id]
     wanted = ids.select(F.col("id").alias("i"))
@@ -184,31 +225,52 @@ def whole_sets(docs: DataFrame, ids: DataFrame, k: int, text: str = "text", id:
     return some.mapInPandas(rows, f"id {kind}, grams array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str, id: str) -> DataFrame:
-    """Of (a, b) those whose whole sets reach the similarity."""
+def _beside(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """`pairs` with the columns of `rows` for the id in `key`. A row goes to each of SALTS parts of its pairs that has any."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)))
+    wanted = salted.select(key, "salt").distinct().join(rows.withColumnRenamed("id", key), key)
+    return salted.join(wanted, [key, "salt"]).drop("salt")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str, id: str) -> DataFrame:
+    """Of (a, b) those that link: their overlap is added up block by block, and what can't reach the similarity goes."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     full = written(whole_sets(docs, ids, k, text, id), "sets")
+    kind = dict(pairs.dtypes)["a"]
 
-    def exact(batches):
-        for pdf in batches:
-            good = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pdf.loc[good, ["a", "b"]]
+    def block(low: float, high: float) -> DataFrame:
+        # Sorted arrays of hashes: signed, so that a range of the order is a range of them.
+        ends = [F.lit(int(x * (1 << 64)) - (1 << 63) - (x == 1.0)) for x in (low, high)]
+        own = F.filter("grams", lambda g: (g >= ends[0] if low == 0 else g > ends[0]) & (g <= ends[1]))
+        return full.select("id", F.size("grams").alias("n"), F.size(F.filter("grams", lambda g: g > ends[1])).alias("rest"), own.alias("g"))
 
-    kind = dict(pairs.dtypes)["a"]
-    x = full.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    y = full.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(exact, f"a {kind}, b {kind}").distinct()
+    def add(batches):
+        for pdf in batches:
+            had = pdf["overlap"].to_numpy() + np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(pdf["gx"], pdf["gy"], strict=True)], np.int64)
+            most = had + np.minimum(pdf["rx"].to_numpy(), pdf["ry"].to_numpy())
+            yield pdf[["a", "b"]].assign(overlap=had)[(100 + percent) * most >= percent * (pdf["nx"].to_numpy() + pdf["ny"].to_numpy())]
+
+    at, entries = 0.0, pairs.select("a", "b", F.lit(0).cast("long").alias("overlap"))
+    for end in BLOCKS:
+        part = block(at, end)
+        both = _beside(entries, part.select("id", F.col("n").alias("nx"), F.col("rest").alias("rx"), F.col("g").alias("gx")), "a")
+        both = _beside(both, part.select("id", F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("g").alias("gy")), "b")
+        now = written(both.mapInPandas(add, f"a {kind}, b {kind}, overlap long"), "entries")
+        forget(entries)
+        entries, at = now, end
+    links = written(entries.select("a", "b").distinct(), "links")
+    forget(ids, full, entries)
+    return links
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of `docs` whose id is not null.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of k-word n-grams; component_id is
-    the smallest id that links reach. Null, empty and blank texts have no n-grams and link with nothing. Repeated ids
-    keep their rows; their texts count as texts of one document. Other columns of `docs` are ignored.
+    the smallest id that links reach. Null, empty and blank texts have no n-grams and link with nothing; a text with
+    fewer than k words is one n-gram. A text of any length is hashed whole, in its task's memory. Repeated ids keep their
+    rows; their texts count as texts of one document. Rows without an id are left out. An empty table gives none. Other
+    columns of `docs`, whatever their names, are ignored.
     """
     docs = docs.select(F.col(id), F.col(text)).where(F.col(id).isNotNull())
     hot = common(docs, k, text)
@@ -219,24 +281,38 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
     # A row needs another in its column that is near in size. Sizes that may link fall in one of 64 cyclic bands or two
     # neighbouring ones; where a column has a row for each band that it has, a row without a neighbour is alone.
     band = F.pmod(F.floor(F.log(F.col("n")) / F.lit(-math.log(percent / 100 - 0.005))), F.lit(64)).cast("int")
-    inc = heads.select("id", "n", "last", F.posexplode("cols").alias("pos", "col"))
+    inc = heads.select("id", "n", F.size("cols").cast("long").alias("q"), "last", F.posexplode("cols").alias("pos", "col"))
     shared = inc.groupBy("col").agg(F.count("*").alias("c"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), band)).alias("bands")).where("c > 1")
     bit = lambda d: F.call_function("getbit", "bands", F.pmod(band + d, F.lit(64))) == 1
     met = inc.join(shared, "col").where((F.col("c") > F.bit_count("bands")) | bit(1) | bit(-1))
-    block = written(met.select("col", "id", "n", "last", "pos"), "block")
-    # Columns of a row that no other row shares are lost to its overlap with rows whose columns go further.
-    most = block.groupBy("id").agg((F.max("n") - F.expr(f"max(n) - ceil({percent} * max(n) / 100) + 1") + F.count_distinct("col")).cast("long").alias("cap"))
-    block = block.join(most, "id")
+    met = block = written(met.select("col", "id", "n", "q", "last", "pos"), "block")
+
+    def alone(rows_: DataFrame) -> DataFrame:
+        """(id, fade): for each part of a row's range, how many of its columns up to there are not in `rows_`, in 255ths of all.
+
+        Such columns are lost to its overlap with any other row. A byte for each part, rounded down.
+        """
+        ends = [f"(last div {PARTS}) * {j}" for j in range(1, PARTS)] + ["last"]
+        live = rows_.groupBy("id", "q").agg(*(F.sum(F.expr(f"CASE WHEN col <= {e} THEN 1L ELSE 0L END")).alias(f"l{j}") for j, e in enumerate(ends)))
+        part = [f"shiftleft(greatest(0L, (255L * (below[{j}] - l{j})) div q), {8 * j})" for j in range(PARTS)]
+        return live.join(heads.select("id", "below"), "id").select("id", F.expr(" | ".join(part)).alias("fade"))
+
+    block = block.join(alone(block), "id")
 
     def fits(x: str, y: str) -> str:
-        """Near in size, and overlap, which is at most the cap of the row whose columns end first, can suffice."""
-        return f"""100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {100 + percent} * CASE WHEN {x}.last < {y}.last THEN {x}.cap
-            WHEN {x}.last > {y}.last THEN {y}.cap ELSE greatest({x}.cap, {y}.cap) END >= {percent} * ({x}.n + {y}.n)"""
+        """Near in size, and the overlap can suffice: columns of either row that it shares with no one are lost to it."""
+
+        def most(z: str) -> str:
+            part = f"CASE WHEN {z}.last <= least({x}.last, {y}.last) THEN {PARTS} ELSE least({PARTS}L, least({x}.last, {y}.last) div greatest({z}.last div {PARTS}, 1L)) END"
+            return f"{z}.n - CASE WHEN {part} = 0 THEN 0L ELSE ((shiftright({z}.fade, cast(8 * ({part} - 1) as int)) & 255L) * {z}.q) div 255 END"
+
+        return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) AND {100 + percent} * least({most(x)}, {most(y)}) >= {percent} * ({x}.n + {y}.n)"
 
     # Two rows of each column, by which block one goes on; most columns have no others, and end here if those don't fit.
-    own = F.struct("id", "n", "last", "cap")
+    own = F.struct("id", "n", "q", "last", "fade")
     ends = block.groupBy("col").agg(F.count("*").alias("c"), F.min(own).alias("p1"), F.max(own).alias("p2"))
     block = written(block.join(ends.where(f"c > 2 OR {fits('p1', 'p2')}").drop("c"), "col"), "block")
+    forget(met)
 
     sketch = written(heads.join(block.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch", "small"), "sketch")
 
@@ -250,41 +326,54 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
 
     def plausible(pairs: DataFrame) -> DataFrame:
         """Discard pairs of (a, b) by size and by the parity of their symmetric difference, which the set bits never exceed."""
-        x = sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-        y = sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+        x = sketch.select("id", F.col("n").alias("na"), F.col("sketch").alias("x"))
+        y = sketch.select("id", F.col("n").alias("nb"), F.col("sketch").alias("y"))
         near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
         bits = f"aggregate(zip_with({halved('x', 'y')}, {halved('y', 'x')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
         unlike = "size(x) > 2 * size(y) OR size(y) > 2 * size(x)"  # not for similarities over a half
-        return pairs.join(x, "a").join(y, "b").where(near).where(f"{unlike} OR {bits} <= {differs('na', 'nb')}").select("a", "b").distinct()
+        return _beside(_beside(pairs, x, "a"), y, "b").where(near).where(f"{unlike} OR {bits} <= {differs('na', 'nb')}").select("a", "b").distinct()
 
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
 
-    # Block one: each column times two of its rows.
+    # Each column times two of its rows.
     one = block.select(own.alias("x"), F.explode(F.array("p1", "p2")).alias("y"))
     one = one.where("x.id <> y.id").where(fits("x", "y")).select(*pair).distinct()
     tried = written(plausible(one), "pairs")
-    near = written(_verified(tried, docs, k, percent, text, id), "links")
+    near = _linked(tried, docs, k, percent, text, id)
     label = components(near)
 
-    # Block two: rows of different components in a column. Most columns have one component by now.
-    named = block.join(label, "id", "left").select("col", "id", "n", "last", "cap", "pos", F.coalesce("component", "id").alias("c"))
-    kinds = named.groupBy("col", "c").agg(F.lit(1).alias("one"))
-    mixed = kinds.groupBy("col").agg(F.count("*").alias("k")).where("k > 1")
-    named = written(named.join(mixed, "col").join(sketch.select("id", "small").distinct(), "id"), "mixed")
+    # Rows of different components in a column. Most columns have one component by now.
+    named = block.join(label, "id", "left").select("col", "id", "n", "q", "last", "pos", F.coalesce("component", "id").alias("c"))
+    kinds = named.groupBy("col", "c").agg(F.count("*").alias("m"))
+    mixed = kinds.groupBy("col").agg(F.count("*").alias("k"), F.sum("m").alias("m")).where("k > 1")
+    named = named.join(mixed, "col")
+    # By now a column that only one component has is lost as well. Of the columns up to place() a row shares `need` or more with
+    # any row of its size or larger that it links with. So it looks in all its columns but need - few of the commonest, and
+    # meets such a row in `few` of them at least, which is more than rows share by chance.
+    need = f"greatest(1L, cast(ceil(2 * {percent} * n / {100 + percent}) as bigint) - n + early)"
+    common_first = Window.partitionBy("id").orderBy(F.desc("m"), F.desc("col"))
+    named = named.withColumn("late", F.row_number().over(common_first))
+    spare = heads.select("id", "small", F.expr(need).alias("need"), (F.col("n") - F.col("early")).alias("open"))
+    named = named.join(alone(named), "id").join(spare, "id").withColumn("left_out", F.greatest(F.lit(0), F.col("need") - MEET))
+    named = named.select("col", "k", "id", "n", "q", "last", "pos", "c", "fade", "small", (F.col("late") > F.col("left_out")).alias("looks"), (F.col("left_out") + F.col("open")).alias("open"))
+    named = written(named, "mixed")
     # A shared column leaves the rests of x and y behind it for the overlap, and what may be shared before it.
     places = f"{100 + percent} * (1 + least(x.n - x.pos - 1, y.n - y.pos - 1) + least(x.pos, y.pos)) >= {percent} * (x.n + y.n)"
     differ = " + ".join(f"bit_count(x.small[{w}] ^ y.small[{w}])" for w in range(FOLDED // 64))
-    linkable = f"{fits('x', 'y')} AND {places} AND {differ} <= {differs('x.n', 'y.n')}"
+    linkable = f"x.looks AND (x.n < y.n OR x.n = y.n AND x.id < y.id) AND {fits('x', 'y')} AND {places} AND {differ} <= {differs('x.n', 'y.n')}"
     # Columns of few components, which may be large, are joined by component, so that rows of one never meet.
     few, many = named.where(f"k <= {FEW}"), named.where(f"k > {FEW}")
-    kinds = few.select("col", "c").distinct()
-    meet = kinds.alias("u").join(kinds.alias("v"), F.expr("u.col = v.col AND u.c < v.c")).select("u.col", F.col("u.c").alias("c1"), F.col("v.c").alias("c2"))
-    x = meet.join(few.withColumnRenamed("c", "c1"), ["col", "c1"]).alias("x")
-    two = x.join(few.alias("y"), F.expr(f"x.col = y.col AND x.c2 = y.c AND {linkable}")).select(*pair)
-    two = two.unionByName(many.alias("x").join(many.alias("y"), F.expr(f"x.col = y.col AND x.c < y.c AND {linkable}")).select(*pair))
-    two = two.groupBy("a", "b").agg(F.count("*").alias("overlap")).select("a", "b")
+    kinds = few.groupBy("col", "c").agg(F.max("looks").alias("looks"))
+    meet = kinds.where("looks").alias("u").join(kinds.alias("v"), F.expr("u.col = v.col AND u.c <> v.c")).select("u.col", F.col("u.c").alias("c1"), F.col("v.c").alias("c2"))
+    x = meet.join(few.where("looks").withColumnRenamed("c", "c1"), ["col", "c1"]).alias("x")
+    entry = [*pair, F.col("x.open").alias("open"), F.expr("x.n + y.n").alias("both")]
+    two = x.join(few.alias("y"), F.expr(f"x.col = y.col AND x.c2 = y.c AND {linkable}")).select(*entry)
+    two = two.unionByName(many.where("looks").alias("x").join(many.alias("y"), F.expr(f"x.col = y.col AND x.c <> y.c AND {linkable}")).select(*entry))
+    # Overlap is at most what these columns add up to, those left out and those after place().
+    two = two.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.max("open").alias("open"), F.max("both").alias("both"))
+    two = two.where(f"{100 + percent} * (overlap + open) >= {percent} * both").select("a", "b")
     rest = written(plausible(two.join(tried, ["a", "b"], "left_anti")), "pairs")
-    far = written(_verified(rest, docs, k, percent, text, id), "links")
+    far = _linked(rest, docs, k, percent, text, id)
     links = near.unionByName(far)
     # Rows that share an id are one document: its classes link.
     ids = rows.where("n > 0").join(classes, ["n", "s1", "s2"]).select("id", "rep")
@@ -292,10 +381,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
     final = components(links.unionByName(repeated.join(ids.groupBy("id").agg(F.count_distinct("rep").alias("k")).where("k > 1").select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")))
     out = rows.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("id", "n", "rep")
     out = out.join(final.withColumnRenamed("id", "rep").withColumnRenamed("component", "c"), "rep", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "rep", "id").alias("component_id"))
+    out = written(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "rep", "id").alias("component_id")), "groups")
+    forget(rows, classes, block, sketch, tried, near, label, named, rest, far, final)
+    return out
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """Near copies among `documents`: three words, similarity 0.9. Awkward rows: see jaccard_components."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
 
 
