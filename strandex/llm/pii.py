@@ -1,21 +1,26 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of identifiers that they miss.
 
-Base spans (email, ip, card, phone) are seeds. The words around them induce lexical patterns: the word before, the two
-before, the word before with the word after. Other number-like tokens of the texts are instances, joined with patterns
-to a bipartite graph. Spark scores it iteratively: a pattern by the mean score of the instances it extracts (seeds are
-1, smoothed against patterns of little support), an instance by the noisy-or of its patterns. Instances that patterns
-of high confidence extract are added as spans of kind `id`; base spans always stay.
+Seeds are the base spans (email, ip, card, phone) and tokens that by their form can only be machine identifiers (long hexadecimal
+strings with digits and letters, UUIDs). The words around them induce lexical patterns: the one, two or three words before, and the one or two
+before with the word after. Other number-like tokens of the texts are instances, joined with patterns to a bipartite graph.
+Spark scores it iteratively: a pattern by its precision, which is the score of what it extracts over how often its words
+stand before anything at all in the corpus (smoothed against little support); an instance by the noisy-or of the
+patterns that extract it and are right more often than not. Instances so found support further patterns in the next round. Tokens that
+patterns of high confidence extract are added as spans of kind `id`; base spans always stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .base import written
+from .base import forget, written
+from .jaccard import _mix, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed values.
@@ -25,10 +30,18 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 ROUNDS = 4
-SUPPORT = 5  # distinct seeds that a pattern needs
-SMOOTH = 2.0  # instances of score 0 that each pattern is given
+SUPPORT = 5  # distinct instances, seeds among them, that a pattern needs
+SMOOTH = 2.0  # slots of score 0 that each pattern is given
+LIKELY = 0.5  # precision from which a pattern speaks for its instances
 CONFIDENT = 0.8
-
+BITS = 24  # of the bitmap of patterns' hashes, 2 MB whatever their number, by which the pass over all slots leaves out most others
+FLUSH = 1_000_000  # slots whose patterns are counted at once in a task
+BROADCAST = 100_000  # patterns (2 MB) up to which they are broadcast; beyond, they are shuffled
+
+_STRONG = re.compile(r"(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: A context: how many words before, whether the word after, and odd multipliers of the words' hashes.
+CONTEXTS = tuple((n, after, [int(x) | 1 for x in np.random.default_rng(97 + 2 * n + after).integers(1, 2**63, 4)]) for n, after in ((1, 0), (2, 0), (3, 0), (1, 1), (2, 1)))
+_MASK = (1 << 64) - 1
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NUMBER = re.compile(r"[A-Za-z0-9]+(?:[_/.#:-]+[A-Za-z0-9]+)*")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,34 +91,55 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _around(text: str, start: int, end: int) -> list[str]:
-    """The patterns that a span matches."""
-    low = max(0, start - 120)
-    before = [w.strip(".,;:!?()[]\"'").lower() for w in _WORD.findall(text[low:start])][-2:]
-    after = _WORD.findall(text[end : end + 60].lstrip(".,;:!?)\"'"))[:1]
-    if not before or any(re.search("[0-9@]", w) for w in before):
-        return []
-    out = [f"1 {before[-1]}"]
-    if len(before) == 2:
-        out.append(f"2 {before[0]} {before[1]}")
-    if after:
-        out.append(f"3 {before[-1]} _ {after[0].strip('.,;:!?').lower()}")
+def slots(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hashes of all patterns of all slots: whatever stands at a word of some texts, with the words around it in its text."""
+    here = np.arange(len(word)) - np.repeat(at[:-1], np.diff(at))
+    rest = np.repeat(at[1:], np.diff(at)) - np.arange(len(word)) - 1
+    out = []
+    with np.errstate(over="ignore"):
+        for n, after, odd in CONTEXTS:
+            i = np.flatnonzero((here >= n) & (rest >= after))
+            h = np.full(len(i), odd[3], np.uint64)
+            for d in range(n):
+                h += word[i - 1 - d] * np.uint64(odd[d])
+            if after:
+                h ^= _mix(word[i + 1] + np.uint64(odd[3]))
+            out.append(_mix(h))
+    return np.concatenate(out)
+
+
+def _around(word: np.ndarray, i: int, j: int) -> list[int]:
+    """The patterns of a span over the words i to j, as slots() has them; only a single word has a word after it."""
+    out = []
+    with np.errstate(over="ignore"):
+        for n, after, odd in CONTEXTS:
+            if i >= n and (not after or i == j and j + 1 < len(word)):
+                h = np.array([odd[3]], np.uint64)
+                for d in range(n):
+                    h += word[i - 1 - d] * np.uint64(odd[d])
+                if after:
+                    h ^= _mix(word[j + 1 : j + 2] + np.uint64(odd[3]))
+                out.append(int(_mix(h).view(np.int64)[0]))
     return out
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Tokens of five characters and four digits or more that no base span touches."""
-    out = []
-    used = sorted((a, b) for _, a, b in taken)
-    k = 0
     if len(re.findall("[0-9]", text)) < 4:
-        return out
+        return []
+    used: list[list[int]] = []  # disjoint, in order
+    for a, b in sorted((a, b) for _, a, b in taken):
+        if used and a < used[-1][1]:
+            used[-1][1] = max(used[-1][1], b)
+        else:
+            used.append([a, b])
+    ends = [b for _, b in used]
+    out = []
     for n in _NUMBER.finditer(text):
         if n.end() - n.start() < 5 or len(re.findall("[0-9]", n[0])) < 4:
             continue
-        while k < len(used) and used[k][1] <= n.start():
-            k += 1
-        if not any(a < n.end() and n.start() < b for a, b in used[k : k + 4]):
+        k = bisect_right(ends, n.start())
+        if k == len(used) or used[k][0] >= n.end():
             out.append(n.span())
     return out
 
@@ -128,56 +162,121 @@ def scan(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
                     out[f"n_{k}"].append(sum(s[0] == k for s in spans))
                 out["base"].append(_joined(spans))
                 out["base_sha256"].append(hashlib.sha256(out["base"][-1].encode()).hexdigest())
-                out["seeds"].append([{"inst": t[a:b], "pats": p} for _, a, b in spans if (p := _around(t, a, b))])
-                out["cands"].append([{"start": a, "end": b, "inst": t[a:b], "pats": p} for a, b in candidates(t, spans) if (p := _around(t, a, b))])
+                found = candidates(t, spans)
+                pats = {}
+                if spans or found:
+                    word, _ = word_hashes([t.encode("utf-8", "surrogatepass")])
+                    starts = [m.start() for m in _WORD.finditer(t)]
+                    pats = {(a, b): _around(word, bisect_right(starts, a) - 1, bisect_left(starts, b) - 1) for a, b in [s[1:] for s in spans] + found}
+                out["seeds"].append([{"inst": t[a:b], "pats": p} for _, a, b in spans if (p := pats[a, b])])
+                out["cands"].append([{"start": a, "end": b, "inst": t[a:b], "pats": p, "seed": float(_STRONG.fullmatch(t, a, b) is not None)} for a, b in found if (p := pats[a, b])])
             yield pd.DataFrame(out)
 
     kind = dict(docs.dtypes)[id]
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    schema = f"doc_id {kind}, {counts}, base string, base_sha256 string, seeds array<struct<inst:string,pats:array<string>>>, cands array<struct<start:long,end:long,inst:string,pats:array<string>>>"
+    schema = f"doc_id {kind}, {counts}, base string, base_sha256 string, seeds array<struct<inst:string,pats:array<long>>>, cands array<struct<start:long,end:long,inst:string,pats:array<long>,seed:double>>"
     return docs.select(F.col(id).alias("i"), F.col(text).alias("t")).mapInPandas(run, schema)
 
 
-def scores(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(patterns, instances) with their scores after some rounds. Both sides are grouped sums over the graph's edges.
+def background(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
+    """(pat, slots): how often each of `patterns` (pat, distinct) stands before anything at all, over all whole texts.
+
+    What the driver gets and workers receive is a bitmap of 2^BITS bits, whatever the number of patterns.
+    """
+    spark = docs.sparkSession
+    code = F.shiftrightunsigned("pat", 64 - BITS)
+    rows = patterns.select(F.shiftright(code, 15).alias("bucket"), code.bitwiseAND(F.lit(32767).cast("long")).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in rows:
+        bits[r["bucket"] << 12 : (r["bucket"] + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    known = spark.sparkContext.broadcast(bits)
+
+    def count(batches):
+        bits, held = known.value, []
+
+        def flush():
+            v, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pd.DataFrame({"pat": v.view(np.int64), "n": n.astype(np.int64)})
 
-    An edge is a pattern and a distinct instance, so that a token repeated a million times counts once for a pattern.
+        for pdf in batches:
+            texts, i = list(pdf["t"]), 0
+            while i < len(texts):  # blocks of about a megabyte
+                j, size = i, 0
+                while j < len(texts) and (j == i or size < 1_000_000):
+                    size += len(texts[j] or "")
+                    j += 1
+                h = slots(*word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts[i:j]]))
+                code = h >> np.uint64(64 - BITS)
+                held.append(h[(bits[(code >> np.uint64(3)).astype(np.int64)] >> (code & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                if sum(map(len, held)) > FLUSH:
+                    yield flush()
+                i = j
+        if held:
+            yield flush()
+
+    seen = docs.select(F.col(text).alias("t")).mapInPandas(count, "pat long, n long")
+    return seen.groupBy("pat").agg(F.sum("n").alias("slots")).join(patterns, "pat", "left_semi")
+
+
+def scores(docs: DataFrame, found: DataFrame, text: str = "text", rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
+    """(pat, score) of the patterns that can be right more often than not, after some rounds. Both sides are grouped sums over edges.
+
+    An edge is a pattern and a distinct instance, with the number of its occurrences there. A pattern needs `support`
+    distinct instances, so that a token repeated a million times is no support. Those that most often stand before
+    something else, which stop words do, go before the first round.
     """
     seeds = found.select(F.explode("seeds").alias("s")).select(F.explode("s.pats").alias("pat"), F.col("s.inst").alias("inst"), F.lit(1.0).alias("seed"))
-    cands = found.select(F.explode("cands").alias("s")).select(F.explode("s.pats").alias("pat"), F.col("s.inst").alias("inst"), F.lit(0.0).alias("seed"))
-    edges = seeds.unionByName(cands).groupBy("pat", "inst").agg(F.max("seed").alias("seed"))
-    induced = edges.groupBy("pat").agg(F.sum("seed").alias("n")).where(F.col("n") >= support).select("pat")
-    edges = written(edges.join(induced, "pat"), "graph")
-    score = edges.withColumn("score", F.col("seed"))
-    for _ in range(rounds):
-        pats = score.groupBy("pat").agg((F.sum("score") / (F.count("*") + SMOOTH)).alias("pscore"))
-        # 1 - product of (1 - score) over an instance's patterns; a seed stays 1
-        inst = edges.join(pats, "pat").groupBy("inst").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.least("pscore", F.lit(0.999)))))).alias("s"))
-        inst = written(inst.select("inst", F.greatest("seed", "s").alias("score")), "scores")
-        score = edges.join(inst, "inst")
-    pats = score.groupBy("pat").agg((F.sum("score") / (F.count("*") + SMOOTH)).alias("score"))
-    return written(pats, "patterns"), inst
+    cands = found.select(F.explode("cands").alias("s")).select(F.explode("s.pats").alias("pat"), F.col("s.inst").alias("inst"), F.col("s.seed").alias("seed"))
+    edges = written(seeds.unionByName(cands).groupBy("pat", "inst").agg(F.max("seed").alias("seed"), F.count("*").alias("occ")), "edges")
+    several = written(edges.groupBy("pat").agg(F.count("*").alias("n"), F.sum("occ").alias("occ")).where(F.col("n") >= support).select("pat", "occ"), "patterns")
+    base = background(docs, several.select("pat"), text).join(several, "pat")
+    base = written(base.where((F.col("slots") + SMOOTH) * LIKELY <= F.col("occ")).select("pat", "slots"), "patterns")
+    small = base.limit(BROADCAST + 1).count() <= BROADCAST
+    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    graph = written(edges.join(near(base), "pat"), "graph")
+    inst = graph.groupBy("inst").agg(F.max("seed").alias("score"))
+    old = []
+    for k in range(rounds):
+        pats = graph.join(inst, "inst").groupBy("pat", "slots").agg(F.sum(F.col("occ") * F.col("score")).alias("s"))
+        pats = written(pats.select("pat", F.round(F.col("s") / (F.col("slots") + SMOOTH), 9).alias("score")), "scores")
+        if k < rounds - 1:
+            # 1 - product of (1 - score) over an instance's patterns; a seed stays 1
+            told = graph.join(near(pats.withColumnRenamed("score", "p")), "pat").withColumn("p", F.when(F.col("p") >= LIKELY, F.least("p", F.lit(0.999999))).otherwise(0.0))
+            inst = told.groupBy("inst").agg(F.greatest(F.max("seed"), 1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"))
+            inst = written(inst, "scores")
+            old += [pats, inst]
+    forget(edges, several, base, graph, *old)
+    return pats
 
 
 def find(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id), one row for each row of `docs`.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id, n_spans), one row for each row of `docs`.
 
-    The four counts are of base spans. Null and empty texts have none. Repeated rows are treated alike; other columns
-    are ignored. Without enough seeds there are no patterns and nothing is added.
+    The first four counts are of base spans; n_spans is of all. Null and empty texts have none. Repeated rows are treated
+    alike, and a null id stays null. A text of any length is read whole, in time in proportion to its length, in its
+    task's memory. Other columns, whatever their names, are ignored. Without enough seeds there are no patterns and nothing
+    is added; an empty table gives an empty one.
     """
     found = written(scan(docs, text, id).withColumn("row", F.monotonically_increasing_id()), "scan")
-    pats, inst = scores(found)
+    pats = scores(docs, found, text)
     good = pats.where(F.col("score") >= CONFIDENT).select("pat")
-    one = found.select("row", F.explode("cands").alias("c")).select("row", "c.start", "c.end", "c.inst", F.explode("c.pats").alias("pat"))
-    sure = inst.where(F.col("score") >= CONFIDENT).select("inst")
-    hits = one.join(good, "pat", "left_semi").join(sure, "inst", "left_semi").select("row", "start", "end").distinct()
+    if good.limit(BROADCAST + 1).count() <= BROADCAST:
+        good = F.broadcast(good)
+    one = found.select("row", F.explode("cands").alias("c")).select("row", "c.start", "c.end", F.explode("c.pats").alias("pat"))
+    hits = one.join(good, "pat", "left_semi").select("row", "start", "end").distinct()
     more = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("m"))
     out = found.join(more, "row", "left")
     extra = F.transform(F.coalesce("m", F.array().cast("array<struct<start:long,end:long>>")), lambda x: F.concat(F.lit("id:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
-    return out.select(
-        "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.array_join(F.concat(F.filter(F.array("base"), lambda b: b != ""), extra), ",").alias("spans"), F.coalesce(F.size("m"), F.lit(0)).cast("long").alias("n_id")
+    n_id = F.coalesce(F.size("m"), F.lit(0)).cast("long")
+    out = out.select(
+        "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.array_join(F.concat(F.filter(F.array("base"), lambda b: b != ""), extra), ",").alias("spans"), n_id.alias("n_id"), (n_id + sum((F.col(f"n_{k}") for k in KINDS[1:]), F.col(f"n_{KINDS[0]}"))).alias("n_spans")
     )
+    out = written(out, "found")
+    forget(found, pats)
+    return out
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
+    """Personal data in all `documents`. Awkward rows: see find."""
     return find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
