@@ -14,9 +14,9 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .base import words, written
+from .base import forget, words, written
 
 BUCKETS = 1 << 14  # word hashes; the model has a row for each, which bounds what is broadcast
 SAMPLE = 20_000  # labelled documents that the classifier is fitted on, by hash of their id
@@ -25,6 +25,7 @@ ALPHA = 0.5
 PULL = 1e-3
 ROUNDS = 30
 MOST = 8.0  # copies of a document, at most: a domain that is nearly absent can't be had by repeating a few of its documents
+BIN = 8192  # rows whose copies are drawn together
 MISS = 0.02  # of its wanted share, beyond which a domain's share is logged as a warning
 
 log = logging.getLogger(__name__)
@@ -70,7 +71,9 @@ def fit(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAIN
     prior = [math.log((rows.get(k, 0) + 1) / (sum(rows.values()) + size)) for k in range(size)]
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(wide), "bucket", "left")
     model = every.select("bucket", *(F.log((F.coalesce(f"n{k}", F.lit(0)) + ALPHA) / F.lit(float(total[k] + ALPHA * BUCKETS))).alias(f"w{k}") for k in range(size)))
-    return written(model, "model"), prior
+    model = written(model, "model")
+    forget(wide)
+    return model, prior
 
 
 def posteriors(docs: DataFrame, model: DataFrame, prior: list[float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -145,15 +148,34 @@ def rates(post: DataFrame, weights: list[float], total: float | None = None, rou
     return rate(at)[1], [float(s) / scale for s in share]
 
 
-def copies(rate: Column, id: Column, seed: int = 17, snap: float = 0.02) -> Column:
-    """Whole copies with the rate as their mean: its floor, and one more with the rest as probability, by hash of the id.
+def copies(rated: DataFrame, size: int, keep: tuple[str, ...], seed: int = 17) -> DataFrame:
+    """`rated` with `copies`, whole numbers with the rates as their means: the floor, and one more for some.
 
-    A rate within `snap` of a whole number is that number.
+    Who gets one more is a systematic draw: rows are dealt into bins of about BIN by hash, put in order of their likeliest
+    domain and tokens there, and get one where the running sum of what is left of the rates, from a start that the bin's
+    hash draws, passes a whole number. So each bin's copies, and each domain's tokens in it, differ from what is
+    expected by about one document. A bin is a task's work whatever the number of rows.
     """
-    near = F.round(rate)
-    rest = rate - F.floor(rate)
-    draw = F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return F.when(F.abs(rate - near) <= snap, near).otherwise(F.floor(rate) + (draw < rest).cast("int")).cast("long")
+    bins = max(1, rated.count() // BIN)
+    top = F.greatest(*(F.col(f"p{k}") for k in range(size))) if size > 1 else F.col("p0")
+    likeliest = F.coalesce(*(F.when(F.col(f"p{k}") == top, F.lit(k)) for k in range(size)))
+    dealt = rated.withColumn("__sx_h", F.xxhash64(*keep, "row", F.lit(seed))).withColumn("__sx_bin", F.pmod("__sx_h", F.lit(bins)))
+    dealt = dealt.withColumn("__sx_rest", F.col("rate") - F.floor("rate")).withColumn("__sx_top", likeliest)
+    start = F.pmod(F.xxhash64("__sx_bin", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    w = Window.partitionBy("__sx_bin").orderBy("__sx_top", "n_tokens", "__sx_h", "row").rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn("__sx_to", F.sum("__sx_rest").over(w) + start)
+    more = F.floor("__sx_to") - F.floor(F.col("__sx_to") - F.col("__sx_rest"))
+    got = summed.withColumn("copies", (F.floor("rate") + F.least(F.greatest(more, F.lit(0)), F.lit(1))).cast("long"))
+    return got.drop("__sx_h", "__sx_bin", "__sx_rest", "__sx_top", "__sx_to")
+
+
+def shares(mixed: DataFrame, domains: tuple[Domain, ...] = DOMAINS) -> DataFrame:
+    """(name, wanted, expected, delivered) of the rows of mix(): shares of tokens by weights, by rates and by whole copies."""
+    total = sum(d.weight for d in domains)
+    sums = [F.sum(F.col("n_tokens") * F.col(by) * F.col(f"p_{d.name}")).alias(f"{by}{k}") for k, d in enumerate(domains) for by in ("rate", "copies")]
+    row = mixed.agg(F.sum(F.col("n_tokens") * F.col("rate")).alias("rate"), F.sum(F.col("n_tokens") * F.col("copies")).alias("copies"), *sums)
+    each = F.array(*(F.struct(F.lit(d.name).alias("name"), F.lit(d.weight / total).alias("wanted"), (F.col(f"rate{k}") / F.col("rate")).alias("expected"), (F.col(f"copies{k}") / F.col("copies")).alias("delivered")) for k, d in enumerate(domains)))
+    return row.select(F.inline(each))
 
 
 def mix(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAINS, total: float | None = None, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, at_present: tuple[str, ...] = (), most: float = MOST) -> DataFrame:
@@ -161,7 +183,11 @@ def mix(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAIN
 
     Domains in `at_present` are wanted with the tokens that they have, and take no part in the sharing out of `total`;
     rows whose likeliest domain is one of them keep the rate 1, and the rates of the others are fitted beside them.
-    Null, empty and blank texts have no tokens and the priors; empty tables give empty results.
+    Shares that the bounds of the rates leave unmet are logged, and shares() tells them.
+
+    Null, empty and blank texts have no tokens and the priors. Repeated rows and ids count each, and a null id stays null.
+    A text of any length is exploded to its words and summed before anything is shuffled. Columns of `docs` other than `keep`
+    and text, whatever their names, are ignored; empty tables give empty results.
     """
     model, prior = fit(docs, labels, domains, sample)
     post = written(posteriors(docs, model, prior, keep), "posteriors")
@@ -179,9 +205,12 @@ def mix(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAIN
     for d, want, share in zip(domains, weights, got, strict=True):
         want /= sum(weights)
         log.log(logging.WARNING if abs(share - want) > MISS * want else logging.INFO, "mixing: %s wanted %.5f of the tokens, gets %.5f", d.name, want, share)
-    out = post.select(*keep, "n_tokens", *(F.col(f"p{k}").alias(f"p_{d.name}") for k, d in enumerate(domains)), rate.alias("rate"), F.col("row"))
-    return out.withColumn("copies", copies(F.col("rate"), F.col(keep[0]) if len(keep) == 1 else F.struct(*keep))).drop("row")
+    drawn = copies(post.withColumn("rate", rate), len(domains), keep)
+    out = written(drawn.select(*keep, "n_tokens", *(F.col(f"p{k}").alias(f"p_{d.name}") for k, d in enumerate(domains)), "rate", "copies"), "mixed")
+    forget(model, post)
+    return out
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    """Rates and copies of all `documents` for the target weights of the domains of `labels`. Awkward rows: see mix."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
