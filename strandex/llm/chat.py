@@ -91,6 +91,11 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def op4_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    """All `conversations` and one planted one, formatted and read back.
+
+    Null texts and roles are empty. Turns are put in order by turn, role and text, nulls first; repeated rows are turns of their own.
+    A null conv_id is a conversation. An empty table gives the planted conversation alone; other columns are ignored.
+    """
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))

@@ -43,7 +43,8 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A text without removals is returned unchanged, null and empty ones included; one that loses every line becomes
     empty. Rows with one doc_id and the same text count as one text and get the same result. A column n_lines_removed
-    of `docs` is replaced; names that begin with two underscores and "sx" are reserved.
+    of `docs` is replaced; names that begin with two underscores and "sx" are reserved. Null ids come before all others, and
+    ties of one id go by the text's hash. A text of any length is one row of its task; an empty table gives an empty one.
     """
     gone = removals(docs, text).select(F.col("doc_id").alias("__sx_id"), F.col("th").alias("__sx_th"), F.col("gone").alias("__sx_gone"))
     base = docs.drop("n_lines_removed")
@@ -59,6 +60,7 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """All `documents` without repeated three-line windows. Awkward rows: see dedup_lines."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_lines_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"))
 

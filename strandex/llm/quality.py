@@ -15,6 +15,7 @@ from .base import words
 
 SYMBOLS = "#*$%&|<>"
 SPAN = 5
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 #: Name of each rule and its test over the measurements, by bit. A bit is never given to another rule.
 RULES: tuple[tuple[str, str], ...] = (
@@ -69,9 +70,14 @@ def _repeated(hashes: str) -> Column:
 def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per input row: `keep`, the measurements as longs, and `fail_bits`.
 
-    Null and empty texts have no words and fail `few_words`. Repeated rows give repeated results; other columns of
-    `docs` are ignored, whatever their names.
+    Null and empty texts have no words and fail `few_words`. Repeated rows give repeated results, and a null id stays null. A
+    text of any length is measured whole, in its task's memory. Other columns of `docs` are ignored, whatever their names;
+    a kept one that is named like a measurement is returned with `_kept` after its name. An empty table gives an empty one.
     """
+    clash = [c for c in keep if c.lower() in (*MEASURES, "fail_bits")]
+    if clash:
+        docs = docs.select("*", *(F.col(c).alias(f"{c}_kept") for c in clash))
+        return ledger(docs, text, tuple(f"{c}_kept" if c in clash else c for c in keep))
     t = F.coalesce(F.col(text), F.lit(""))
     bare = t
     for s in SYMBOLS:
@@ -121,6 +127,7 @@ def ablations(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and verdict of all `documents`. Awkward rows: see ledger."""
     rows = judged(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 

@@ -58,7 +58,12 @@ def forward(pretokens: list[bytes], score: dict[bytes, float], longest: int) ->
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, n_words and n_tokens for each row; null, empty and blank texts have none. Other columns are ignored."""
+    """`keep`, n_words and n_tokens for each row; null, empty and blank texts have none.
+
+    Repeated rows give repeated results, and a null id stays null. A text of any length is counted whole, in its task's memory;
+    a pre-token takes time in proportion to its length. Other columns, whatever their names, are ignored, and an empty
+    table gives an empty one.
+    """
 
     def run(batches):
         score, longest = model(path)
@@ -85,6 +90,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Words and tokens of all `documents`. Awkward rows: see token_counts."""
     import public_tokenizers
 
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -185,6 +185,102 @@ def test_bootstrapped_identifiers(spark):
     assert pii.find(docs(spark, "x").limit(0)).count() == 0
 
 
+def brute_identifiers(texts):
+    """The spans that bootstrapping adds, from its definition, with words for hashes."""
+    slots, edges, cands = {}, {}, []
+    for i, t in enumerate(texts):
+        t = t or ""
+        ws = [(m.start(), m.end(), "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[0])) for m in WORD.finditer(t)]
+
+        def around(first, last):
+            for n in (1, 2, 3):
+                if first >= n:
+                    before = tuple(w for _, _, w in ws[first - n : first])
+                    yield before, None
+                    if n < 3 and first == last and last + 1 < len(ws):
+                        yield before, ws[last + 1][2]
+
+        for k in range(len(ws)):
+            for p in around(k, k):
+                slots[p] = slots.get(p, 0) + 1
+        base = [x[1:] for x in plain_spans(t)]
+        more = [m.span() for m in re.finditer("[A-Za-z0-9]+(?:[_/.#:-]+[A-Za-z0-9]+)*", t) if len(m[0]) >= 5 and sum(c in "0123456789" for c in m[0]) >= 4]
+        more = [(a, b) for a, b in more if not any(x < b and a < y for x, y in base)]
+        for a, b in base + more:
+            first = max(k for k, w in enumerate(ws) if w[0] <= a)
+            last = max(k for k, w in enumerate(ws) if w[0] < b)
+            strong = (a, b) in base or bool(re.fullmatch("[0-9a-fA-F]{32,}", t[a:b]) and re.search("[a-fA-F]", t[a:b]))
+            pats = list(around(first, last))
+            for p in pats:
+                occ, seed = edges.get((p, t[a:b]), (0, False))
+                edges[p, t[a:b]] = (occ + 1, seed or strong)
+            if (a, b) in more:
+                cands.append((i, a, b, pats))
+    by = {}
+    for (p, inst), (occ, seed) in edges.items():
+        by.setdefault(p, []).append((inst, occ, seed))
+    by = {p: es for p, es in by.items() if len(es) >= pii.SUPPORT and sum(o for _, o, _ in es) >= pii.LIKELY * (slots[p] + pii.SMOOTH)}
+    seed = {}
+    for es in by.values():
+        for inst, _, s in es:
+            seed[inst] = max(seed.get(inst, 0.0), float(s))
+    score = dict(seed)
+    for _ in range(pii.ROUNDS):
+        ps = {p: round(sum(o * score[x] for x, o, _ in es) / (slots[p] + pii.SMOOTH), 9) for p, es in by.items()}
+        out = dict.fromkeys(seed, 1.0)
+        for p, es in by.items():
+            for x, _, _ in es:
+                out[x] *= 1 - (min(ps[p], 0.999999) if ps[p] >= pii.LIKELY else 0)
+        score = {x: max(seed[x], 1 - out[x]) for x in seed}
+    return {(i, a, b) for i, a, b, pats in cands if any(ps.get(p, 0) >= pii.CONFIDENT for p in pats)}
+
+
+def planted(rng, n):
+    """Texts with identifiers in contexts of their own and numbers in others, and the identifiers' places."""
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(400)] + ["the", "of", "in"] * 40
+    texts, true = [], set()
+    for i in range(n):
+        parts = rng.choices(words, k=rng.randint(5, 60))
+        mark = None
+        kind = rng.randrange(8)
+        if kind < 2:
+            mark = f"{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}" if rng.random() < 0.7 else f"AC-{rng.randint(1000, 9999)}-{rng.randint(10, 99)}"
+            parts[3:3] = ["account", "reached", "from", mark, rng.choice(["today", "again"])]
+        elif kind == 2:
+            mark = f"MR{rng.randint(10**6, 10**7 - 1)}" if rng.random() < 0.4 else f"u{rng.randint(1, 99)}@mail.example.org"
+            parts[2:2] = ["Patient", "record:", mark]
+        elif kind == 3:  # known only from tokens that the first context discovers
+            mark = f"AC-{rng.randint(1000, 1040)}-10"
+            parts[2:2] = rng.choice([["account", "reached", "from"], ["ledger", "entry"]]) + [mark]
+        elif kind < 6:
+            parts[4:4] = [rng.choice(["in", "the", "of", "about"]), str(rng.randint(1000, 99999)).zfill(5)]
+        elif kind == 6:
+            parts[4:4] = [rng.choice(words), f"{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}"]
+        text = " ".join(parts)
+        texts.append(text)
+        if mark and re.fullmatch("[A-Z-]+[0-9-]+", mark):
+            at = text.index(mark)
+            true.add((i, at, at + len(mark)))
+    return texts, true
+
+
+def test_identifiers_against_brute_force(spark):
+    texts, true = planted(random.Random(12), 1500)
+    texts += AWKWARD + texts[:20] + [f'key token = "{i:032x}af"' for i in range(1, 9)] + ["caf\u00e9 " * 300 + "account reached from ZZ-9999-01 now"]
+    df = docs(spark, *texts).withColumn("row", F.lit("clash")).withColumn("score", F.lit(1))
+    got = set()
+    for r in pii.find(df).collect():
+        own = {tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("id:")}
+        assert len(own) == r["n_id"] and r["n_spans"] == r["n_id"] + sum(r[f"n_{k}"] for k in pii.KINDS)
+        got |= {(r["doc_id"], a, b) for a, b in own}
+    assert got == brute_identifiers(texts)
+    assert len(got) > 300
+    first = {x for x in got if x[0] < 1500}
+    recall, precision = len(first & true) / len(true), len(first & true) / len(first)
+    print("recall", recall, "precision", precision)
+    assert recall >= 0.95 and precision >= 0.95
+
+
 # --- 4 chat formatting
 
 
@@ -295,6 +391,61 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(df.limit(0), labels).count() == 0 and mixing.mix(df, labels.limit(0)).count() == 602
 
 
+def test_posteriors_against_brute_force(spark):
+    import math
+
+    import xxhash
+
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("abcXYZ", k=4)) for _ in range(50)]
+    texts = [" ".join(rng.choices(vocab[(i % 3) * 10 : (i % 3) * 10 + 30], k=rng.randint(1, 120))) for i in range(90)] + AWKWARD[:5]
+    kinds = {i: i % 3 for i in range(0, 90, 2)}
+    labels = spark.createDataFrame([(i, [1, 1, 0][k], [0, 1, 0][k]) for i, k in kinds.items()], "doc_id long, quality int, toxic int")
+
+    def bucket(w):
+        h = xxhash.xxh64_intdigest(w.lower().encode(), 42)
+        return (h - (1 << 64) if h >> 63 else h) % mixing.BUCKETS
+
+    counts = [{} for _ in range(3)]
+    for i, k in kinds.items():
+        for w in WORD.findall(texts[i]):
+            counts[k][bucket(w)] = counts[k].get(bucket(w), 0) + 1
+    total = [sum(c.values()) for c in counts]
+    prior = [math.log((sum(k == x for x in kinds.values()) + 1) / (len(kinds) + 3)) for k in range(3)]
+    model, got_prior = mixing.fit(docs(spark, *texts), labels)
+    assert np.allclose(prior, got_prior)
+    got = {r["doc_id"]: r for r in mixing.posteriors(docs(spark, *texts), model, got_prior).collect()}
+    for i, t in enumerate(texts):
+        ws = WORD.findall(t or "")
+        scale = min(1.0, mixing.EVIDENCE / max(len(ws), 1))
+        logit = np.array([prior[k] + scale * sum(math.log((counts[k].get(bucket(w), 0) + mixing.ALPHA) / (total[k] + mixing.ALPHA * mixing.BUCKETS)) for w in ws) for k in range(3)])
+        p = np.exp(logit - logit.max())
+        assert np.allclose(p / p.sum(), [got[i][f"p{k}"] for k in range(3)]) and got[i]["n_tokens"] == len(ws)
+
+
+def test_copies_are_drawn_evenly(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN", 500)
+    rng = np.random.default_rng(4)
+    n = 6000
+    p = rng.dirichlet([0.5, 0.2, 0.3], n)
+    t, r = rng.integers(1, 400, n), rng.choice([0.0, 0.3, 0.97, 1.0, 1.02, 2.6], n)
+    rows = [(i, int(a), *map(float, x), float(b)) for i, (a, x, b) in enumerate(zip(t, p, r))]
+    df = spark.createDataFrame(rows, "row long, n_tokens long, p0 double, p1 double, p2 double, rate double").withColumn("doc_id", F.when(F.col("row") % 7 > 0, F.col("row") % 50))
+    got = {x["row"]: x["copies"] for x in mixing.copies(df, 3, ("doc_id",)).collect()}
+    c = np.array([got[i] for i in range(n)])
+    assert (np.abs(c - r) < 1).all() and abs(c.sum() - r.sum()) <= 13
+    for k in range(3):
+        assert abs((c * t * p[:, k]).sum() / (r * t * p[:, k]).sum() - 1) < 0.01
+    assert mixing.copies(df.limit(0), 3, ("doc_id",)).count() == 0
+
+
+def test_shares_are_told(spark, sf, caplog):
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    hard = tuple(mixing.Domain(x.name, x.where, w) for x, w in zip(mixing.DOMAINS, (0.1, 0.8, 0.1), strict=True))
+    rows = {r["name"]: r for r in mixing.shares(mixing.mix(d, labels, hard, most=1.0), hard).collect()}
+    assert rows["toxic"]["expected"] < 0.79 and any("toxic" in x.getMessage() for x in caplog.records if x.levelname == "WARNING")
+
+
 def test_rates_reach_what_can_be_reached(spark):
     rng = np.random.default_rng(5)
     p = rng.dirichlet([0.7, 0.1, 0.3], 400)
@@ -484,6 +635,33 @@ def test_embeddings_against_brute_force(spark):
     assert embed.near_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_dense_groups(spark, monkeypatch):
+    monkeypatch.setattr(embed, "DENSE", 20)
+    monkeypatch.setattr(embed, "CHUNK", 16)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((4, 24))
+    vecs = [b + rng.standard_normal(24) * s for b in base for s in rng.choice([0.02, 0.08, 0.12, 0.16], 70)]
+    vecs = np.array(vecs + vecs[:9]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in embed.near_dedup(df).collect()}
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert near.sum() > 2000
+    assert [got[i]["n_links"] for i in range(len(vecs))] == near.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(vecs))] == groups(len(vecs), np.argwhere(near).tolist())
+
+
+def test_embeddings_at_the_threshold(spark):
+    # 49 of 50 and 0.98 are one double; the next smaller cosine does not link
+    rows = [(1, [1.0, 0.0], 1), (2, [49.0, 99.0**0.5], 1), (3, [48.999, 99.1**0.5], 1), (4, [49.0, -(99.0**0.5)], 1), (5, [2.0, 0.0], 2), (None, [1.0, 0.0], 1), (6, [3.0, 0.0], 1)]
+    rows += rows[:1]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = {(a, b) for a, b in itertools.permutations(range(len(rows)), 2) if rows[a][2] == rows[b][2] and None not in (rows[a][0], rows[b][0]) and sum(x * y for x, y in zip(rows[a][1], rows[b][1])) / (np.sqrt(sum(x * x for x in rows[a][1])) * np.sqrt(sum(x * x for x in rows[b][1]))) >= 0.98}
+    got = sorted((str(r["vec_id"]), r["n_links"]) for r in embed.near_dedup(df).collect())
+    assert got == sorted((str(r[0]), sum(a == i for a, _ in want)) for i, r in enumerate(rows))
+
+
 # --- pipeline
 
 
@@ -522,3 +700,56 @@ def test_pipeline_mixes_rows_without_an_id(spark, sf):
     rows = spark.createDataFrame(rows.collect(), d.schema)
     got = p.mixing_sources(spark, rows, sf).where("doc_id IS NULL")
     assert got.select("text").distinct().count() >= 15
+
+
+def test_pipeline_stages_take_clashing_columns_and_null_ids(spark, sf):
+    import corpus_pipeline as p
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = {c: F.lit(f"own {c}") for c in ("n_words", "fail_bits", "kept", "n_lines_removed", "gone", "component_id", "n", "rate", "copies", "row", "n_tokens", "a.b")}
+    wide = d.limit(60).withColumns(extra)
+    wide = wide.unionByName(wide.limit(9).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" and more"))))
+    wide = spark.createDataFrame(wide.collect(), wide.schema)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, wide, sf)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in extra), name
+        assert any(r["doc_id"] is None for r in rows), name
+    assert p.STAGES[-1][1](spark, wide, sf).where("doc_id IS NULL").count() >= 9
+
+
+def brute_pipeline(texts):
+    """(doc_id, text) that the first three stages leave, from their definitions; the mixing stage is tested on its own."""
+    rows = {}
+    for i, t in texts.items():
+        n, chars, symbols, dup, repeat = measured(t)
+        n_lines = sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
+        if not (n < 10 or 100 * repeat > 20 * n or 10 * symbols > n or 10 * chars < 15 * n or chars > 14 * n or n_lines >= 4 and 2 * dup > n_lines):
+            rows[i] = t
+    out = {i: t for i, t in dedup(rows.items()).items() if t == rows[i] or t.strip(" \t\n\x0b\x0c\r")}
+    ids = sorted(out)
+    s = sets_of([out[i] for i in ids], 5)
+    links = [(a, b) for a, b in itertools.combinations(range(len(ids)), 2) if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    return {ids[k]: out[ids[k]] for k, g in enumerate(groups(len(ids), links)) if g == k}
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    docs_ = d
+    for _, stage in p.STAGES[:3]:
+        docs_ = spark.createDataFrame(stage(spark, docs_, sf).collect(), d.schema)
+    want = brute_pipeline({r["doc_id"]: r["text"] for r in d.collect()})
+    assert {r["doc_id"]: r["text"] for r in docs_.collect()} == want
+    mixed = spark.createDataFrame(p.mixing_sources(spark, docs_, sf).collect(), d.schema)
+    assert {r["text"] for r in mixed.collect()} <= set(want.values())
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = p.packing_sequences(spark, mixed, sf).collect()
+    for r in mixed.collect():
+        own = [x for x in pieces if x["doc_id"] == r["doc_id"] and x["start"] == 0]
+        assert own and all(x["doc_tokens"] == len(tok.encode(r["text"], add_special_tokens=False).ids) + 1 for x in own)
+    assert p.run(spark, sf).count() == len(pieces)
