@@ -14,6 +14,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+_NO_STREAM = -(1 << 63)  # stands for null where streams are joined
 SCHEMA = "stream_id long, seq long, pattern string, hit boolean, evicted string"
 
 
@@ -21,8 +22,9 @@ def lru_hits(stream: DataFrame, capacity: int) -> DataFrame:
     """`stream` with `hit` for a least-recently-used cache: seen before, and fewer than `capacity` distinct others since.
 
     A use counts as distinct inside an interval if its pattern's next use is not inside. Intervals shorter than the
-    capacity hit at once and are not looked into.
+    capacity hit at once and are not looked into. Rows without a stream_id are a stream of their own.
     """
+    stream = stream.select(F.coalesce("stream_id", F.lit(_NO_STREAM)).alias("stream_id"), "seq", "pattern")
     w = Window.partitionBy("stream_id", "pattern").orderBy("seq")
     uses = stream.select("stream_id", "seq", "pattern", F.lag("seq").over(w).alias("prev"), F.lead("seq").over(w).alias("next"))
     n = Window.partitionBy("stream_id").orderBy("seq")
@@ -34,7 +36,7 @@ def lru_hits(stream: DataFrame, capacity: int) -> DataFrame:
     inside = open_.join(inner, (open_.stream_id == inner.stream_id) & (inner.s > open_.prev) & (inner.s < open_.seq) & (inner.n >= open_.seq)).groupBy(open_.stream_id, open_.seq).agg(F.count("*").alias("distinct"))
     out = uses.join(inside, ["stream_id", "seq"], "left")
     hit = F.col("prev").isNotNull() & ((F.col("i") - F.col("pi") <= capacity) | (F.coalesce("distinct", F.lit(0)) < capacity))
-    return out.select("stream_id", "seq", "pattern", hit.alias("hit"))
+    return out.select(F.nullif("stream_id", F.lit(_NO_STREAM)).alias("stream_id"), "seq", "pattern", hit.alias("hit"))
 
 
 class Lru:
@@ -97,28 +99,89 @@ class Keeper:
         return best
 
 
+class Ranked:
+    """Keys in ascending order of counts, at most `capacity`; the first is the next to go. All steps take constant time.
+
+    Ties are kept by place: a key whose count grows changes places with the last one of its old count, and a new key
+    takes the place before all others, or of the one that goes.
+    """
+
+    def __init__(self, capacity: int, keys: list[str] | None = None, counts: list[int] | None = None):
+        self.capacity = capacity
+        held = len(keys or ())
+        self.low = capacity - held  # first place in use
+        self.keys: list = [None] * self.low + list(keys or ())
+        self.counts: list = [0] * self.low + list(counts or ())
+        self.place = {x: i for i, x in enumerate(self.keys) if i >= self.low}
+        self.last = {self.counts[i]: i for i in range(self.low, capacity)}  # of each count
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.place
+
+    def full(self) -> bool:
+        return self.low == 0
+
+    def least(self) -> int:
+        return self.counts[self.low] if self.low < self.capacity else 0
+
+    def count(self, key: str) -> int:
+        return self.counts[self.place[key]]
+
+    def grow(self, key: str) -> None:
+        p = self.place[key]
+        c = self.counts[p]
+        q = self.last[c]
+        other = self.keys[q]
+        self.keys[p], self.keys[q] = other, key
+        self.place[other], self.place[key] = p, q
+        self.counts[q] = c + 1
+        if q > self.low and self.counts[q - 1] == c:
+            self.last[c] = q - 1
+        else:
+            del self.last[c]
+        self.last.setdefault(c + 1, q)
+
+    def enter(self, key: str, count: int) -> str | None:
+        """Take in a new key; what goes for it. When full, `count` is the least one and 1."""
+        gone = None
+        if self.low:
+            self.low -= 1
+            self.counts[self.low] = count - 1
+            self.last.setdefault(count - 1, self.low)
+        else:
+            gone = self.keys[0]
+            del self.place[gone]
+        self.keys[self.low] = key
+        self.place[key] = self.low
+        self.grow(key)
+        return gone
+
+    def items(self) -> list[tuple[str, int]]:
+        return list(zip(self.keys[self.low :], self.counts[self.low :], strict=True))
+
+
 class TopQueries:
-    """The `capacity` most frequent patterns by a counter. When full, one is admitted as its count reaches least + 1, for the least."""
+    """The `capacity` most frequent patterns by a counter. When full, one is admitted as its count is the least one and 1, for the least."""
 
     def __init__(self, capacity: int, counter):
-        self.capacity, self.counter, self.kept = capacity, counter, {}
+        self.capacity, self.counter, self.kept = capacity, counter, Ranked(max(capacity, 0))
 
-    def use(self, key: str) -> tuple[bool, str | None]:
+    def offer(self, key: str) -> tuple[bool, str | None]:
+        """Count a use: whether the key is admitted or its kept count grows, and what goes for it."""
         n = self.counter.add(key)
-        if key in self.kept:
-            self.kept[key] = max(self.kept[key], n)
-            return True, None
-        if self.capacity <= 0:
+        kept = self.kept
+        if key in kept:
+            if n > kept.count(key):
+                kept.grow(key)
+                return True, None
             return False, None
-        if len(self.kept) < self.capacity:
-            self.kept[key] = max(n, 1)
-            return False, None
-        low = min(self.kept, key=self.kept.get)
-        if n != self.kept[low] + 1:
-            return False, None
-        del self.kept[low]
-        self.kept[key] = n
-        return False, low
+        if self.capacity > 0 and (not kept.full() or n == kept.least() + 1):
+            return True, kept.enter(key, n)
+        return False, None
+
+    def use(self, key: str) -> tuple[bool, str | None]:
+        hit = key in self.kept
+        return hit, self.offer(key)[1]
 
 
 POLICIES = {"lru": Lru, "lfu": lambda k: TopQueries(k, Counts()), "sketch": lambda k: TopQueries(k, Keeper())}
@@ -128,19 +191,18 @@ def replay(stream: DataFrame, policy: str, capacity: int) -> DataFrame:
     """`stream` with `hit` and the pattern that was `evicted`, by simulation.
 
     A policy of this kind is sequential: streams run in parallel, the rows of one stream are sorted and pass one task
-    in batches, with nothing held but the cache.
+    in batches, with nothing held but the cache. Rows without a stream_id are a stream of their own.
     """
 
     def run(batches):
-        caches: dict[int, object] = {}
-        last = None
+        cache, last = None, None
         for pdf in batches:
             got = []
             for s, p in zip(pdf["stream_id"], pdf["pattern"], strict=True):
-                if s != last:
-                    caches = {s: POLICIES[policy](capacity)}
-                    last = s
-                got.append(caches[s].use(p))
+                s = None if pd.isna(s) else s
+                if cache is None or s != last:
+                    cache, last = POLICIES[policy](capacity), s
+                got.append(cache.use(p))
             yield pdf.assign(hit=[h for h, _ in got], evicted=pd.Series([e for _, e in got], dtype=object, index=pdf.index))
 
     ordered = stream.select("stream_id", "seq", "pattern").repartition("stream_id").sortWithinPartitions("stream_id", "seq")

@@ -25,9 +25,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores if it comes from fewer files than there are cores: each row is about to become thousands.
+    """`df` over all cores if its scan has fewer parts than there are cores: each row is about to become thousands.
 
-    Inputs of many files, which is every large one, are left as their scan divides them.
+    The parts are known from the plan, without a job or a list of files. A large input has more of them, whatever the
+    number of its files, and is left as its scan divides it; so is what comes out of a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # asking it for parts would run its stages
+        return df
+    return df.repartition(2 * cores) if plan.toRdd().getNumPartitions() < cores else df

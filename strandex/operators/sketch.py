@@ -5,50 +5,45 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .cache import Keeper
+from .cache import Keeper, TopQueries
 from .grams import grams
 from .topk import STEP
 
 
-def walk(texts, k: int, longest: int | None = None, seed: int = 1) -> dict[str, int]:
+def walk(texts, k: int, longest: int | None = None, seed: int = 1, always: int = 1) -> dict[str, int]:
     """Estimates of the k substrings that a decaying sketch of 256 k cells tracks, in one pass over the texts.
 
-    From every start, single symbols are always counted; a longer substring only after the one before it is tracked,
-    and past the first untracked one with probability 1 / floor(1.08 ** length). Lengths end at `longest`, if given.
+    At every start, lengths up to `always` are counted. If the last of them is tracked, longer ones follow: a tracked
+    one is counted and the walk goes on; another ends it if it isn't admitted, and, if it is and the table is full, with
+    probability 1 / floor(1.08 ** length), which is certain up to length 9. Lengths end at `longest`, if given.
     """
-    sketch = Keeper(min(256 * k, 1 << 20), seed)
-    kept: dict[str, int] = {}
-    low = 0
+    top = TopQueries(k, Keeper(min(256 * k, 1 << 20), seed))
+    draw = top.counter.rng.random
     for text in texts:
-        for i in range(len(text)):
-            for n in range(1, min(longest or len(text), len(text) - i) + 1):
+        for i in range(len(text) - always + 1):
+            for n in range(1, always + 1):
+                top.offer(text[i : i + n])
+            if text[i : i + always] not in top.kept:
+                continue
+            for n in range(always + 1, min(longest or len(text), len(text) - i) + 1):
                 s = text[i : i + n]
-                value = sketch.add(s)
-                if s in kept:
-                    kept[s] = max(kept[s], value)
+                known = s in top.kept
+                admitted, _ = top.offer(s)
+                if known:
                     continue
-                if len(kept) < k:
-                    kept[s] = value
-                    continue
-                if value == low + 1 or value > low:
-                    worst = min(kept, key=kept.get)
-                    low = kept[worst]
-                    if value > low:
-                        del kept[worst]
-                        kept[s] = value
-                        continue
-                if sketch.rng.random() >= 1 / int(Keeper.DECAY**n) or int(Keeper.DECAY**n) == 1:
+                if not admitted:
+                    break
+                if top.kept.full() and draw() * int(Keeper.DECAY ** min(n, 400)) < 1:
                     break
-    return kept
+    return dict(top.kept.items())
 
 
 def heavy_keeper(corpus: DataFrame, k: int, longest: int | None = 6, text: str = "text", seed: int = 1) -> DataFrame:
-    """(rank, substr, len, est_freq): a sketch for each partition, then the k largest sums of their estimates."""
+    """(rank, substr, len, est_freq): a sketch for each task's part of the texts, then the k largest sums of their estimates."""
 
     def run(batches):
-        for pdf in batches:
-            kept = walk([t for t in pdf["t"] if t], k, longest, seed)
-            yield pd.DataFrame({"substr": list(kept), "est": list(kept.values())})
+        kept = walk((t for pdf in batches for t in pdf["t"] if t), k, longest, seed)
+        yield pd.DataFrame({"substr": list(kept), "est": list(kept.values())})
 
     part = corpus.select(F.col(text).alias("t")).mapInPandas(run, "substr string, est long")
     total = part.groupBy("substr").agg(F.sum("est").alias("est_freq")).withColumn("len", F.length("substr"))

@@ -36,10 +36,10 @@ def patterns(spark) -> DataFrame:
 
 
 def streams(spark, d) -> DataFrame:
-    """(stream_id, seq, pattern): a stream for each conversation."""
+    """(stream_id, seq, pattern): a stream for each conversation, numbered by turn and place in it."""
     c = _table(spark, d, "conversations").where("length(text) > 0")
     ws = c.select("conv_id", "turn", F.posexplode(F.split("text", r"\s+")).alias("i", "pattern")).where("pattern <> ''")
-    return ws.select(F.col("conv_id").alias("stream_id"), (F.col("turn") * 100_000 + F.col("i")).cast("long").alias("seq"), "pattern")
+    return ws.select(F.col("conv_id").alias("stream_id"), (F.col("turn") * (1 << 31) + F.col("i")).cast("long").alias("seq"), "pattern")
 
 
 def char_alphabet(spark, d):
@@ -241,7 +241,8 @@ k AS (SELECT * FROM (SELECT *, coalesce(sum(d - pd) OVER (ORDER BY freq DESC, d,
 
 
 _EXPANDED = "e AS (SELECT label[1:len] AS substr, len::INT AS len, freq FROM k, LATERAL (SELECT unnest(range(pd + 1, d + 1)) AS len))"
-_TABLE = f"{_node_sql('documents', 'doc_id', 4)}, {_EXPANDED}, h AS (SELECT substr, freq, freq * {_GRAM_WEIGHT.format('substr')} AS utility FROM e)"
+# No node of 8 symbols is as frequent as the 100th best, so that no longer one can be: its prefix of 8 would be.
+_TABLE = f"{_node_sql('documents', 'doc_id', 8)}, {_EXPANDED}, h AS (SELECT substr, freq, freq * {_GRAM_WEIGHT.format('substr')} AS utility FROM e)"
 
 _SAMPLED = f"""{_grams("benchmark", "item_id", 12)}, rc AS (SELECT pos % 4 AS r, substr, len, count(*) AS freq, min((item_id, pos)) AS first FROM g GROUP BY ALL HAVING count(*) >= 2),
 rn AS (SELECT r, arg_max(substr, len) AS label, freq, min(len) - 1 AS pd, max(len) AS d FROM rc GROUP BY r, first, freq),
@@ -250,8 +251,9 @@ re AS (SELECT label[1:len] AS substr, len::INT AS len, freq FROM rk, LATERAL (SE
 m AS (SELECT substr, len, sum(freq)::BIGINT AS freq FROM re GROUP BY substr, len ORDER BY {_TIES} LIMIT {K}),
 sampled AS (SELECT m.substr, m.len, m.freq AS est_freq, count(*) AS freq FROM m JOIN g ON g.substr = m.substr GROUP BY ALL)"""
 
-_WORDS = r"""q AS (SELECT conv_id AS stream_id, (turn * 100000 + i)::BIGINT AS seq, w AS pattern FROM (SELECT conv_id, turn, unnest(ws) AS w, unnest(range(len(ws))) AS i
+_WORDS = r"""q AS (SELECT conv_id AS stream_id, (turn * 2147483648 + i)::BIGINT AS seq, w AS pattern FROM (SELECT conv_id, turn, unnest(ws) AS w, unnest(range(len(ws))) AS i
   FROM (SELECT conv_id, turn, regexp_split_to_array(text, '[ \t\n\x0B\f\r]+') AS ws FROM conversations WHERE length(text) > 0)) WHERE w <> '')"""
+_KR = f"list_reduce(list_prepend(0::HUGEINT, list_transform(list_filter(string_split({{}}, ''), lambda c: c <> ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (h * {fingerprint.BASE} + c) % {fingerprint.PRIME})"
 _HASH = f"(item_id * 1103515 + pos * 40503 + 12345) % 1000003"
 _QUERY_HASH = "((query_id * {} + 12345) % 1000003)"
 
@@ -283,7 +285,10 @@ y AS (SELECT lang, source, CASE b WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE
 d AS (SELECT a.stream_id, a.seq, count(*) AS n FROM u a JOIN u b ON a.stream_id = b.stream_id AND b.seq > a.prev AND b.seq < a.seq AND b.nxt >= a.seq GROUP BY a.stream_id, a.seq)
 SELECT u.stream_id, u.seq, u.pattern, u.prev IS NOT NULL AND coalesce(d.n, 0) < 16 AS hit, {_GRAM_WEIGHT.format('u.pattern')} AS utility FROM u LEFT JOIN d ON u.stream_id = d.stream_id AND u.seq = d.seq""",
     "kr_fingerprint": f"SELECT item_id, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(text, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (h * {fingerprint.BASE} + c) % {fingerprint.PRIME})::BIGINT AS fp FROM benchmark",
-    "kr_composition": "SELECT item_id, true AS joined, true AS split FROM benchmark WHERE text IS NOT NULL",
+    "kr_composition": f"""WITH h AS (SELECT item_id, text, length(text) // 2 AS h FROM benchmark WHERE text IS NOT NULL),
+f AS (SELECT item_id, length(text) - h AS n, {_KR.format('text')} AS whole, {_KR.format('substr(text, 1, h)')} AS a, {_KR.format('substr(text, h + 1)')} AS b FROM h),
+p AS (SELECT *, list_reduce(list_prepend(1::HUGEINT, list_transform(range(n), lambda i: {fingerprint.BASE}::HUGEINT)), lambda x, y: (x * y) % {fingerprint.PRIME}) AS p FROM f)
+SELECT item_id, (a * p + b) % {fingerprint.PRIME} = whole AS joined, ((whole - a * p % {fingerprint.PRIME}) + {fingerprint.PRIME}) % {fingerprint.PRIME} = b AS split FROM p""",
     "suffix_array": f"WITH {_chars('benchmark', 'item_id')}, x AS (SELECT c.item_id, c.pos, substr(b.text, c.pos::INT + 1) AS t FROM c JOIN benchmark b ON b.item_id = c.item_id) SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY t) - 1 AS rank, pos FROM x",
     "lcp_array": f"""WITH {_chars("benchmark", "item_id")}, x AS (SELECT c.item_id, c.pos, substr(b.text, c.pos::INT + 1) AS t FROM c JOIN benchmark b ON b.item_id = c.item_id),
 y AS (SELECT item_id, row_number() OVER w - 1 AS rank, pos, t, lag(t) OVER w AS p FROM x WINDOW w AS (PARTITION BY item_id ORDER BY t))

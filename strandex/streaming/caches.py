@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strandex.operators.cache import Counts, Lru, TopQueries
+from strandex.operators.cache import Counts, Lru, Ranked, TopQueries
 
 
 def _load(policy: str, capacity: int, state: GroupState):
@@ -21,13 +21,13 @@ def _load(policy: str, capacity: int, state: GroupState):
         return cache
     cache = TopQueries(capacity, Counts())
     if held:
-        cache.kept = held["kept"]
+        cache.kept = Ranked(max(capacity, 0), held["keys"], held["counts"])
         cache.counter.n.update(held["n"])
     return cache
 
 
 def _save(policy: str, cache) -> str:
-    return json.dumps(list(cache.kept) if policy == "lru" else {"kept": cache.kept, "n": dict(cache.counter.n)})
+    return json.dumps(list(cache.kept) if policy == "lru" else {"keys": [k for k, _ in cache.kept.items()], "counts": [n for _, n in cache.kept.items()], "n": dict(cache.counter.n)})
 
 
 def stream_replay(stream: DataFrame, policy: str, capacity: int) -> DataFrame:

@@ -159,6 +159,56 @@ def test_frequency_caches(spark):
     assert cache.replay(stream, "sketch", 2).count() == 12
 
 
+def lfu_model(stream, k):
+    """Hits and evictions by the rules, on a plain list of [count, key], searched from end to end."""
+    asked, table, out = Counter(), [], []
+    for key in stream:
+        asked[key] += 1
+        at = next((i for i, x in enumerate(table) if x[1] == key), None)
+        hit, gone = at is not None, None
+        if at is None:
+            if len(table) < k:
+                table.insert(0, [asked[key] - 1, key])
+                at = 0
+            elif asked[key] == table[0][0] + 1:
+                gone, table[0][1], at = table[0][1], key, 0
+        if at is not None:
+            end = max(i for i, x in enumerate(table) if x[0] == table[at][0])
+            table[at], table[end] = table[end], table[at]
+            table[end][0] += 1
+        out.append((hit, gone))
+    return out
+
+
+def test_exact_frequency_cache_is_its_model(spark):
+    rng = random.Random(31)
+    seqs = {s: rng.choices("abcdefghij"[: rng.randint(2, 10)], k=80) for s in range(200)}
+    for k in (1, 2, 3, 5):
+        for q in seqs.values():
+            own = cache.POLICIES["lfu"](k)
+            assert [own.use(x) for x in q] == lfu_model(q, k)
+    seqs[None] = seqs[0]
+    stream = spark.createDataFrame([(s, i, p) for s, q in seqs.items() for i, p in enumerate(q)], "stream_id long, seq long, pattern string")
+    got = {(r["stream_id"], r["seq"]): (r["hit"], r["evicted"]) for r in cache.replay(stream, "lfu", 3).collect()}
+    assert got == {(s, i): x for s, q in seqs.items() for i, x in enumerate(lfu_model(q, 3))}
+    for hits in (cache.replay(stream, "lru", 3), cache.lru_hits(stream, 3)):
+        assert {(r["stream_id"], r["seq"]): r["hit"] for r in hits.collect()} == {(s, i): h for s, q in seqs.items() for i, h in enumerate(lru(q, 3))}
+
+
+def test_walk_does_not_depend_on_batches(spark):
+    c = corpus(spark, *["the cat and the hat " * 3] * 50).coalesce(1)
+    rows = lambda: sorted(map(tuple, sketch.heavy_keeper(c, 12, 5).collect()))
+    want = rows()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert rows() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # all is exact while neither cells nor places are short
+    few = sketch.walk(["abab"], 50)
+    assert few == {"a": 2, "ab": 2, "aba": 1, "abab": 1, "b": 2, "ba": 1, "bab": 1}
+
+
 def test_streaming_caches_equal_batch(spark, tmp_path):
     rows = [(s, i, random.Random(s * 100 + i).choice("abcd")) for s in range(3) for i in range(40)]
     df = spark.createDataFrame(rows, "stream_id long, seq long, pattern string")
