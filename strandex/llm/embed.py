@@ -22,7 +22,7 @@ from .base import components, forget, written
 
 WIDTH = 8  # dimensions of a block
 GRID = 3  # dimensions of a block that its cells divide
-DENSE = 128  # vectors in a cell beyond which its pairs are counted by products of matrices
+DENSE = 512  # vectors in a cell beyond which its pairs are counted by products of matrices
 CHUNK = 512  # vectors in a chunk: a product holds CHUNK * CHUNK numbers
 SLACK = 1e-9  # added to squared distances, for rounding in the rotation
 
@@ -106,11 +106,10 @@ def _product(cosine: float):
             return pd.DataFrame({"id": np.empty(0, np.int64), "others": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
         hx, hy = left["home"].to_numpy(bool), right["home"].to_numpy(bool)
         ids, to = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
-        link = (hx[:, None] | hy[None, :]) & (ids[:, None] != to[None, :])
-        link &= _near(x[:, None, :], y[None, :, :], b, cosine)
-        link &= x @ y.T >= cosine - 1e-6  # rotated vectors have length 1
+        link = x @ y.T >= cosine - 1e-6  # rotated vectors have length 1; the rest looks at these pairs only
+        link &= (hx[:, None] | hy[None, :]) & (ids[:, None] != to[None, :])
         p, q = np.nonzero(link)
-        first = np.ones(len(p), bool)
+        first = _near(x[p], y[q], b, cosine)
         for e in range(b):
             first &= ~_near(x[p], y[q], e, cosine)
         p, q = p[first], q[first]
