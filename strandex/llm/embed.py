@@ -7,8 +7,8 @@ its first dimensions, with the block's distance checked in the join), and the un
 whole vectors in double precision. A pair belongs to the first block in which it is that near, and is taken there only.
 Equal vectors are one point with a count.
 
-A large group of near copies is a dense cell in every block. Its pairs are never rows: the cell is cut into chunks, two chunks
-meet in one product of matrices, and what leaves a product is one row for each vector, with the number of its links and
+A large group of near copies is a dense cell in every block. Its pairs are never rows: a full cell of alike vectors is cut into
+chunks, two chunks meet in one product of matrices, and what leaves a product is one row for each vector, with the number of its links and
 an edge to the smallest vector that it reaches there.
 """
 
@@ -22,7 +22,8 @@ from .base import components, forget, written
 
 WIDTH = 8  # dimensions of a block
 GRID = 3  # dimensions of a block that its cells divide
-DENSE = 512  # vectors in a cell beyond which its pairs are counted by products of matrices
+DENSE = 512  # vectors in a cell beyond which its pairs may be counted by products of matrices
+ALIKE = 32  # and are, if a vector has so many more near it on average
 CHUNK = 512  # vectors in a chunk: a product holds CHUNK * CHUNK numbers
 SLACK = 1e-9  # added to squared distances, for rounding in the rotation
 
@@ -196,7 +197,12 @@ def neighbours(vectors: DataFrame, cosine: float = 0.98) -> tuple[DataFrame, Dat
     rows = points.select("id", "label", "rot").mapInPandas(_blocks(cosine), f"label {kind}, dim int, block int, cell long, home boolean, id long, budget double, {coords}")
     rows = written(rows, "blocks")
     key = ["label", "dim", "block", "cell"]
-    full = rows.groupBy(*key).agg(F.count("*").alias("m"), F.max("home").alias("h")).where((F.col("m") > DENSE) & F.col("h"))
+    # Both ways give the same links. A full cell of unlike vectors has few pairs, so that the join is the cheaper one there; how alike
+    # they are is told by the rows that share a slice in every dimension of the block.
+    slices = F.xxhash64(*(F.floor(F.col(f"c{k}") / (2 * F.sqrt("budget"))) for k in range(WIDTH)))
+    fine = rows.groupBy(*key, slices.alias("slice")).agg(F.count("*").alias("m"), F.max("home").alias("h"))
+    full = fine.groupBy(*key).agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"), F.max("h").alias("h"))
+    full = full.where((F.col("m") > DENSE) & F.col("h") & (F.col("s") > F.col("m") * (ALIKE + 1)))
     full = written(full.select(*key, F.ceil(F.col("m") / CHUNK).cast("int").alias("parts")), "dense")
     thin = rows.join(full, key, "left_anti")
 

@@ -635,7 +635,9 @@ def test_embeddings_against_brute_force(spark):
     assert embed.near_dedup(df.limit(0)).count() == 0
 
 
-def test_embeddings_in_dense_groups(spark, monkeypatch):
+@pytest.mark.parametrize("alike", [0, embed.ALIKE, 1 << 40])
+def test_embeddings_in_dense_groups(spark, monkeypatch, alike):
+    monkeypatch.setattr(embed, "ALIKE", alike)  # all, some and no full cells by products
     monkeypatch.setattr(embed, "DENSE", 20)
     monkeypatch.setattr(embed, "CHUNK", 16)
     rng = np.random.default_rng(8)
