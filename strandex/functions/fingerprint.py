@@ -45,7 +45,7 @@ def suffix(whole: Column, prefix: Column, suffix_power: Column) -> Column:
 
 
 def register(spark: SparkSession, base: int = BASE) -> None:
-    """SQL: kr_fingerprint(text), kr_concat(left, right, power), kr_suffix(whole, prefix, power)."""
+    """SQL: kr_fingerprint(text), kr_concat(left, right, power), kr_suffix(whole, prefix, power); table function substrings(text, longest)."""
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION kr_fingerprint(t STRING) RETURNS BIGINT RETURN CASE WHEN t = '' THEN 0L ELSE "
         f"aggregate(transform(split(t, ''), c -> CAST(ascii(c) AS BIGINT)), 0L, (h, c) -> CAST(pmod(CAST(h AS DECIMAL(19,0)) * CAST({base} AS DECIMAL(19,0)) + CAST(c AS DECIMAL(19,0)), CAST({PRIME} AS DECIMAL(38,0))) AS BIGINT)) END"
@@ -53,3 +53,8 @@ def register(spark: SparkSession, base: int = BASE) -> None:
     wide = lambda a, b: f"CAST({a} AS DECIMAL(19,0)) * CAST({b} AS DECIMAL(19,0))"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION kr_concat(l BIGINT, r BIGINT, p BIGINT) RETURNS BIGINT RETURN CAST(pmod({wide('l', 'p')} + CAST(r AS DECIMAL(19,0)), CAST({PRIME} AS DECIMAL(38,0))) AS BIGINT)")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION kr_suffix(w BIGINT, f BIGINT, p BIGINT) RETURNS BIGINT RETURN CAST(pmod(CAST(w AS DECIMAL(19,0)) - {wide('f', 'p')}, CAST({PRIME} AS DECIMAL(38,0))) AS BIGINT)")
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION substrings(t STRING, longest INT) RETURNS TABLE (pos INT, len INT, substr STRING) RETURN "
+        "SELECT x.p, x.n, substring(t, x.p + 1, x.n) FROM (SELECT inline(flatten(transform(CASE WHEN length(t) > 0 THEN sequence(0, length(t) - 1) ELSE array() END, "
+        "p -> transform(sequence(1, least(longest, length(t) - p)), n -> struct(p AS p, n AS n)))))) AS x"
+    )

@@ -184,6 +184,11 @@ class TopQueries:
         return hit, self.offer(key)[1]
 
 
+def _held(cache) -> list[tuple[str, int | None]]:
+    """What a cache holds, the next to go first: (pattern, its kept count; none for Lru)."""
+    return [(k, None) for k in cache.kept] if isinstance(cache, Lru) else cache.kept.items()
+
+
 POLICIES = {"lru": Lru, "lfu": lambda k: TopQueries(k, Counts()), "sketch": lambda k: TopQueries(k, Keeper())}
 
 
@@ -207,3 +212,32 @@ def replay(stream: DataFrame, policy: str, capacity: int) -> DataFrame:
 
     ordered = stream.select("stream_id", "seq", "pattern").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
     return ordered.mapInPandas(run, SCHEMA)
+
+
+def contents(stream: DataFrame, policy: str, capacity: int) -> DataFrame:
+    """(stream_id, place, pattern, count): what each stream's cache holds after its last row; place 0 is the next to go.
+
+    Streams pass tasks as in replay(). `count` is null for "lru", which has none.
+    """
+
+    def run(batches):
+        cache, last = None, None
+
+        def state():
+            held = _held(cache)
+            counts = pd.Series([c for _, c in held], dtype="Int64")
+            return pd.DataFrame({"stream_id": pd.Series([last] * len(held), dtype="Int64"), "place": range(len(held)), "pattern": [k for k, _ in held], "count": counts})
+
+        for pdf in batches:
+            for s, p in zip(pdf["stream_id"], pdf["pattern"], strict=True):
+                s = None if pd.isna(s) else int(s)
+                if cache is None or s != last:
+                    if cache is not None:
+                        yield state()
+                    cache, last = POLICIES[policy](capacity), s
+                cache.use(p)
+        if cache is not None:
+            yield state()
+
+    ordered = stream.select("stream_id", "seq", "pattern").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    return ordered.mapInPandas(run, "stream_id long, place long, pattern string, count long")

@@ -42,6 +42,15 @@ def grams(corpus: DataFrame, lengths: list[int], keep: tuple[str, ...] = (), tex
     return each.select("doc_id", *keep, "pos", "len", F.expr("substring(block, p, len)").alias("substr"), *([F.expr("slice(w, p, len)").alias("w")] if weights else []))
 
 
+def span_grams(spans: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, pos, len, substr) of a text that came in spans, as read_spans() gives them, each occurrence once.
+
+    A span owns the starts before its end; its overlap must reach max(lengths) - 1 symbols further.
+    """
+    found = grams(spans, lengths, ("span_start", "span_own"), where=F.col("pos") < F.col("span_own"))
+    return found.select("doc_id", (F.col("span_start") + F.col("pos")).alias("pos"), "len", "substr")
+
+
 def packable(corpus: DataFrame, id: str = "doc_id") -> bool:
     """Whether ids and positions fit in one long. Parquet answers this from a single column."""
     low, high = corpus.agg(F.min(id), F.max(id)).first()

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the folder that driver and executors share, and read from there.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one only where that is unset.
+    The folder is the session's spark.checkpoint.dir. Where that is unset it is a temporary one in local mode, and in
+    the warehouse on a cluster.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandex-"))
+        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandex-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/strandex")
         folder = sc.getCheckpointDir()
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

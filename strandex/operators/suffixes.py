@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from strandex.functions.symbols import symbols
 
 
-def suffix_array(corpus: DataFrame, text: str = "text", id: str = "doc_id", rounds: int = 40) -> DataFrame:
-    """(doc_id, rank, pos): the suffixes of each text in binary order, ranks from 0; a text's end sorts before any symbol.
+def suffix_array(corpus: DataFrame, text: str = "text", id: str = "doc_id", rounds: int = 40, end_last: bool = False) -> DataFrame:
+    """(doc_id, rank, pos): the suffixes of each text in binary order, ranks from 0; a text's end sorts before any symbol, or after if `end_last`.
 
     Ranks by 2^i symbols are made of the pair of ranks at pos and pos + 2^i. Each round sorts within texts, until all
     ranks of a text differ. A row is a text of its own, whatever its id: null ids and repeated ones are kept apart.
@@ -21,7 +21,7 @@ def suffix_array(corpus: DataFrame, text: str = "text", id: str = "doc_id", roun
     for _ in range(rounds):
         if not cur.groupBy("row").agg((F.count("*") > F.max("r")).alias("ties")).where("ties").limit(1).count():
             break
-        both = cur.withColumn("r2", F.lead("r", step, 0).over(Window.partitionBy("row").orderBy("pos")))
+        both = cur.withColumn("r2", F.lead("r", step, (1 << 62) if end_last else 0).over(Window.partitionBy("row").orderBy("pos")))
         new = both.select("row", "doc_id", "pos", F.dense_rank().over(Window.partitionBy("row").orderBy("r", "r2")).cast("long").alias("r")).persist()
         new.count()
         cur.unpersist()

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandex.functions import fingerprint
-from strandex.functions.symbols import symbol_weight, symbols
-from strandex.operators import cache, grams, prefix, sketch, suffixes, topk, utility
+from strandex.functions.symbols import gram_weight, symbol_weight, symbols
+from strandex.operators import cache, extensions, grams, metrics, prefix, sketch, suffixes, topk, utility
 from strandex.sources import files
 
 PATTERNS = ("the", "a", "ion", "zzzq", "e ", "tion", "the ", "er", "on the", "schein", "eau", "ción", "Licensed under", "and of", "xyz", "the", "é", "\n")
@@ -68,11 +68,21 @@ def utility_by_lang(spark, d):
     return utility.pattern_utility(documents(spark, d), patterns(spark), ("lang",))
 
 
+def _weighted(b: DataFrame) -> DataFrame:
+    w = files.weight_rows(b).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"].cast("double")).alias("weights"))
+    return files.with_weights(b, w)
+
+
 def utility_position_weights(spark, d):
     """Weights by position, not by symbol."""
+    return utility.answers(_weighted(benchmark(spark, d)), patterns(spark), weights="weights").withColumn("utility", F.col("utility").cast("long"))
+
+
+def table_position_weights(spark, d):
+    """The utility table of frequent substrings, with weights by position."""
     b = benchmark(spark, d)
-    w = files.weight_rows(b).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"].cast("double")).alias("weights"))
-    return utility.answers(files.with_weights(b, w), patterns(spark), weights="weights").withColumn("utility", F.col("utility").cast("long"))
+    frequent = topk.expanded(topk.top_nodes(b, K, 12)).select(F.col("substr").alias("pattern"))
+    return utility.pattern_utility(_weighted(b), frequent, weights="weights").select(F.col("pattern").alias("substr"), F.col("occurrences").alias("freq"), F.col("utility").cast("long").alias("utility"))
 
 
 def pattern_positions(spark, d):
@@ -98,8 +108,6 @@ def topk_summary(spark, d):
 
 def _utility_table(spark, d):
     g = topk.expanded(topk.top_nodes(documents(spark, d), K))
-    from strandex.functions.symbols import gram_weight
-
     return g.select("substr", "freq", (F.col("freq") * gram_weight(F.col("substr"))).alias("utility"))
 
 
@@ -143,8 +151,6 @@ def table_answer(spark, d):
 
 
 def _with_utility(rows: DataFrame) -> DataFrame:
-    from strandex.functions.symbols import gram_weight
-
     return rows.withColumn("utility", gram_weight(F.col("pattern")))
 
 
@@ -189,12 +195,67 @@ def lcp_array(spark, d):
     return suffixes.lcp_array(b, suffixes.suffix_array(b)).select(F.col("doc_id").alias("item_id"), "rank", "pos", "lcp")
 
 
+def suffix_array_end_last(spark, d):
+    return suffixes.suffix_array(benchmark(spark, d), end_last=True).select(F.col("doc_id").alias("item_id"), "rank", "pos")
+
+
+def range_minima(spark, d):
+    """Least common prefix over up to 17 ranks from each rank on, as far as there are."""
+    rows = lcp_array(spark, d).withColumnRenamed("item_id", "doc_id")
+    last = F.max("rank").over(Window.partitionBy("doc_id"))
+    asked = rows.select("doc_id", F.col("rank").alias("low"), F.least(F.col("rank") + F.col("rank") % 17, last).alias("high"))
+    return extensions.range_minima(rows, asked).withColumnRenamed("doc_id", "item_id")
+
+
+def common_extensions(spark, d):
+    """How far the text goes on alike from each 'e ' and the next one."""
+    b = benchmark(spark, d)
+    found = utility.matches(b, spark.createDataFrame([("e ",)], "pattern string"))
+    pairs = found.select("doc_id", F.col("pos").alias("i"), F.lead("pos").over(Window.partitionBy("doc_id").orderBy("pos")).alias("j")).where("j IS NOT NULL")
+    return extensions.extensions(b, pairs).withColumnRenamed("doc_id", "item_id")
+
+
+def pattern_prefixes(spark, d):
+    """How much of each pattern stands wherever its first symbol does."""
+    b = benchmark(spark, d)
+    starts = b.select("doc_id", F.posexplode(symbols(F.col("text"))).alias("pos", "ch"))
+    asked = starts.join(F.broadcast(patterns(spark).withColumn("ch", F.substring("pattern", 1, 1))), "ch").select("doc_id", F.col("pos").cast("long").alias("pos"), "query_id", "pattern")
+    return extensions.pattern_prefixes(b, asked).withColumnRenamed("doc_id", "item_id")
+
+
+def kr_prefixes(spark, d):
+    return extensions.prefix_fingerprints(benchmark(spark, d)).withColumnRenamed("doc_id", "item_id")
+
+
+def kr_substrings(spark, d):
+    """Fingerprints of all substrings of five symbols, from those of prefixes."""
+    b = benchmark(spark, d)
+    found = grams.grams(b, [5]).select("doc_id", "pos", "len")
+    return extensions.substring_fingerprints(extensions.prefix_fingerprints(b), found).withColumnRenamed("doc_id", "item_id")
+
+
+def answer_metrics(spark, d):
+    b = benchmark(spark, d)
+    frequent = topk.expanded(topk.top_nodes(b, K, 12))
+    table = frequent.select("substr", (F.col("freq") * gram_weight(F.col("substr"))).alias("utility"))
+    return metrics.sources(utility.table_answers(b, patterns(spark), table), table)
+
+
+def cache_metrics(spark, d):
+    return metrics.cache_use(cache.lru_hits(streams(spark, d), 16))
+
+
+def cache_lru_contents(spark, d):
+    return cache.contents(streams(spark, d), "lru", 16).drop("count")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         pattern_utility, utility_by_lang, utility_position_weights, table_answer, pattern_positions, char_alphabet, weight_prefix_sums, random_weights, random_patterns, gram_counts, topk_exact, topk_nodes,
         topk_summary, topk_utility_table, topk_levelwise, topk_levelwise_unbounded, topk_sampled, topk_sampled_pruned, topk_recall, topk_heavykeeper, topk_approx, topk_rollup, cache_lru_replay, cache_lru_evictions,
         cache_lfu_replay, cache_sketch_replay, kr_fingerprint, kr_composition, suffix_array, lcp_array,
+        table_position_weights, suffix_array_end_last, range_minima, common_extensions, pattern_prefixes, kr_prefixes, kr_substrings, answer_metrics, cache_metrics, cache_lru_contents,
     )
 }
 
@@ -292,7 +353,7 @@ SELECT item_id, (a * p + b) % {fingerprint.PRIME} = whole AS joined, ((whole - a
     "suffix_array": f"WITH {_chars('benchmark', 'item_id')}, x AS (SELECT c.item_id, c.pos, substr(b.text, c.pos::INT + 1) AS t FROM c JOIN benchmark b ON b.item_id = c.item_id) SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY t) - 1 AS rank, pos FROM x",
     "lcp_array": f"""WITH {_chars("benchmark", "item_id")}, x AS (SELECT c.item_id, c.pos, substr(b.text, c.pos::INT + 1) AS t FROM c JOIN benchmark b ON b.item_id = c.item_id),
 y AS (SELECT item_id, row_number() OVER w - 1 AS rank, pos, t, lag(t) OVER w AS p FROM x WINDOW w AS (PARTITION BY item_id ORDER BY t))
-SELECT item_id, rank, pos, coalesce(list_max(list_filter(range(0, 33), lambda n: n = 0 OR (n <= length(t) AND n <= length(p) AND substr(t, 1, n::INT) = substr(p, 1, n::INT)))), 0)::BIGINT AS lcp FROM y""",
+SELECT item_id, rank, pos, coalesce(list_max(list_filter(range(0, least(length(t), length(p)) + 1), lambda n: substr(t, 1, n::INT) = substr(p, 1, n::INT))), 0)::BIGINT AS lcp FROM y""",
 }
 ORACLES["topk_levelwise"] = ORACLES["topk_exact"]
 # No substring of more than 16 symbols is among the 2000 best of the small corpus.
@@ -301,6 +362,27 @@ ORACLES["topk_levelwise_unbounded"] = f"WITH {_grams('benchmark', 'item_id', 16)
 ORACLES["cache_lru_evictions"] = f"WITH hits AS ({ORACLES['cache_lru_replay']}) SELECT stream_id, count(*) - 16 AS evictions FROM hits WHERE NOT hit GROUP BY stream_id HAVING count(*) > 16"
 
 
+_TEXTS = f"{_chars('benchmark', 'item_id')}, x AS (SELECT c.item_id, c.pos, c.ch, b.text FROM c JOIN benchmark b ON b.item_id = c.item_id)"
+_SAME = "list_max(list_filter(range(0, least(length({0}), length({1})) + 1), lambda n: substr({0}, 1, n::INT) = substr({1}, 1, n::INT)))::BIGINT"
+ORACLES["suffix_array_end_last"] = f"WITH {_TEXTS} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY substr(text, pos::INT + 1) || chr(1114111)) - 1 AS rank, pos FROM x"
+ORACLES["range_minima"] = f"""WITH l AS ({ORACLES['lcp_array']}), n AS (SELECT item_id, max(rank) AS m FROM l GROUP BY item_id)
+SELECT a.item_id, a.rank AS low, least(a.rank + a.rank % 17, max(n.m)) AS high, min(b.lcp) AS least
+FROM l a JOIN n ON n.item_id = a.item_id JOIN l b ON b.item_id = a.item_id AND b.rank BETWEEN a.rank AND a.rank + a.rank % 17 GROUP BY a.item_id, a.rank"""
+ORACLES["common_extensions"] = f"""WITH {_TEXTS}, y AS (SELECT item_id, text, pos AS i, lead(pos) OVER (PARTITION BY item_id ORDER BY pos) AS j FROM x WHERE substr(text, pos::INT + 1, 2) = 'e '),
+z AS (SELECT item_id, i, j, substr(text, i::INT + 1) AS a, substr(text, j::INT + 1) AS b FROM y WHERE j IS NOT NULL) SELECT item_id, i, j, {_SAME.format('a', 'b')} AS lce FROM z"""
+ORACLES["pattern_prefixes"] = f"WITH {_PATTERNS}, {_TEXTS}, y AS (SELECT item_id, pos, query_id, pattern, substr(text, pos::INT + 1, length(pattern)) AS a FROM x JOIN p ON substr(pattern, 1, 1) = ch) SELECT item_id, pos, query_id, pattern, {_SAME.format('a', 'pattern')} AS lcp FROM y"
+ORACLES["kr_prefixes"] = f"WITH {_TEXTS} SELECT item_id, pos, {_KR.format('substr(text, 1, pos::INT + 1)')}::BIGINT AS fp FROM x"
+ORACLES["kr_substrings"] = f"WITH {_grams('benchmark', 'item_id', 5, '', '5')} SELECT item_id, pos, len, {_KR.format('substr')}::BIGINT AS fp FROM g"
+ORACLES["table_position_weights"] = f"""WITH {_node_sql('benchmark', 'item_id', 12)}, {_EXPANDED}, w AS (SELECT item_id, pos, [70, 75, 80, 85, 90, 95, 100][(({_HASH}) * ({_HASH})) % 1000003 % 7 + 1] AS w FROM c),
+ps AS (SELECT item_id, pos, w, sum(w) OVER (PARTITION BY item_id ORDER BY pos) AS ps FROM w)
+SELECT g.substr, count(*) AS freq, sum(hi.ps - lo.ps + lo.w)::BIGINT AS utility FROM e JOIN g ON g.substr = e.substr JOIN ps lo ON lo.item_id = g.item_id AND lo.pos = g.pos JOIN ps hi ON hi.item_id = g.item_id AND hi.pos = g.pos + g.len - 1 GROUP BY g.substr"""
+ORACLES["answer_metrics"] = f"""WITH {_PATTERNS}, {_node_sql('benchmark', 'item_id', 12)}, {_EXPANDED}, h AS (SELECT query_id, pattern, pattern IN (SELECT substr FROM e) AS hit FROM p)
+SELECT (SELECT count(*) FROM e) AS table_rows, count(*) AS queries, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, avg(hit::INT) AS hit_rate, avg(length(pattern)) AS avg_length FROM h"""
+ORACLES["cache_metrics"] = f"WITH r AS ({ORACLES['cache_lru_replay']}) SELECT stream_id, count(*) AS queries, count(*) FILTER (hit) AS hits, avg(hit::INT) AS hit_rate FROM r GROUP BY stream_id"
+ORACLES["cache_lru_contents"] = f"""WITH {_WORDS}, u AS (SELECT stream_id, pattern, max(seq) AS used FROM q GROUP BY stream_id, pattern),
+k AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY used DESC) AS r FROM u) SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY used) - 1 AS place, pattern FROM k WHERE r <= 16"""
+
+
 def _pruned_sql() -> str:
     rounds = _SAMPLED.split(",\nre AS")[0]
     out = f"{rounds},\nre AS (SELECT r, label[1:len] AS substr, len::INT AS len, freq FROM rk, LATERAL (SELECT unnest(range(pd + 1, d + 1)) AS len)),\nk0 AS (SELECT substr, len, freq FROM re WHERE r = 0 ORDER BY {_TIES} LIMIT {K})"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandex.functions.symbols import random_weight, symbols
+from strandex.operators.lineage import written
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -17,6 +18,36 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(names, "file").select("doc_id", "text")
 
 
+def read_spans(spark: SparkSession, path: str, span: int = 1 << 16, overlap: int = 64, sep: str = "\n") -> DataFrame:
+    """(doc_id, span_start, span_own, text): one text file of any size in spans of `span` symbols and `overlap` more.
+
+    The file is read in parallel by ranges of bytes and cut at `sep`, any string that is frequent in it; what lies
+    between two of them has to fit in a row, the text doesn't. Pieces are put in place by the byte at which their range
+    begins and their order there. One row for each range is ordered in one task; all else goes by span. A trailing
+    newline is dropped.
+    """
+    raw = spark.read.text(path, lineSep=sep).select(F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("row"), F.col("value"))
+    raw = written(raw.withColumn("n", F.length("value") + len(sep)), "pieces")  # numbers of rows stay as they are
+    inner = Window.partitionBy("block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = raw.groupBy("block").agg(F.sum("n").alias("t")).select("block", F.coalesce(F.sum("t").over(outer), F.lit(0)).alias("b"))
+    at = raw.withColumn("i", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(before, "block").select((F.col("b") + F.col("i")).alias("at"), "value", "n")
+    # The reader drops the last separator whether it is there or not: the length in bytes tells.
+    total = raw.agg(F.sum("n").alias("n"), F.sum(F.octet_length("value") + len(sep.encode())).alias("u"), F.max("bytes").alias("bytes"), F.max_by(F.col("value").endswith("\n"), F.struct("block", "row")).alias("newline")).first()
+    if total["n"] is None:
+        return spark.createDataFrame([], "doc_id long, span_start long, span_own int, text string")
+    added = total["u"] > total["bytes"]
+    end = total["n"] - len(sep) * (added or sep == "\n") - (added and total["newline"])
+    piece = F.concat("value", F.lit(sep))
+    first, last = F.greatest(F.lit(0), F.floor((F.col("at") - overlap) / span)), F.floor((F.col("at") + F.col("n") - 1) / span)
+    cut = at.withColumn("s", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    low, high = F.greatest(F.col("at"), F.col("s") * span), F.least(F.col("at") + F.col("n"), (F.col("s") + 1) * span + overlap, F.lit(end))
+    parts = cut.withColumn("low", low).withColumn("part", F.substring(piece, (low - F.col("at") + 1).cast("int"), (high - low).cast("int"))).where("part <> ''")
+    spans = parts.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("low", "part"))).alias("ps"))
+    own = F.least(F.lit(span), F.lit(end) - F.col("s") * span)
+    return spans.where(own > 0).select(F.lit(0).cast("long").alias("doc_id"), (F.col("s") * span).cast("long").alias("span_start"), own.cast("int").alias("span_own"), F.array_join("ps.part", "").alias("text"))
+
+
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     """As read_text, with a byte as the symbol: each byte is the character of its number."""
     raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "ISO-8859-1").alias("t"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandex.functions import fingerprint
-from strandex.operators import cache, grams, prefix, sketch, suffixes, topk, utility
+from strandex.operators import cache, extensions, grams, metrics, prefix, sketch, suffixes, topk, utility
 from strandex.plans import catalog
 from strandex.sources import files
 from strandex.streaming.caches import stream_replay, windowed_patterns
@@ -308,3 +308,65 @@ def test_sketches(spark):
     true = {r["substr"] for r in topk.exact(c, 20, 3).collect()}
     for got in (sketch.heavy_keeper(c, 20, 3), sketch.approximate(c, 20, 3)):
         assert len({r["substr"] for r in got.collect()} & true) >= 14
+
+
+@pytest.mark.parametrize("sep", ["\n", " ", "the"])
+def test_spans_of_a_long_text(spark, tmp_path, sep):
+    rng = random.Random(5)
+    text = "".join(rng.choice(["the ", "cat ", "é", "\n", "\r\n", "  ", "𝄞", "ab"]) for _ in range(3000))
+    for i, (end, want) in enumerate([("", text), ("\n", text), ("\n\n", text + "\n"), ("the", text + "the"), (" ", text + " ")]):
+        path = str(tmp_path / f"t{i}")
+        with open(path, "w", encoding="utf-8", newline="") as f:
+            f.write(text + ("x" if not end else "") + end)
+        want = text + "x" if not end else want
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        try:
+            spans = sorted(files.read_spans(spark, path, 500, 9, sep).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [(s["span_start"], s["span_own"], s["text"]) for s in spans] == [(a, min(500, len(want) - a), want[a : a + 509]) for a in range(0, len(want), 500)]
+    rows = grams.span_grams(spark.createDataFrame(spans), [2, 9])
+    got = Counter({r["substr"]: r["freq"] for r in grams.counts(rows).collect()})
+    assert got == Counter(want[i : i + n] for n in (2, 9) for i in range(len(want) - n + 1))
+    (tmp_path / "none").write_text("")
+    assert files.read_spans(spark, str(tmp_path / "none"), 500, 9, sep).count() == 0
+
+
+def test_extensions_by_brute_force(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abé") for _ in range(n)) for n in (1, 7, 60)] + ["a" * 40, ""]
+    pairs = [(d, i, j) for d, t in enumerate(texts) for i in range(0, len(t) + 1, 3) for j in range(0, len(t) + 1, 5)]
+    got = {(r["doc_id"], r["i"], r["j"]): r["lce"] for r in extensions.extensions(corpus(spark, *texts), spark.createDataFrame(pairs, "doc_id long, i long, j long")).collect()}
+    same = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert got == {(d, i, j): same(texts[d][i:], texts[d][j:]) for d, i, j in pairs}
+    values = [rng.randrange(9) for _ in range(50)]
+    rows = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)] + [(None, 0, 1)], "doc_id long, rank long, lcp long")
+    asked = [(0, a, b) for a in range(0, 52, 3) for b in range(a - 2, 54, 4)]
+    got = {(r["low"], r["high"]): r["least"] for r in extensions.range_minima(rows, spark.createDataFrame(asked, "doc_id long, low long, high long")).collect()}
+    assert got == {(a, b): min(values[a : b + 1]) if a <= b < 50 else None for _, a, b in asked}
+    assert extensions.range_minima(rows, spark.createDataFrame([], "doc_id long, low long, high long")).count() == 0
+
+
+def test_cache_contents(spark):
+    rng = random.Random(7)
+    rows = [(s, i, rng.choice("abcdefgh")) for s in (0, 1, None) for i in range(60)]
+    stream = spark.createDataFrame(rows, "stream_id long, seq long, pattern string")
+    for policy in cache.POLICIES:
+        got = cache.contents(stream, policy, 4).collect()
+        for s in (0, 1, None):
+            model = cache.POLICIES[policy](4)
+            for row in rows:
+                if row[0] == s:
+                    model.use(row[2])
+            own = [(r["pattern"], r["count"]) for r in sorted((r for r in got if r["stream_id"] == s), key=lambda r: r["place"])]
+            assert own == ([(k, None) for k in model.kept] if policy == "lru" else model.kept.items())
+    assert cache.contents(stream.limit(0), "lru", 4).count() == 0
+
+
+def test_table_function_and_times(spark):
+    fingerprint.register(spark)
+    spark.createDataFrame([("aba",), ("",), (None,)], "t string").createOrReplaceTempView("few")
+    got = spark.sql("SELECT s.* FROM few, LATERAL substrings(few.t, 2) AS s").collect()
+    assert sorted(map(tuple, got)) == [(0, 1, "a"), (0, 2, "ab"), (1, 1, "b"), (1, 2, "ba"), (2, 1, "a")]
+    out = metrics.timed(spark.range(1000))
+    assert out["queries"] == 1000 and out["seconds"] > 0 and out["seconds_a_query"] == out["seconds"] / 1000
