@@ -14,6 +14,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .lineage import written
+
 _NO_STREAM = -(1 << 63)  # stands for null where streams are joined
 SCHEMA = "stream_id long, seq long, pattern string, hit boolean, evicted string"
 
@@ -22,20 +24,27 @@ def lru_hits(stream: DataFrame, capacity: int) -> DataFrame:
     """`stream` with `hit` for a least-recently-used cache: seen before, and fewer than `capacity` distinct others since.
 
     A use counts as distinct inside an interval if its pattern's next use is not inside. Intervals shorter than the
-    capacity hit at once and are not looked into. Rows without a stream_id are a stream of their own.
+    capacity hit at once and are not looked into. The others are cut into blocks of 2, 4, 8, ... uses, at most two of a size;
+    in each block one sort by next use counts for all intervals that hold it. A stream of n uses makes n * log(longest interval) rows,
+    never pairs. Rows without a stream_id are a stream of their own.
     """
     stream = stream.select(F.coalesce("stream_id", F.lit(_NO_STREAM)).alias("stream_id"), "seq", "pattern")
-    w = Window.partitionBy("stream_id", "pattern").orderBy("seq")
-    uses = stream.select("stream_id", "seq", "pattern", F.lag("seq").over(w).alias("prev"), F.lead("seq").over(w).alias("next"))
-    n = Window.partitionBy("stream_id").orderBy("seq")
-    uses = uses.withColumn("i", F.row_number().over(n).cast("long"))
-    prev = uses.select(F.col("stream_id"), F.col("seq").alias("prev"), F.col("i").alias("pi"))
-    uses = uses.join(prev, ["stream_id", "prev"], "left")
-    open_ = uses.where(F.col("i") - F.col("pi") > capacity).select("stream_id", "seq", "prev", "i", "pi")
-    inner = uses.select("stream_id", F.col("seq").alias("s"), F.coalesce("next", F.lit((1 << 62))).alias("n"))
-    inside = open_.join(inner, (open_.stream_id == inner.stream_id) & (inner.s > open_.prev) & (inner.s < open_.seq) & (inner.n >= open_.seq)).groupBy(open_.stream_id, open_.seq).agg(F.count("*").alias("distinct"))
-    out = uses.join(inside, ["stream_id", "seq"], "left")
-    hit = F.col("prev").isNotNull() & ((F.col("i") - F.col("pi") <= capacity) | (F.coalesce("distinct", F.lit(0)) < capacity))
+    uses = stream.withColumn("i", F.row_number().over(Window.partitionBy("stream_id").orderBy("seq")).cast("long"))
+    w = Window.partitionBy("stream_id", "pattern").orderBy("i")
+    uses = written(uses.withColumn("prev", F.lag("i").over(w)).withColumn("next", F.coalesce(F.lead("i").over(w), F.lit(1 << 62))), "uses")
+    longest = uses.agg(F.max(F.col("i") - F.col("prev"))).first()[0] or 0
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(max(longest - 1, 1).bit_length() - 1))).alias("b")
+    points = uses.where(F.lit(longest > capacity)).select("stream_id", "i", F.col("next").alias("key"), sizes)
+    points = points.select("stream_id", "b", F.expr("shiftright(i, b)").alias("block"), "key", F.lit(1).alias("point"), F.lit(None).cast("long").alias("i"))
+    # The interval (prev, i) holds the blocks [lo, hi) of a size; of these the odd first and the even last are in no larger block.
+    open_ = uses.where(F.col("i") - F.col("prev") > capacity).select("stream_id", "i", "prev", sizes)
+    open_ = open_.select("stream_id", "i", "b", F.expr("shiftright(prev + shiftleft(1L, b), b)").alias("lo"), F.expr("shiftright(i, b)").alias("hi")).where("lo < hi")
+    open_ = open_.withColumn("block", F.explode(F.expr("filter(array(if(lo % 2 = 1, lo, null), if(hi % 2 = 1, hi - 1, null)), x -> x IS NOT NULL)")))
+    both = points.unionByName(open_.select("stream_id", "b", "block", F.col("i").alias("key"), F.lit(0).alias("point"), "i"))
+    later = Window.partitionBy("stream_id", "b", "block").orderBy(F.desc("key"), F.desc("point")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("m", F.sum("point").over(later)).where("point = 0").groupBy("stream_id", "i").agg(F.sum("m").alias("distinct"))
+    out = uses.join(inside, ["stream_id", "i"], "left")
+    hit = F.col("prev").isNotNull() & ((F.col("i") - F.col("prev") <= capacity) | (F.coalesce("distinct", F.lit(0)) < capacity))
     return out.select(F.nullif("stream_id", F.lit(_NO_STREAM)).alias("stream_id"), "seq", "pattern", hit.alias("hit"))
 
 

@@ -99,10 +99,15 @@ def random_patterns(corpus: DataFrame, count: int, shortest: int, longest: int,
     Starts leave room for the longest pattern where the text has it. Empty texts give none.
     """
     texts = corpus.where("length(text) > 0").select("doc_id", "text")
-    n = texts.count()
+    # Ids are numbered in parts of their order; only the parts' sizes are summed in one place.
+    ids = written(texts.select("doc_id").orderBy("doc_id").select("doc_id", F.monotonically_increasing_id().alias("at")), "ids")
+    ids = ids.select("doc_id", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at"))
+    sizes = ids.groupBy("part").agg(F.count("*").alias("size"))
+    n = sizes.agg(F.sum("size")).first()[0]
     if not n:
         return corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, pos long, pattern string")
-    ids = texts.select("doc_id").withColumn("k", F.row_number().over(Window.orderBy("doc_id")).cast("long") - 1)
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ids = ids.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("doc_id", (F.col("before") + F.col("at")).alias("k"))
     mixed = lambda a: (F.col("query_id") * a + F.lit(seed)) % 1000003
     rows = corpus.sparkSession.range(count).withColumnRenamed("id", "query_id").withColumn("k", F.col("query_id") % n)
     got = rows.join(ids, "k").join(texts, "doc_id")

@@ -149,6 +149,11 @@ def test_lru_is_its_simulation(spark):
             by = {(r["stream_id"], r["seq"]): r["hit"] for r in got.collect()}
             assert by == {(s, i): h for s, q in seqs.items() for i, h in enumerate(lru(q, k))}
     assert lru("xyxzyx", 2) == [False, False, True, False, False, False]
+    long = [f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(3000)]
+    stream = spark.createDataFrame([(7, 3 * i, p) for i, p in enumerate(long)], "stream_id long, seq long, pattern string")
+    for k in (0, 3, 40, 1000):
+        got = [r["hit"] for r in cache.lru_hits(stream, k).orderBy("seq").collect()]
+        assert got == lru(long, k)
 
 
 def test_frequency_caches(spark):
