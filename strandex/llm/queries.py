@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embed, html, jaccard, linededup, mixing, packing, pii, quality, tokens
+from . import alignment, chat, classifier, embed, html, jaccard, linededup, mixing, packing, pii, quality, search, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_html_extraction": html.op8_html_extraction,
     "op9_packing": packing.op9_packing,
     "op10_embedding_near_dedup": embed.op10_embedding_near_dedup,
+    "op11_lexical_search": search.op11_lexical_search,
+    "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_quality_classifier": classifier.op13_quality_classifier,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
@@ -22,4 +25,5 @@ ORACLES = {
     "op4_chat_formatting": chat.ORACLE,
     "op7_line_dedup": linededup.ORACLE,
     "op10_embedding_near_dedup": embed.ORACLE,
+    "op11_lexical_search": search.ORACLE,
 }
