@@ -6,6 +6,8 @@ sketch TEXT K                                               by a sketch; also wr
 utility TEXT WEIGHTS|random PATTERNS [K [STRIDE]]               utilities, with a table of the K most frequent substrings
 utility TEXT WEIGHTS|random random:COUNT:MIN:MAX [K [STRIDE]]   the same for random patterns
 replay TEXT WEIGHTS|random K PATTERNS --policy lru|lfu|sketch
+index TEXT PATH                                             store the suffixes of one text of any size, read in spans
+search PATH PATTERNS [--places]                             ranks and counts of patterns, or where they are, from a stored index
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandex.operators import cache, sketch, topk, utility
+from strandex.operators import cache, index, sketch, topk, utility
 from strandex.sources import files
 
 
@@ -43,11 +45,24 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("k", type=int)
     c.add_argument("patterns")
     c.add_argument("--policy", choices=tuple(cache.POLICIES), default="lru")
+    c = sub.add_parser("index")
+    c.add_argument("text")
+    c.add_argument("path")
+    c = sub.add_parser("search")
+    c.add_argument("path")
+    c.add_argument("patterns")
+    c.add_argument("--places", action="store_true")
     return p
 
 
 def run(spark: SparkSession, argv: list[str]) -> DataFrame:
     a = parser().parse_args(argv)
+    if a.command == "index":
+        index.build(files.read_spans(spark, a.text), a.path)
+        return spark.read.parquet(f"{a.path}/parts")
+    if a.command == "search":
+        found = index.search(spark, a.path, files.read_patterns(spark, a.patterns))
+        return index.places(spark, a.path, found) if a.places else found
     corpus = files.read_text(spark, a.text)
     if a.command == "topk":
         if a.mode == "node":

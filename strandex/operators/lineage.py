@@ -5,25 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the folder that driver and executors share, and read from there.
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset it is a temporary one in local mode, and in
-    the warehouse on a cluster.
+    Where that is unset it is a temporary one in local mode, and in the warehouse on a cluster.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandex-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/strandex")
-        folder = sc.getCheckpointDir()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        found = sc.getCheckpointDir()
+    return found
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder, and read from there."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandex_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_strandex_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

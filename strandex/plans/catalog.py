@@ -6,13 +6,14 @@ query streams are the words of each conversation, in order of turn and word.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandex.functions import fingerprint
 from strandex.functions.symbols import gram_weight, symbol_weight, symbols
-from strandex.operators import cache, extensions, grams, metrics, prefix, sketch, suffixes, topk, utility
+from strandex.operators import cache, extensions, grams, index, lineage, metrics, prefix, sketch, suffixes, topk, utility
 from strandex.sources import files
 
 PATTERNS = ("the", "a", "ion", "zzzq", "e ", "tion", "the ", "er", "on the", "schein", "eau", "ción", "Licensed under", "and of", "xyz", "the", "é", "\n")
@@ -249,6 +250,28 @@ def cache_lru_contents(spark, d):
     return cache.contents(streams(spark, d), "lru", 16).drop("count")
 
 
+def pattern_intervals(spark, d):
+    """Ranks of the suffixes that begin with each of 500 patterns, from a stored index."""
+    path = f"{lineage.folder(spark)}/index-{uuid.uuid4().hex}"
+    b = benchmark(spark, d)
+    index.build(b, path)
+    return index.search(spark, path, files.random_patterns(b, 500, 3, 12).select("query_id", "pattern"))
+
+
+def index_lcps(spark, d):
+    """Order and common prefixes of each text's suffixes, with no text in a row or task."""
+    order = index.suffix_order(benchmark(spark, d), per_text=True)
+    first = order.ranks.groupBy("row").agg(F.min("rank").alias("first"))
+    lcps = index.common_prefixes(order, per_text=True).join(first, "row")
+    return lcps.select(F.col("doc_id").alias("item_id"), (F.col("rank") - F.col("first")).alias("rank"), "pos", "lcp")
+
+
+def lcp_intervals(spark, d):
+    """All suffix-tree nodes of the small corpus, of any depth."""
+    b = benchmark(spark, d)
+    return index.nodes(b, index.suffix_order(b))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -256,6 +279,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         topk_summary, topk_utility_table, topk_levelwise, topk_levelwise_unbounded, topk_sampled, topk_sampled_pruned, topk_recall, topk_heavykeeper, topk_approx, topk_rollup, cache_lru_replay, cache_lru_evictions,
         cache_lfu_replay, cache_sketch_replay, kr_fingerprint, kr_composition, suffix_array, lcp_array,
         table_position_weights, suffix_array_end_last, range_minima, common_extensions, pattern_prefixes, kr_prefixes, kr_substrings, answer_metrics, cache_metrics, cache_lru_contents,
+        pattern_intervals, index_lcps, lcp_intervals,
     )
 }
 
@@ -392,3 +416,9 @@ def _pruned_sql() -> str:
 
 
 ORACLES["topk_sampled_pruned"] = _pruned_sql()
+ORACLES["index_lcps"] = ORACLES["lcp_array"]
+# No substring of 24 symbols occurs twice in the small corpus, so that no deeper node exists.
+ORACLES["lcp_intervals"] = f"WITH {_node_sql('benchmark', 'item_id', 24)} SELECT label, freq, pd, d FROM n"
+ORACLES["pattern_intervals"] = f"""WITH q AS ({ORACLES["random_patterns"]}), {_TEXTS}, t AS (SELECT substr(text, pos::INT + 1) AS t FROM x),
+n AS (SELECT pattern, count(*) FILTER (t < pattern) AS low, count(*) FILTER (starts_with(t, pattern)) AS n FROM (SELECT DISTINCT pattern FROM q) CROSS JOIN t GROUP BY pattern)
+SELECT query_id, q.pattern, low, low + n - 1 AS high, n AS occurrences FROM q JOIN n ON n.pattern = q.pattern"""
