@@ -25,7 +25,7 @@ def encoder(path: str):
 
     The ids are those of the tokenizers library with the .json file and add_special_tokens=False: a special token's string
     in a text is that token. Both files hold one vocabulary, and the twin's library needs a third of the time; it is used
-    where the .json file's added tokens are plain strings. Without a twin the .json file is used itself.
+    where the .json file's added tokens are plain strings. Without a twin, and for texts that its library can't take, the .json file is used itself.
     """
     if path not in _POOL:
         import json
@@ -36,6 +36,8 @@ def encoder(path: str):
         with open(path, encoding="utf-8") as f:
             added = json.load(f)["added_tokens"]
         twin = re.sub(r"\.json$", ".tiktoken", path)
+        tok = Tokenizer.from_file(path)
+        plainly = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, np.uint32)
         plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in added)
         if os.path.exists(twin) and twin != path and plain:
             import public_tokenizers
@@ -44,10 +46,16 @@ def encoder(path: str):
             with open(twin, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
             own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
-            _POOL[path] = lambda t: own.encode_to_numpy(t, allowed_special="all") if t else np.empty(0, np.uint32)
+
+            def twice(t: str) -> np.ndarray:
+                try:
+                    return own.encode_to_numpy(t, allowed_special="all") if t else np.empty(0, np.uint32)
+                except ValueError:  # its matcher's stack ends at very long runs of blanks
+                    return plainly(t)
+
+            _POOL[path] = twice
         else:
-            tok = Tokenizer.from_file(path)
-            _POOL[path] = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, np.uint32)
+            _POOL[path] = plainly
     return _POOL[path]
 
 
