@@ -6,12 +6,13 @@ or hides, next to nothing under names that say only such things (`site-footer`,
 mention one (`header-text`), more inside an article. The weights of a sliding window of lines are summed. Text surges at a heading
 or a line of some length where a window's sum passes a threshold, and dives where the sum falls below half of it. What stands between
 is kept, and so are the other lines of its container, the box that holds it: the article or main element, or else the nearest
-div, section, list or table. Only lines of no or next to no factor, and links at the ends of a container, stay out. No tag
+div, section, list or table. Only lines of no or next to no factor stay out, and links at the ends of a container other than an article. No tag
 decides by itself that a page's text is here or there, so that pages with and without an article element are read alike.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from typing import NamedTuple
@@ -25,7 +26,9 @@ NAMED, MENTIONED, ARTICLE = 0.05, 0.5, 1.5  # factors
 
 # One scan: possessive groups that can't give back, so that no text is read twice.
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-hidden|hidden)\b(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++))?+""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|style|aria-hidden|hidden)\b(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++))?+""", re.I)
+_PIECES, _HIDDEN = re.compile("[^a-z0-9]+"), re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden")
+_NOT, _WHOLE = {"has", "no", "with", "without"}, {"article", "main"}
 _RAW = {t: re.compile(rf"</{t}\s*+>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "canvas", "math")}
 _ENDLESS = {"script", "style", "textarea", "title"}  # without an end they go on to the end of the page
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -52,6 +55,7 @@ class Line(NamedTuple):
     container: int  # number of the box that holds it
     heading: bool
     links: int  # characters inside links
+    fixed: bool  # in an article or main element
 
 
 class _Open(NamedTuple):
@@ -63,21 +67,36 @@ class _Open(NamedTuple):
     link: bool
 
 
+@functools.lru_cache(1 << 12)
+def _named(value: str) -> float:
+    """The factor of a class or id."""
+    out = 1.0
+    for one in value.split():
+        pieces = [x.rstrip("0123456789") or x for x in _PIECES.split(one) if x]
+        words = []
+        for k, w in enumerate(pieces):
+            # `no-sidebar`, `ad-free`: names that say what isn't there
+            if (k and pieces[k - 1] in _NOT) or (k + 1 < len(pieces) and pieces[k + 1] == "free") or w in _NOT or w == "free" or not w.isalpha():
+                continue
+            words.append(w)
+        says = [w for w in words if w in _SAYS]
+        if says:
+            out = min(out, NAMED if all(w in _SAYS or w in _BESIDE for w in words) else MENTIONED)
+    return out
+
+
 def _factor(tag: str, attrs: str, inside: bool) -> float:
-    """How much of a line's weight an element leaves."""
+    """How much of a line's weight an element leaves. Inside an article only boxes are judged by their names, and the article itself never is."""
     if tag in _APART or tag == "header" and not inside:
         return 0.0
     out = 1.0
-    for name, value in _ATTR.findall(attrs) if attrs and tag not in ("html", "body", "main") else ():
+    by_name = tag not in _WHOLE and (not inside or tag in _BOXES)
+    for name, value in _ATTR.findall(attrs) if attrs and tag not in ("html", "body") else ():
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES or name == "style" and _HIDDEN.search(value):
             return 0.0
-        if name in ("class", "id"):
-            for one in value.split():
-                words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])\d+|\b(?:has|no|with|without)[-_]\w+|\w+[-_]free\b", "", one)) if w]
-                says = [w for w in words if w in _SAYS]
-                if says:
-                    out = min(out, NAMED if all(w in _SAYS or w in _BESIDE for w in words) else MENTIONED)
+        if name in ("class", "id") and by_name:
+            out = min(out, _named(value) if len(value) < 200 else _named.__wrapped__(value))
     return out
 
 
@@ -97,7 +116,7 @@ def lines(page: str) -> list[Line]:
         held.clear()
         if text:
             top = stack[-1]
-            out.append(Line(text, top.factor, top.container, top.heading, min(links, len(text))))
+            out.append(Line(text, top.factor, top.container, top.heading, min(links, len(text)), top.fixed))
         links = 0
 
     def close(k: int) -> None:
@@ -187,7 +206,8 @@ def main_text(page: str | None) -> str:
     blocks = lines(page or "")
     n = len(blocks)
     good = [b.factor > NAMED * ARTICLE for b in blocks]
-    weight = [(len(b.text) - b.links) * b.factor if g else 0.0 for b, g in zip(blocks, good, strict=True)]
+    # In an article links count half; outside they are no text.
+    weight = [(len(b.text) - (b.links / 2 if b.fixed else b.links)) * b.factor if g else 0.0 for b, g in zip(blocks, good, strict=True)]
     sums = [sum(weight[i : i + WINDOW]) for i in range(n)]
     need = min(SURGE, max(sums, default=0))
     if not need:
@@ -206,14 +226,14 @@ def main_text(page: str | None) -> str:
     for i, j in zip(at, at[1:], strict=False):
         for g in range(i + 1, j if j - i <= WINDOW else i + 1):
             kept[g] = good[g] and weight[g] > 0
-    # A container's other lines belong to its text; links only where text of it follows.
+    # A container's other lines belong to its text; outside articles, links only between its lines or as headings.
     ends: dict[int, list[int]] = {}
     for i in range(n):
         if kept[i] and weight[i]:
             ends.setdefault(blocks[i].container, [i, i])[1] = i
     for i in range(n):
         span = ends.get(blocks[i].container)
-        if span and good[i] and (weight[i] or span[0] < i < span[1]):
+        if span and good[i] and (weight[i] or blocks[i].heading or span[0] < i < span[1]):
             kept[i] = True
     return " ".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
