@@ -4,7 +4,8 @@ Seeds are the base spans (email, ip, card, phone) and tokens that by their form
 strings with digits and letters, UUIDs). The words around them induce lexical patterns: the one, two or three words before, and the one or two
 before with the word after. Other number-like tokens of the texts are instances, joined with patterns to a bipartite graph.
 Spark scores it iteratively: a pattern by its precision, which is the score of what it extracts over how often its words
-stand before anything at all in the corpus (smoothed against little support); an instance by the noisy-or of the
+stand before something known or something that is no instance (smoothed against little support). An instance of which nothing
+is known yet is neither right nor wrong, as long as a tenth of what a pattern extracts is known. An instance is scored by the noisy-or of the
 patterns that extract it and are right more often than not. Instances so found support further patterns in the next round. Tokens that
 patterns of high confidence extract are added as spans of kind `id`; base spans always stay.
 """
@@ -34,6 +35,7 @@ SUPPORT = 5  # distinct instances, seeds among them, that a pattern needs
 SMOOTH = 2.0  # slots of score 0 that each pattern is given
 LIKELY = 0.5  # precision from which a pattern speaks for its instances
 CONFIDENT = 0.8
+KNOWN = 0.1  # share of a pattern's occurrences that has to be known, seeds or found ones, for the pattern to be scored
 BITS = 24  # of the bitmap of patterns' hashes, 2 MB whatever their number, by which the pass over all slots leaves out most others
 FLUSH = 1_000_000  # slots whose patterns are counted at once in a task
 BROADCAST = 100_000  # patterns (2 MB) up to which they are broadcast; beyond, they are shuffled
@@ -238,8 +240,9 @@ def scores(docs: DataFrame, found: DataFrame, text: str = "text", rounds: int =
     inst = graph.groupBy("inst").agg(F.max("seed").alias("score"))
     old = []
     for k in range(rounds):
-        pats = graph.join(inst, "inst").groupBy("pat", "slots").agg(F.sum(F.col("occ") * F.col("score")).alias("s"))
-        pats = written(pats.select("pat", F.round(F.col("s") / (F.col("slots") + SMOOTH), 9).alias("score")), "scores")
+        pats = graph.join(inst, "inst").groupBy("pat", "slots").agg(F.sum(F.col("occ") * F.col("score")).alias("s"), F.sum(F.when(F.col("score") > 0, F.col("occ")).otherwise(0)).alias("k"), F.sum("occ").alias("o"))
+        against = F.greatest(F.col("slots") - F.col("o"), F.lit(0)) + F.col("k") + SMOOTH
+        pats = written(pats.select("pat", F.when(F.col("s") >= KNOWN * F.col("o"), F.round(F.col("s") / against, 9)).otherwise(0.0).alias("score")), "scores")
         if k < rounds - 1:
             # 1 - product of (1 - score) over an instance's patterns; a seed stays 1
             told = graph.join(near(pats.withColumnRenamed("score", "p")), "pat").withColumn("p", F.when(F.col("p") >= LIKELY, F.least("p", F.lit(0.999999))).otherwise(0.0))

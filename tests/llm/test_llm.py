@@ -226,7 +226,11 @@ def brute_identifiers(texts):
             seed[inst] = max(seed.get(inst, 0.0), float(s))
     score = dict(seed)
     for _ in range(pii.ROUNDS):
-        ps = {p: round(sum(o * score[x] for x, o, _ in es) / (slots[p] + pii.SMOOTH), 9) for p, es in by.items()}
+        ps = {}
+        for p, es in by.items():
+            every, right = sum(o for _, o, _ in es), sum(o * score[x] for x, o, _ in es)
+            against = max(slots[p] - every, 0) + sum(o for x, o, _ in es if score[x] > 0) + pii.SMOOTH
+            ps[p] = round(right / against, 9) if right >= pii.KNOWN * every else 0.0
         out = dict.fromkeys(seed, 1.0)
         for p, es in by.items():
             for x, _, _ in es:
@@ -281,6 +285,25 @@ def test_identifiers_against_brute_force(spark):
     assert recall >= 0.95 and precision >= 0.95
 
 
+@pytest.mark.parametrize("unseen", [0.2, 0.5, 0.8])
+def test_identifiers_however_many_are_unseen(spark, unseen):
+    rng = random.Random(int(unseen * 10))
+    texts, true = [], set()
+    for i in range(400):
+        words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(20)]
+        if rng.random() < 0.5:
+            mark = f"B-{rng.randint(0, 99999):05d}" if (new := rng.random() < unseen) else f"u{i}@example.org"
+            words[5:5] = ["my", "badge", "is", mark]
+        else:
+            new, mark = False, f"{rng.randint(0, 99999):05d}"
+            words[5:5] = [rng.choice(words), mark]
+        texts.append(" ".join(words))
+        if new:
+            true.add((i, texts[-1].index(mark), texts[-1].index(mark) + len(mark)))
+    got = {(r["doc_id"], *map(int, s.split(":")[1:])) for r in pii.find(docs(spark, *texts)).collect() for s in r["spans"].split(",") if s.startswith("id:")}
+    assert got == true == brute_identifiers(texts)
+
+
 # --- 4 chat formatting
 
 
@@ -569,6 +592,32 @@ def test_html_takes_linear_time(page):
     assert time.time() - began < 5
 
 
+L = "A paragraph of some words that goes on for about a hundred characters, as those of articles do more often than not."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><h1><a href=x>My linked title</a></h1><p>{L}</p></article>", f"My linked title {L}"),
+        (f"<article><p>{L}</p><h2>Further reading</h2><ul><li><a>Paper one</a><li><a>Paper two</a></ul></article>", f"{L} Further reading Paper one Paper two"),
+        (f"<article class='promo'><p>{L}</p></article>", L),
+        (f"<article><a href=x>{L}</a></article>", L),
+        (f"<article><p class='widget'>{L}</p><p>{L}</p></article>", f"{L} {L}"),
+        (f"<article><p>{L}</p><p style='display: none'>{L}</p></article>", L),
+        (f"<article><p>{L}</p><div class='comments'><p>{L} Me too.</p></div></article>", L),
+        (f"<div class='{'a' * 100_000}'><p>{L}</p></div>", L),
+        (f"<div id='{'-free' * 20_000}'><p>{L}</p></div>", L),
+        (f"<div class='no-sidebar ad-free content2'><p>{L}</p></div><div class='sidebar'><p>{L}</p></div>", L),
+    ],
+)
+def test_html_keeps_what_an_article_holds(page, want):
+    import time
+
+    began = time.time()
+    assert html.main_text(page) == want
+    assert time.time() - began < 1
+
+
 def test_html_awkward_tables(spark):
     rows = [(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (None, None, None), (2, "u", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("factor", F.lit("clash"))
@@ -579,6 +628,19 @@ def test_html_awkward_tables(spark):
 # --- 9 packing
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t"])
+def test_packing_of_long_blank_runs(spark, blank):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "word " * 20 + blank * 1_000_000 + "end"
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [packing.END]
+    assert packing.encoder(path)(text).tolist() == want[:-1]
+    got = packing.pack(docs(spark, text), path, ids=True).orderBy("start").collect()
+    assert [x for r in got for x in r["ids"]] == want
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
