@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .base import forget, words, written
 
-BUCKETS = 1 << 14  # word hashes; the model has a row for each, which bounds what is broadcast
+BUCKETS = 1 << 18  # word hashes; the model has a row for each that says anything, which bounds what is broadcast to 8 MB
 SAMPLE = 20_000  # labelled documents that the classifier is fitted on, by hash of their id
-EVIDENCE = 48.0  # words that a document's evidence counts for, at most: longer texts are averaged
-ALPHA = 0.5
+ALPHA = 1024.0  # words of the corpus that are added to each domain's
+CLEAR = 12.0  # standard deviations from what is expected of a word by chance, from which it says anything
+STRENGTHS = tuple([0.0] + [2.0 ** (-k / 2) for k in range(16, -5, -1)])  # of the evidence, of which held-out labels choose one
 PULL = 1e-3
 ROUNDS = 30
 MOST = 8.0  # copies of a document, at most: a domain that is nearly absent can't be had by repeating a few of its documents
@@ -53,7 +54,13 @@ def _bucket(word: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAINS, sample: int = SAMPLE) -> tuple[DataFrame, list[float]]:
-    """(bucket, w0, w1, ...), the log-likelihoods by domain, and the log-priors.
+    """(bucket, w0, w1, ...), what a word in a text says for each domain, and the log-priors.
+
+    Words count once in a text. A domain's share of a word is smoothed toward the word's share of all labelled texts, and words whose number in
+    the domain chance may explain say nothing, as thousands of them would outweigh the few that tell. A fifth of the
+    labelled rows, by hash of their id, is left out of the counts; weights are multiplied by the number in STRENGTHS, and priors shifted,
+    so that the labels of that fifth are likeliest: posteriors are as sure as they are right, and where words tell nothing
+    they are the domains' shares.
 
     Labelled rows that fit no domain, or with a null id, are left out; of several rows for one id the first domain
     counts. Without any labelled row all domains are equally likely.
@@ -62,32 +69,64 @@ def fit(docs: DataFrame, labels: DataFrame, domains: tuple[Domain, ...] = DOMAIN
     known = labels.select("doc_id", kind.alias("k")).where("doc_id IS NOT NULL AND k IS NOT NULL").groupBy("doc_id").agg(F.min("k").alias("k"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
-    counts = texts.select("k", F.explode(words(F.col("text"))).alias("w")).groupBy(_bucket(F.col("w")).alias("bucket"), "k").agg(F.count("*").alias("n"))
+    aside = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0
+    counts = texts.where(~aside).select("k", F.explode(_buckets(words(F.col("text")))).alias("bucket")).groupBy("bucket", "k").agg(F.count("*").alias("n"))
     size = len(domains)
     wide = counts.groupBy("bucket").agg(*(F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(size)))
     wide = written(wide, "buckets")
     total = wide.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(size))).first()
     rows = {r["k"]: r["n"] for r in chosen.groupBy("k").agg(F.count("*").alias("n")).collect()}
     prior = [math.log((rows.get(k, 0) + 1) / (sum(rows.values()) + size)) for k in range(size)]
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(wide), "bucket", "left")
-    model = every.select("bucket", *(F.log((F.coalesce(f"n{k}", F.lit(0)) + ALPHA) / F.lit(float(total[k] + ALPHA * BUCKETS))).alias(f"w{k}") for k in range(size)))
-    model = written(model, "model")
-    forget(wide)
-    return model, prior
+    n = [F.col(f"n{k}") for k in range(size)]
+    share = (sum(n[1:], n[0]) + 1) / F.lit(float(sum(total) + BUCKETS))
+    expected = [share * float(total[k]) for k in range(size)]
+    clear = [F.abs(n[k] - expected[k]) >= CLEAR * F.sqrt(expected[k] + 1) for k in range(size)]
+    says = [F.when(clear[k], F.log((n[k] / share + ALPHA) / F.lit(float(total[k] + ALPHA)))).otherwise(0.0) for k in range(size)]
+    model = written(wide.where(F.array_contains(F.array(*clear), True)).select("bucket", *(says[k].alias(f"w{k}") for k in range(size))), "model")
+    told = _evidence(texts.where(aside), model, size, ("k",)).select("k", *(f"s{k}" for k in range(size))).collect()  # a fifth of `sample`, or so
+    strength, shift = _calibrated(np.array([[r[f"s{k}"] for k in range(size)] for r in told]), np.array([r["k"] for r in told]), np.array(prior)) if told else (1.0, np.zeros(size))
+    scaled = written(model.select("bucket", *((F.col(f"w{k}") * strength).alias(f"w{k}") for k in range(size))), "model")
+    forget(wide, model)
+    return scaled, (np.array(prior) + shift).tolist()
+
+
+def _calibrated(evidence: np.ndarray, kinds: np.ndarray, prior: np.ndarray) -> tuple[float, np.ndarray]:
+    """The strength, of STRENGTHS, and the shift of log-priors that make held-out labels likeliest."""
+    best = (math.inf, 1.0, np.zeros(len(prior)))
+    share = (np.bincount(kinds, minlength=len(prior)) + 10 * np.exp(prior)) / (len(kinds) + 10)
+    for c in STRENGTHS:
+        shift = np.zeros(len(prior))
+        for _ in range(200):  # until each domain's mean posterior is its share
+            logit = prior + shift + c * evidence
+            post = np.exp(logit - np.logaddexp.reduce(logit, axis=1)[:, None])
+            mean = (post.sum(0) + 10 * np.exp(prior)) / (len(kinds) + 10)
+            shift += np.log(share / mean)
+        loss = float((np.logaddexp.reduce(logit, axis=1) - logit[np.arange(len(kinds)), kinds]).mean())
+        if loss < best[0] - 1e-9:
+            best = (loss, c, shift)
+    return best[1], best[2]
+
+
+def _buckets(ws: Column) -> Column:
+    return F.array_distinct(F.transform(ws, _bucket))
+
+
+def _evidence(docs: DataFrame, model: DataFrame, size: int, keep: tuple[str, ...]) -> DataFrame:
+    """row, `keep`, n_tokens and s0, s1, ...: what a text's words say for each domain, 0 without words.
+
+    Distinct words are exploded and summed again by row, which the map side does before anything is shuffled.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, words(F.col("text")).alias("__sx_words"))
+    each = rows.select("row", *keep, F.size("__sx_words").cast("long").alias("n_tokens"), F.explode_outer(_buckets(F.col("__sx_words"))).alias("bucket"))
+    joined = each.join(F.broadcast(model), "bucket", "left")  # BUCKETS rows at most
+    return joined.groupBy("row", *keep).agg(F.max("n_tokens").alias("n_tokens"), *(F.sum(F.coalesce(f"w{k}", F.lit(0.0))).alias(f"s{k}") for k in range(size)))
 
 
 def posteriors(docs: DataFrame, model: DataFrame, prior: list[float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, n_tokens (words) and p0, p1, ... for each row of `docs`; a text without words has the priors.
-
-    Words are exploded and summed again by row, which the map side does before anything is shuffled.
-    """
+    """`keep`, n_tokens (words) and p0, p1, ... for each row of `docs`; a text without words has the priors."""
     size = len(prior)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, F.col("text"))
-    each = rows.select("row", *keep, F.explode_outer(words(F.col("text"))).alias("w")).select("row", *keep, F.col("w").isNotNull().cast("long").alias("one"), _bucket(F.col("w")).alias("bucket"), F.col("w").isNull().alias("none"))
-    joined = each.join(F.broadcast(model), "bucket", "left")  # BUCKETS rows
-    got = joined.groupBy("row", *keep).agg(F.sum("one").alias("n_tokens"), *(F.sum(F.when(F.col("none"), 0.0).otherwise(F.col(f"w{k}"))).alias(f"s{k}") for k in range(size)))
-    scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("n_tokens"), F.lit(1)))
-    logit = got.select("row", *keep, "n_tokens", *((F.lit(prior[k]) + scale * F.coalesce(f"s{k}", F.lit(0.0))).alias(f"l{k}") for k in range(size)))
+    got = _evidence(docs, model, size, keep)
+    logit = got.select("row", *keep, "n_tokens", *((F.lit(prior[k]) + F.col(f"s{k}")).alias(f"l{k}") for k in range(size)))
     top = F.greatest(*(F.col(f"l{k}") for k in range(size))) if size > 1 else F.col("l0")
     soft = logit.select("row", *keep, "n_tokens", *(F.exp(F.col(f"l{k}") - top).alias(f"e{k}") for k in range(size)))
     norm = sum((F.col(f"e{k}") for k in range(1, size)), F.col("e0"))
@@ -144,7 +183,7 @@ def rates(post: DataFrame, weights: list[float], total: float | None = None, rou
         at = at + part * move
         value, slope, bend, share = new
     else:
-        raise RuntimeError("rates: no fixed point")
+        log.warning("mixing: rates after %d rounds, not at their fixed point", rounds)
     return rate(at)[1], [float(s) / scale for s in share]
 
 

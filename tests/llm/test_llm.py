@@ -406,7 +406,7 @@ def test_mixing_meets_targets(spark):
     m = (t[:, None] * p).sum(0) / t.sum()
     want = np.array([d.weight for d in mixing.DOMAINS])
     rate, step = np.ones(len(t)), 1 / (1 + mixing.PULL)
-    for _ in range(mixing.ROUNDS):
+    for _ in range(3000):  # to its end
         s = ((rate * t)[:, None] * p).sum(0) / t.sum()
         rate = np.clip(rate - step * (p @ ((s - want) / m) + mixing.PULL * (rate - 1)), 0, mixing.MOST)
     assert np.abs(rate - [r["rate"] for r in rows]).max() < 1e-3
@@ -414,9 +414,11 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(df.limit(0), labels).count() == 0 and mixing.mix(df, labels.limit(0)).count() == 602
 
 
-def test_posteriors_against_brute_force(spark):
+def test_posteriors_against_brute_force(spark, monkeypatch):
     import math
 
+    monkeypatch.setattr(mixing, "CLEAR", 1.5)
+
     import xxhash
 
     rng = random.Random(9)
@@ -429,21 +431,56 @@ def test_posteriors_against_brute_force(spark):
         h = xxhash.xxh64_intdigest(w.lower().encode(), 42)
         return (h - (1 << 64) if h >> 63 else h) % mixing.BUCKETS
 
-    counts = [{} for _ in range(3)]
+    aside = sorted(r[0] for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0).collect())
+    own = [sorted({bucket(w) for w in WORD.findall(t or "")}) for t in texts]
+    counts = np.zeros((3, mixing.BUCKETS))
     for i, k in kinds.items():
-        for w in WORD.findall(texts[i]):
-            counts[k][bucket(w)] = counts[k].get(bucket(w), 0) + 1
-    total = [sum(c.values()) for c in counts]
-    prior = [math.log((sum(k == x for x in kinds.values()) + 1) / (len(kinds) + 3)) for k in range(3)]
+        if i not in aside:
+            counts[k][own[i]] += 1
+    share = (counts.sum(0) + 1) / (counts.sum() + mixing.BUCKETS)
+    says = np.log((counts / share + mixing.ALPHA) / (counts.sum(1, keepdims=True) + mixing.ALPHA))
+    expected = share * counts.sum(1, keepdims=True)
+    says[np.abs(counts - expected) < mixing.CLEAR * np.sqrt(expected + 1)] = 0
+    says[:, counts.sum(0) == 0] = 0
+    assert (says != 0).any()
+    prior = np.array([math.log((sum(k == x for x in kinds.values()) + 1) / (len(kinds) + 3)) for k in range(3)])
+    evidence = np.array([says[:, b].sum(1) for b in own])
+    strength, shift = mixing._calibrated(evidence[aside], np.array([kinds[i] for i in aside]), prior)
     model, got_prior = mixing.fit(docs(spark, *texts), labels)
-    assert np.allclose(prior, got_prior)
+    assert np.allclose(prior + shift, got_prior)
+    logit = lambda i, c: prior + shift + c * evidence[i]
     got = {r["doc_id"]: r for r in mixing.posteriors(docs(spark, *texts), model, got_prior).collect()}
     for i, t in enumerate(texts):
-        ws = WORD.findall(t or "")
-        scale = min(1.0, mixing.EVIDENCE / max(len(ws), 1))
-        logit = np.array([prior[k] + scale * sum(math.log((counts[k].get(bucket(w), 0) + mixing.ALPHA) / (total[k] + mixing.ALPHA * mixing.BUCKETS)) for w in ws) for k in range(3)])
-        p = np.exp(logit - logit.max())
-        assert np.allclose(p / p.sum(), [got[i][f"p{k}"] for k in range(3)]) and got[i]["n_tokens"] == len(ws)
+        x = logit(i, strength)
+        assert np.allclose(np.exp(x - np.logaddexp.reduce(x)), [got[i][f"p{k}"] for k in range(3)]) and got[i]["n_tokens"] == len(WORD.findall(t or ""))
+
+
+def test_posteriors_without_evidence_are_the_priors(spark):
+    rng = random.Random(1)
+    vocab = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(5, 200))) for _ in range(2000)]
+    kinds = rng.choices(range(3), (0.9, 0.02, 0.08), k=len(texts))
+    labels = spark.createDataFrame([(i, [1, 1, 0][k], [0, 1, 0][k]) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    model, prior = mixing.fit(docs(spark, *texts), labels)
+    row = mixing.posteriors(docs(spark, *texts), model, prior).agg(*(F.avg(f"p{k}") for k in range(3))).first()
+    assert np.allclose(row, np.exp(prior), rtol=0.1), (row, np.exp(prior))
+
+
+def test_posteriors_of_held_out_labels(spark, sf):
+    """Reliable, and sharper than the priors."""
+    d = sf.replace("sf0.001", "sf0.1")
+    table, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    test = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(4)) == 0
+    model, prior = mixing.fit(table, labels.where(~test))
+    pdf = mixing.posteriors(table.join(labels.where(test), "doc_id"), model, prior, ("doc_id", "quality", "toxic")).toPandas()
+    k = np.where(pdf["quality"] == 0, 2, np.where(pdf["toxic"] == 1, 1, 0))
+    p = pdf[["p0", "p1", "p2"]].to_numpy()
+    for c in range(3):
+        print(c, "mean", p[:, c].mean(), "share", (k == c).mean(), [(round(p[m, c].mean(), 3), round((k[m] == c).mean(), 3), int(m.sum())) for lo, hi in ((0, 0.1), (0.1, 0.5), (0.5, 0.9), (0.9, 1.01)) if (m := (p[:, c] >= lo) & (p[:, c] < hi)).sum()])
+        assert abs(p[:, c].mean() - (k == c).mean()) < 0.03
+    loss, blind = -np.log(p[np.arange(len(k)), k]).mean(), -sum((k == c).mean() * prior[c] for c in range(3))
+    print("log loss", loss, "of priors", blind, "accuracy", (p.argmax(1) == k).mean())
+    assert loss < 0.7 * blind
 
 
 def test_copies_are_drawn_evenly(spark, monkeypatch):
