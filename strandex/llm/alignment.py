@@ -248,23 +248,28 @@ def _by_byte(ids: Column, ends: Column, sizes: Column) -> Column:
     return F.flatten(F.zip_with(token, sizes, lambda t, n: F.array_repeat(t, n)))
 
 
-def _listed(ids: Column, ends: Column, other: Column) -> Column:
-    """The ids of each group, `i,j` for one: an id's token ends its group if the other tokenizer's token at its last byte ends there too."""
-    last = lambda e: F.get(other, e - 1).bitwiseAND(F.lit((1 << 32) - 1)) == e.cast("long")
-    marked = F.zip_with(ids, ends, lambda i, e: F.concat(i.cast("string"), F.when(last(e), ";").otherwise(",")))
-    return F.split(F.array_join(marked, ""), ";")
+_LOW = (1 << 32) - 1
+
+
+def _ids(on: Column, low: Column, high: Column) -> Column:
+    """The ids of the tokens that cover the bytes from `low` to `high`, `i,j` for two; mostly it is one."""
+    first = F.get(on, low)
+    ends = lambda e: F.get(on, e - 1).bitwiseAND(F.lit(_LOW)) == e.cast("long")
+    several = F.transform(F.filter(F.sequence(low + 1, high), ends), lambda e: F.shiftrightunsigned(F.get(on, e - 1), 32).cast("string"))
+    return F.when(first.bitwiseAND(F.lit(_LOW)) == high.cast("long"), F.shiftrightunsigned(first, 32).cast("string")).otherwise(F.array_join(several, ","))
 
 
 def linked(parts: DataFrame) -> DataFrame:
     """`parts` of tokens() with n_a, n_b, n_groups, links (an id pair a * 2^32 + b for each) and `groups`, `a1,a2|b1;a3|b2,b3`."""
-    a, a_end, b, b_end, on_a, on_b = map(F.col, ("a", "a_end", "b", "b_end", "on_a", "on_b"))
+    a, a_end, b, b_end, on_a, on_b, both = map(F.col, ("a", "a_end", "b", "b_end", "on_a", "on_b", "both"))
     # Generated rows hold the arrays by byte as they are; a projection would make them anew for each element that looks into them.
-    at = F.inline(F.array(F.struct(_by_byte(a, a_end, F.col("a_size")).alias("on_a"), _by_byte(b, b_end, F.col("b_size")).alias("on_b"))))
-    rows = parts.select("row", "doc_id", "part", "parts", "a", "a_end", "b", "b_end", at)
+    made = (_by_byte(a, a_end, F.col("a_size")).alias("on_a"), _by_byte(b, b_end, F.col("b_size")).alias("on_b"), F.array_intersect(a_end, b_end).alias("both"))
+    rows = parts.select("row", "doc_id", "part", "parts", "a", "a_end", "b", "b_end", F.inline(F.array(F.struct(*made))))
     pair = lambda e: F.get(on_a, e - 1).bitwiseAND(F.lit((1 << 63) - (1 << 32))).bitwiseOR(F.shiftrightunsigned(F.get(on_b, e - 1), 32))
-    groups = F.zip_with(_listed(a, a_end, on_b), _listed(b, b_end, on_a), lambda p, q: F.when(p != "", F.concat(p, F.lit("|"), q)))
+    before = F.slice(F.concat(F.array(F.lit(0)), both), F.lit(1), F.size(both))
+    groups = F.zip_with(before, both, lambda p, e: F.concat(_ids(on_a, p, e), F.lit("|"), _ids(on_b, p, e)))
     return rows.select(
-        "row", "doc_id", "part", "parts", F.size(a).alias("n_a"), F.size(b).alias("n_b"), F.size(F.array_intersect(a_end, b_end)).alias("n_groups"),
+        "row", "doc_id", "part", "parts", F.size(a).alias("n_a"), F.size(b).alias("n_b"), F.size(both).alias("n_groups"),
         F.transform(F.array_union(a_end, b_end), pair).alias("links"), F.array_join(groups, ";").alias("groups"),
     )
 
