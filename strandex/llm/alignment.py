@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .base import forget, written
 
-PART = 1 << 15  # bytes after which a text is cut at the next end of a group
-WORDS = 400_000  # words whose tokens a task keeps
+PART = 1 << 14  # bytes after which a text is cut at the next end of a group
+WORDS = 100_000  # words whose tokens a task keeps
 #: Distinct pairs of ids up to this many are broadcast with their counts; more are joined by a shuffle.
 PAIRS = 1_000_000
 
@@ -193,32 +193,32 @@ def _parts(a_end: np.ndarray, b_end: np.ndarray) -> list[tuple[int, int, int, in
     return out
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(x) for x in arrays], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, _NONE]).astype(np.int32, copy=False)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, _NONE]), kind))
 
 
 def tokens(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(row, doc_id, part, parts, a, a_end, a_size, b, b_end, b_size): both tokenizers' ids, ends and sizes in bytes, ends counted from the part on.
+    """(row, doc_id, part, parts, a, a_end, a_size, b, b_end, b_size): both tokenizers' tokens as id * 2^32 + end, ends and sizes in bytes, ends counted from the part on.
 
     A text without tokens is one part with empty arrays. `row` tells rows apart that share an id; a task that runs again numbers them anew,
     so that a table is to be written before `row` joins anything.
     """
     kind = dict(docs.dtypes)[id]
     names = ("row", "part", "parts", "a", "a_end", "a_size", "b", "b_end", "b_size")
+    packed = lambda ids, ends: (ids.astype(np.int64) << 32) | ends
 
     def run(batches):
         both = encoders(byte_path, piece_path)
         number = TaskContext.get().partitionId() << 40
-        ints = pa.list_(pa.int32())
         for batch in batches:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), *[ints] * 6]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64(), pa.int32(), pa.int32()] * 2]
             ids, held, out = [], 0, [[] for _ in names]
 
             def give(ids, out, kinds=kinds, of=batch.schema.field("i").type):
-                own = lambda c, k: _lists(c) if k == ints else pa.array(c, k)
-                return pa.RecordBatch.from_arrays([pa.array(ids, of), *(own(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", *names])
+                cols = [pa.array(c, k) for c, k in zip(out[:3], kinds[:3], strict=True)] + [_lists(c, k) for c, k in zip(out[3:], kinds[3:], strict=True)]
+                return pa.RecordBatch.from_arrays([pa.array(ids, of), *cols], ["doc_id", *names])
 
             for i, t in zip(batch.column("i"), batch.column("t"), strict=True):
                 doc, whole = i.as_py(), t.as_py()
@@ -228,24 +228,24 @@ def tokens(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text",
                 cut = _parts(a_end, b_end) if len(a) else [(0, 0, 0, 0, 0, 0)]
                 for p, (base, _, ia, ja, ib, jb) in enumerate(cut):
                     ids.append(doc)
-                    row = (number, p, len(cut), a[ia:ja], (a_end[ia:ja] - base).astype(np.int32), a_size[ia:ja], b[ib:jb], (b_end[ib:jb] - base).astype(np.int32), b_size[ib:jb])
+                    ea, eb = a_end[ia:ja] - base, b_end[ib:jb] - base
+                    row = (number, p, len(cut), packed(a[ia:ja], ea), ea.astype(np.int32), a_size[ia:ja], packed(b[ib:jb], eb), eb.astype(np.int32), b_size[ib:jb])
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                     held += ja - ia
-                    if held > 1 << 19:
+                    if held > 1 << 17:
                         yield give(ids, out)
                         ids, held, out = [], 0, [[] for _ in names]
                 number += 1
             yield give(ids, out)
 
-    schema = f"doc_id {kind}, row long, part int, parts int, a array<int>, a_end array<int>, a_size array<int>, b array<int>, b_end array<int>, b_size array<int>"
+    schema = f"doc_id {kind}, row long, part int, parts int, a array<long>, a_end array<int>, a_size array<int>, b array<long>, b_end array<int>, b_size array<int>"
     return docs.select(F.col(id).alias("i"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
-def _by_byte(ids: Column, ends: Column, sizes: Column) -> Column:
-    """For each byte of a text, id * 2^32 + end of the token that holds it."""
-    token = F.zip_with(ids, ends, lambda i, e: F.shiftleft(i.cast("long"), 32).bitwiseOR(e.cast("long")))
-    return F.flatten(F.zip_with(token, sizes, lambda t, n: F.array_repeat(t, n)))
+def _by_byte(tokens_: Column, sizes: Column) -> Column:
+    """For each byte of a text the token that holds it."""
+    return F.flatten(F.zip_with(tokens_, sizes, lambda t, n: F.array_repeat(t, n)))
 
 
 _LOW = (1 << 32) - 1
@@ -263,13 +263,13 @@ def linked(parts: DataFrame) -> DataFrame:
     """`parts` of tokens() with n_a, n_b, n_groups, links (an id pair a * 2^32 + b for each) and `groups`, `a1,a2|b1;a3|b2,b3`."""
     a, a_end, b, b_end, on_a, on_b, both = map(F.col, ("a", "a_end", "b", "b_end", "on_a", "on_b", "both"))
     # Generated rows hold the arrays by byte as they are; a projection would make them anew for each element that looks into them.
-    made = (_by_byte(a, a_end, F.col("a_size")).alias("on_a"), _by_byte(b, b_end, F.col("b_size")).alias("on_b"), F.array_intersect(a_end, b_end).alias("both"))
-    rows = parts.select("row", "doc_id", "part", "parts", "a", "a_end", "b", "b_end", F.inline(F.array(F.struct(*made))))
+    made = (_by_byte(a, F.col("a_size")).alias("on_a"), _by_byte(b, F.col("b_size")).alias("on_b"), F.array_intersect(a_end, b_end).alias("both"))
+    rows = parts.select("row", "doc_id", "part", "parts", "a_end", "b_end", F.inline(F.array(F.struct(*made))))
     pair = lambda e: F.get(on_a, e - 1).bitwiseAND(F.lit((1 << 63) - (1 << 32))).bitwiseOR(F.shiftrightunsigned(F.get(on_b, e - 1), 32))
     before = F.slice(F.concat(F.array(F.lit(0)), both), F.lit(1), F.size(both))
     groups = F.zip_with(before, both, lambda p, e: F.concat(_ids(on_a, p, e), F.lit("|"), _ids(on_b, p, e)))
     return rows.select(
-        "row", "doc_id", "part", "parts", F.size(a).alias("n_a"), F.size(b).alias("n_b"), F.size(both).alias("n_groups"),
+        "row", "doc_id", "part", "parts", F.size(a_end).alias("n_a"), F.size(b_end).alias("n_b"), F.size(both).alias("n_groups"),
         F.transform(F.array_union(a_end, b_end), pair).alias("links"), F.array_join(groups, ";").alias("groups"),
     )
 
