@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from strandex.functions import fingerprint
 from strandex.functions.symbols import symbols
 
+from .index import HEAD, alike, heads
+from .lineage import forget, written
 from .prefix import prefix_sums
 
 
@@ -30,6 +32,65 @@ def extensions(corpus: DataFrame, pairs: DataFrame, text: str = "text", id: str
     return pairs.join(t, "doc_id").withColumn("lce", extension(F.col("_t"), F.col("i"), F.col("_t"), F.col("j"))).drop("_t")
 
 
+def fingerprint_extensions(corpus: DataFrame, pairs: DataFrame, text: str = "text", id: str = "doc_id", head: int = HEAD) -> DataFrame:
+    """As extensions(), without a text in a row: by the first `head` symbols of positions, then by fingerprints of prefixes.
+
+    Pairs whose heads differ end there. Others gallop: at each level both go on by twice as many symbols if the fingerprints
+    of those are equal, else by halves of what failed, and what is left of less than a head is compared by symbol. A level is two joins by
+    position of the pairs that it concerns, of which there are ever fewer; a pair carries four numbers. Two different stretches of n symbols are
+    taken for equal with a chance of about n / 2^61. `corpus` may be in spans that overlap by `head` symbols, as files.read_spans() gives them. Ids of texts
+    are distinct. Pairs of unknown, null or empty texts go; null positions give null, those beyond a text 0.
+    """
+    asked = pairs.select("doc_id", "i", "j").where("i IS NOT NULL AND j IS NOT NULL").distinct()
+    own = written(heads(corpus, head, text, id).select("doc_id", "pos", "head"), "heads")
+    sums = written(prefix_fingerprints(corpus, text, id), "prefixes")
+    keys = ["doc_id", "i", "j"]
+
+    def at(rows: DataFrame, table: DataFrame, value: str, ahead: Column, names: tuple[str, str]) -> DataFrame:
+        for side, name in zip("ij", names, strict=True):
+            there = table.select("doc_id", F.col("pos").alias("_at"), F.col(value).alias(name))
+            rows = rows.withColumn("_at", F.col(side) + ahead).join(there, ["doc_id", "_at"], "left").drop("_at")
+        return rows
+
+    def compared(rows: DataFrame, level: int) -> DataFrame:
+        """`rows` (keys, n, fi, fj) with `same`, whether the next 2^level symbols are alike, and gone on if they are."""
+        size = 1 << level
+        factor = F.lit(pow(fingerprint.BASE, size, fingerprint.PRIME)).cast("long")
+        both = at(rows, sums, "fp", F.col("n") + size - 1, ("gi", "gj"))
+        same = F.coalesce(fingerprint.suffix(F.col("gi"), F.col("fi"), factor) == fingerprint.suffix(F.col("gj"), F.col("fj"), factor), F.lit(False))
+        both = both.withColumn("same", same)
+        return both.select(*keys, (F.col("n") + F.when(F.col("same"), size).otherwise(0)).alias("n"), F.when(F.col("same"), F.col("gi")).otherwise(F.col("fi")).alias("fi"), F.when(F.col("same"), F.col("gj")).otherwise(F.col("fj")).alias("fj"), "same")
+
+    first = written(at(asked, own, "head", F.lit(0), ("_a", "_b")).select(*keys, alike("_a", "_b", head).cast("long").alias("n")), "alike")
+    done, tables = first.where(F.col("n") < head), [first, own, sums]
+    going = first.where(F.col("n") == head)
+    if not going.isEmpty():
+        bottom = level = head.bit_length() - 1
+        going = at(going, sums, "fp", F.col("n") - 1, ("fi", "fj"))
+        failed: list[DataFrame] = []  # by level, from the bottom on
+        while True:
+            now = written(compared(going, level), "gallop")
+            tables.append(now)
+            failed.append(now.where("NOT same").drop("same"))
+            going = now.where("same").drop("same")
+            if going.isEmpty():
+                break
+            level += 1
+        back = failed.pop()  # failed at `level`, and what remains is shorter
+        while level > bottom:
+            level -= 1
+            back = written(compared(back, level).drop("same"), "halving")
+            tables.append(back)
+            back = back.unionByName(failed.pop())
+        rest = at(back, own, "head", F.col("n"), ("_a", "_b")).select(*keys, (F.col("n") + alike("_a", "_b", head)).alias("n"))
+        done = done.unionByName(rest)
+    known = own.select("doc_id").distinct()
+    found = written(done.select(*keys, F.col("n").alias("lce")).join(known, "doc_id", "left_semi"), "extensions")
+    out = pairs.join(written(known, "texts"), "doc_id", "left_semi").join(found, keys, "left").select(*pairs.columns, "lce")
+    forget(*tables)
+    return out
+
+
 def pattern_prefixes(corpus: DataFrame, asked: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """`asked` (doc_id, pos, pattern, ...) with `lcp`, how many first symbols of the pattern stand in the text at pos."""
     t = corpus.select(F.col(id).alias("doc_id"), F.col(text).alias("_t"))
@@ -65,9 +126,12 @@ def prefix_fingerprints(corpus: DataFrame, text: str = "text", id: str = "doc_id
     """(doc_id, pos, fp): the fingerprint of each text up to and including pos.
 
     Symbols are weighted by falling powers of the base, whose sums are prefix sums in two levels and need no pass from
-    left to right; one factor then gives the fingerprint. Ids are taken to be distinct.
+    left to right; one factor then gives the fingerprint. Ids are taken to be distinct. `corpus` may be in spans (span_start, span_own).
     """
-    rows = corpus.select(F.col(id).alias("doc_id"), F.posexplode(symbols(F.col(text))).alias("pos", "ch")).withColumn("pos", F.col("pos").cast("long"))
+    spans = ["span_start", "span_own"] if "span_start" in corpus.columns else []
+    rows = corpus.select(F.col(id).alias("doc_id"), *spans, F.posexplode(symbols(F.col(text))).alias("pos", "ch")).withColumn("pos", F.col("pos").cast("long"))
+    if spans:
+        rows = rows.where("pos < span_own").withColumn("pos", F.col("pos") + F.col("span_start"))
     inverse = pow(fingerprint.BASE, -1, fingerprint.PRIME)
     rows = rows.select("doc_id", "pos", fingerprint.times(F.ascii("ch").cast("long"), fingerprint.power(F.col("pos"), inverse)).cast("decimal(19,0)").alias("w"))
     sums = prefix_sums(rows, span)

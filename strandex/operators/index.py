@@ -144,7 +144,7 @@ def text_ranks(order: Order) -> DataFrame:
     return order.ranks.join(first, "row").select("doc_id", (F.col("rank") - F.col("f")).alias("rank"), "pos")
 
 
-def _alike(a: str, b: str, longest: int):
+def alike(a: str, b: str, longest: int):
     """Length of the common prefix of two string columns of at most `longest` symbols; null counts as empty."""
     digits = F.array(*(F.lit(1 << i) for i in range(longest.bit_length() - 1, -1, -1)))
     room = F.least(F.length(a), F.length(b))
@@ -174,7 +174,7 @@ def common_prefixes(order: Order, per_text: bool = False) -> DataFrame:
     two = order.heads.select(F.col("row").alias("_row2"), F.col("pos").alias("_pos2"), F.col("head").alias("_h2"))
     met = pairs.join(one, (F.col("row") == F.col("_row")) & (F.col("pos") + F.col("lcp") == F.col("_pos")), "left")
     met = met.join(two, (F.col("row2") == F.col("_row2")) & (F.col("pos2") + F.col("lcp") == F.col("_pos2")), "left")
-    return met.select(*a.columns, (F.col("lcp") + _alike("_h", "_h2", order.head)).alias("lcp")).select("row", "doc_id", "rank", "pos", "lcp")
+    return met.select(*a.columns, (F.col("lcp") + alike("_h", "_h2", order.head)).alias("lcp")).select("row", "doc_id", "rank", "pos", "lcp")
 
 
 def _smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

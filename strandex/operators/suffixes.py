@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandex.functions.symbols import symbols
 
+from .lineage import forget, written
+
 
 def suffix_array(corpus: DataFrame, text: str = "text", id: str = "doc_id", rounds: int = 40, end_last: bool = False) -> DataFrame:
     """(doc_id, rank, pos): the suffixes of each text in binary order, ranks from 0; a text's end sorts before any symbol, or after if `end_last`.
@@ -16,15 +18,14 @@ def suffix_array(corpus: DataFrame, text: str = "text", id: str = "doc_id", roun
     """
     rows = corpus.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("doc_id"), F.col(text).alias("_t"))
     cur = rows.select("row", "doc_id", F.posexplode(symbols(F.col("_t"))).alias("pos", "ch"))
-    cur = cur.select("row", "doc_id", F.col("pos").cast("long").alias("pos"), F.dense_rank().over(Window.partitionBy("row").orderBy("ch")).cast("long").alias("r")).persist()
-    step = 1
+    cur = cur.select("row", "doc_id", F.col("pos").cast("long").alias("pos"), F.dense_rank().over(Window.partitionBy("row").orderBy("ch")).cast("long").alias("r"))
+    cur, step = written(cur, "ranks"), 1
     for _ in range(rounds):
         if not cur.groupBy("row").agg((F.count("*") > F.max("r")).alias("ties")).where("ties").limit(1).count():
             break
         both = cur.withColumn("r2", F.lead("r", step, (1 << 62) if end_last else 0).over(Window.partitionBy("row").orderBy("pos")))
-        new = both.select("row", "doc_id", "pos", F.dense_rank().over(Window.partitionBy("row").orderBy("r", "r2")).cast("long").alias("r")).persist()
-        new.count()
-        cur.unpersist()
+        new = written(both.select("row", "doc_id", "pos", F.dense_rank().over(Window.partitionBy("row").orderBy("r", "r2")).cast("long").alias("r")), "ranks")
+        forget(cur)
         cur, step = new, 2 * step
     return cur.select("doc_id", (F.col("r") - 1).alias("rank"), "pos")
 

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .grams import counts, grams, packable
-from .lineage import written
+from .grams import blocks, counts, grams, packable
+from .lineage import forget, written
 from .utility import _small
 
-STEP = 3  # lengths that levelwise() counts in a pass
+STEP = 3  # lengths that are counted in a pass
+REACH = 32  # symbols that go on with a position from pass to pass; texts are cut again only for longer ones
+
 
 def _best(rows: DataFrame, k: int, length: str = "len", label: str = "substr") -> DataFrame:
     """The first k rows in tie order, with their rank; what is ranked is k rows."""
@@ -20,9 +22,42 @@ def _best(rows: DataFrame, k: int, length: str = "len", label: str = "substr") -
 
 
 def exact(corpus: DataFrame, k: int, longest: int, least: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(rank, substr, len, freq): exactly k substrings of up to `longest` symbols that occur `least` times or more."""
-    c = counts(grams(corpus, list(range(1, longest + 1)), text=text, id=id)).where(F.col("freq") >= least)
-    return _best(c, k).select("rank", "substr", "len", "freq")
+    """(rank, substr, len, freq): exactly k substrings of up to `longest` symbols that occur `least` times or more, level by level."""
+    return levelwise(corpus, k, longest, least, text, id)
+
+
+class _Levels:
+    """Substrings level by level, over positions that get fewer.
+
+    The first pass cuts all texts. The second writes the positions whose prefix is alive, with REACH symbols each; later
+    passes read these and never the texts, until lengths go beyond what is carried, which is then twice as much.
+    """
+
+    def __init__(self, corpus: DataFrame, text: str, id: str):
+        self.corpus, self.text, self.id = corpus, text, id
+        self.carried, self.width = None, 0
+
+    def rows(self, level: int, last: int, alive: DataFrame | None) -> DataFrame:
+        """(doc_id, pos, len, substr) of `level` to `last` symbols, of those alone whose first level - 1 symbols are in `alive` (prefix)."""
+        if alive is None:
+            return grams(self.corpus, list(range(level, last + 1)), text=self.text, id=self.id)
+        alive = _small(alive)
+        if self.width < last:
+            self.forget()
+            self.width = max(REACH, 2 * last)
+            b = blocks(self.corpus, self.width, text=self.text, id=self.id)
+            at = b.select("doc_id", "start", "block", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("p"))
+            at = at.where(f"p + {level - 1} <= length(block)").withColumn("prefix", F.expr(f"substring(block, p, {level - 1})"))
+            cut = at.join(alive, "prefix", "left_semi").select("doc_id", (F.col("start") + F.col("p") - 1).alias("pos"), F.expr(f"substring(block, p, {self.width})").alias("ahead"))
+            now = self.carried = written(cut, "positions")
+        else:
+            now = self.carried.withColumn("prefix", F.expr(f"substring(ahead, 1, {level - 1})")).join(alive, "prefix", "left_semi")
+        each = now.select("doc_id", "pos", "ahead", F.explode(F.sequence(F.lit(level), F.lit(last))).alias("len")).where("len <= length(ahead)")
+        return each.select("doc_id", "pos", "len", F.expr("substring(ahead, 1, len)").alias("substr"))
+
+    def forget(self) -> None:
+        if self.carried is not None:
+            forget(self.carried)
 
 
 def nodes(found: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -61,25 +96,31 @@ def top_nodes(corpus: DataFrame, k: int, longest: int | None = None, text: str =
 def _frequent(corpus: DataFrame, k: int, text: str, id: str) -> DataFrame:
     """(substr, len, freq, first_doc, first_pos) of all substrings, of any length, at least as frequent as the k-th best.
 
-    The driver holds k frequencies; what a level finds is written.
+    The driver holds k frequencies; what a level finds is written, and what is left of all levels is written once more.
     """
     packed = packable(corpus, id)
+    levels = _Levels(corpus, text, id)
     best: list[int] = []
-    found = alive = None
+    tables: list[DataFrame] = []
+    alive = None
     level, bar = 1, 2
     while True:
         last = level + STEP - 1
-        rows = grams(corpus, list(range(level, last + 1)), text=text, id=id)
-        if alive is not None:
-            rows = rows.withColumn("prefix", F.expr(f"substring(substr, 1, {level - 1})")).join(_small(alive), "prefix", "left_semi").drop("prefix")
-        now = written(counts(rows, first=True, packed=packed).where(F.col("freq") >= bar), "nodes")
-        found = now if found is None else found.unionByName(now)
+        now = written(counts(levels.rows(level, last, alive), first=True, packed=packed).where(F.col("freq") >= bar), "nodes")
+        tables.append(now)
         best = sorted(best + [r["freq"] for r in now.orderBy(F.desc("freq")).limit(k).select("freq").collect()], reverse=True)[:k]
         bar = best[-1] if len(best) == k else 2
         alive = now.where((F.col("freq") >= bar) & (F.col("len") == last)).select(F.col("substr").alias("prefix"))
         if alive.isEmpty():
-            return found.where(F.col("freq") >= bar)
+            break
         level = last + 1
+    found = tables[0]
+    for more in tables[1:]:
+        found = found.unionByName(more)
+    out = written(found.where(F.col("freq") >= bar), "frequent")
+    forget(*tables)
+    levels.forget()
+    return out
 
 
 def expanded(node_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -96,27 +137,33 @@ def summary(node_rows: DataFrame) -> DataFrame:
 def levelwise(corpus: DataFrame, k: int, longest: int | None = None, least: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:
     """As exact(), without a bound on length unless `longest` is given.
 
-    A substring is at most as frequent as its prefix. From one pass, of STEP lengths, to the next only substrings go on whose prefix is
+    A substring is at most as frequent as its prefix. From one pass, of STEP lengths, to the next only positions go on whose prefix is
     at least as frequent as the k-th best so far, and the work ends when none is left. The driver holds the k best; the
-    survivors, about as many, are written and joined by broadcast if their count allows it.
+    surviving prefixes, about as many, are joined by broadcast if their count allows it.
     """
     spark = corpus.sparkSession
+    levels = _Levels(corpus, text, id)
     best: list[tuple[str, int, int]] = []
-    alive = None
+    alive = before = None
     level = 1
     while longest is None or level <= longest:
         last = level + STEP - 1 if longest is None else min(level + STEP - 1, longest)
-        rows = grams(corpus, list(range(level, last + 1)), text=text, id=id)
-        if alive is not None:
-            rows = rows.withColumn("prefix", F.expr(f"substring(substr, 1, {level - 1})")).join(_small(alive), "prefix", "left_semi")
-        now = written(counts(rows).where(F.col("freq") >= least).select("substr", "len", "freq"), "level")
+        now = written(counts(levels.rows(level, last, alive)).where(F.col("freq") >= (bar if alive is not None else least)).select("substr", "len", "freq"), "level")
+        if before is not None:
+            forget(before)
+        before = now
         top = now.orderBy(F.desc("freq"), F.asc("len"), F.asc("substr")).limit(k).collect()
         if not top:
             break
         best = sorted(best + [(r["substr"], r["len"], r["freq"]) for r in top], key=lambda r: (-r[2], r[1], r[0].encode()))[:k]
         bar = best[-1][2] if len(best) == k else least
         alive = now.where((F.col("freq") >= bar) & (F.col("len") == last)).select(F.col("substr").alias("prefix"))
+        if alive.isEmpty():
+            break
         level = last + 1
+    if before is not None:
+        forget(before)
+    levels.forget()
     return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(best)], "rank long, substr string, len int, freq long")
 
 
@@ -137,18 +184,21 @@ def recount(corpus: DataFrame, found: DataFrame, text: str = "text", id: str = "
 def sampled(corpus: DataFrame, k: int, longest: int, stride: int, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(substr, len, est_freq, freq): the rounds' frequencies summed, the k best of them, recounted. Estimates never exceed counts."""
     merged = rounds(corpus, k, longest, stride, text, id).groupBy("substr", "len").agg(F.sum("freq").alias("freq"))
-    top = _best(merged, k).select("substr", "len", F.col("freq").alias("est_freq")).persist()
-    return recount(corpus, top, text, id)
+    top = _best(merged, k).select("substr", "len", F.col("freq").alias("est_freq"))
+    return recount(corpus, written(top, "sampled"), text, id)
 
 
 def sampled_pruned(corpus: DataFrame, k: int, longest: int, stride: int, text: str = "text", id: str = "doc_id") -> DataFrame:
     """As sampled(), cut to k after each round in turn, so that the result depends on the rounds' order. Each step has 2 k rows or so."""
-    all_rounds = rounds(corpus, k, longest, stride, text, id).persist()
+    all_rounds = written(rounds(corpus, k, longest, stride, text, id), "rounds")
     kept = None
     for r in range(stride):
         own = all_rounds.where(F.col("r") == r).select("substr", "len", "freq")
         pool = own if kept is None else kept.unionByName(own).groupBy("substr", "len").agg(F.sum("freq").alias("freq"))
-        kept = _best(pool, k).select("substr", "len", "freq").persist()
+        last, kept = kept, written(_best(pool, k).select("substr", "len", "freq"), "kept")
+        if last is not None:
+            forget(last)
+    forget(all_rounds)
     return recount(corpus, kept.withColumnRenamed("freq", "est_freq"), text, id)
 
 

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandex.functions.symbols import gram_weight
+from strandex.functions.symbols import gram_weight, symbols
 
+from . import prefix
 from .grams import grams
 from .lineage import spread
 
@@ -75,9 +76,27 @@ def pattern_utility(corpus: DataFrame, patterns: DataFrame, by: tuple[str, ...]
     return n.withColumn("utility", F.col("occurrences") * gram_weight(F.col("pattern")))
 
 
-def answers(corpus: DataFrame, patterns: DataFrame, text: str = "text", id: str = "doc_id", weights: str | None = None) -> DataFrame:
-    """(query_id, pattern, occurrences, utility), one row for each row of `patterns`; 0 where a pattern does not occur."""
-    found = pattern_utility(corpus, patterns, (), text, id, weights)
+def weighted_utility(corpus: DataFrame, patterns: DataFrame, weights: str, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(pattern, occurrences, utility) with weights by position, looked up in prefix sums; ids of texts are distinct.
+
+    As pattern_utility() with `weights`, where each occurrence carries its weights, which serves repeated ids and few
+    texts. Here occurrences are ids and positions, and meet the sums of their bucket. A missing or null weight counts 0.
+    """
+    longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 1
+    each = F.transform(symbols(F.col(text)), lambda _, i: F.coalesce(F.get(F.col(weights), i), F.lit(0)).cast("double"))
+    rows = corpus.select(F.col(id).alias("doc_id"), F.posexplode(each).alias("pos", "w")).withColumn("pos", F.col("pos").cast("long"))
+    buckets = prefix.sum_buckets(prefix.prefix_sums(rows), longest)
+    found = matches(corpus, patterns, text=text, id=id).withColumn("len", F.length("pattern"))
+    own = prefix.bucket_utility(buckets, found, longest)
+    return own.groupBy("pattern").agg(F.count("*").alias("occurrences"), F.sum("utility").alias("utility"))
+
+
+def answers(corpus: DataFrame, patterns: DataFrame, text: str = "text", id: str = "doc_id", weights: str | None = None, distinct_ids: bool = False) -> DataFrame:
+    """(query_id, pattern, occurrences, utility), one row for each row of `patterns`; 0 where a pattern does not occur.
+
+    With `weights` and `distinct_ids`, which the caller vouches for, utilities are looked up in prefix sums.
+    """
+    found = weighted_utility(corpus, patterns, weights, text, id) if weights and distinct_ids else pattern_utility(corpus, patterns, (), text, id, weights)
     out = patterns.select("query_id", "pattern").join(found, "pattern", "left")
     return out.select("query_id", "pattern", F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.coalesce("utility", F.lit(0)).alias("utility"))
 

@@ -76,14 +76,14 @@ def _weighted(b: DataFrame) -> DataFrame:
 
 def utility_position_weights(spark, d):
     """Weights by position, not by symbol."""
-    return utility.answers(_weighted(benchmark(spark, d)), patterns(spark), weights="weights").withColumn("utility", F.col("utility").cast("long"))
+    return utility.answers(_weighted(benchmark(spark, d)), patterns(spark), weights="weights", distinct_ids=True).withColumn("utility", F.col("utility").cast("long"))
 
 
 def table_position_weights(spark, d):
     """The utility table of frequent substrings, with weights by position."""
     b = benchmark(spark, d)
-    frequent = topk.expanded(topk.top_nodes(b, K, 12)).select(F.col("substr").alias("pattern"))
-    return utility.pattern_utility(_weighted(b), frequent, weights="weights").select(F.col("pattern").alias("substr"), F.col("occurrences").alias("freq"), F.col("utility").cast("long").alias("utility"))
+    frequent = lineage.written(topk.expanded(topk.top_nodes(b, K, 12)).select(F.col("substr").alias("pattern")), "frequent")
+    return utility.weighted_utility(_weighted(b), frequent, "weights").select(F.col("pattern").alias("substr"), F.col("occurrences").alias("freq"), F.col("utility").cast("long").alias("utility"))
 
 
 def pattern_positions(spark, d):
@@ -147,7 +147,7 @@ def topk_approx(spark, d):
 
 
 def table_answer(spark, d):
-    table = _utility_table(spark, d).persist()
+    table = lineage.written(_utility_table(spark, d), "table")
     return utility.table_answers(documents(spark, d), patterns(spark), table)
 
 
@@ -213,7 +213,7 @@ def common_extensions(spark, d):
     b = benchmark(spark, d)
     found = utility.matches(b, spark.createDataFrame([("e ",)], "pattern string"))
     pairs = found.select("doc_id", F.col("pos").alias("i"), F.lead("pos").over(Window.partitionBy("doc_id").orderBy("pos")).alias("j")).where("j IS NOT NULL")
-    return extensions.extensions(b, pairs).withColumnRenamed("doc_id", "item_id")
+    return extensions.fingerprint_extensions(b, pairs).withColumnRenamed("doc_id", "item_id")
 
 
 def pattern_prefixes(spark, d):

@@ -119,6 +119,32 @@ def test_prefix_sums(spark):
     assert sorted(r["utility"] for r in prefix.occurrence_utility(sums, found).collect()) == [4, 5, 8, 10]
 
 
+@pytest.mark.parametrize("bucket, longest", [(1, 1), (1, 4), (4, 2), (7, 9), (256, 3)])
+def test_sums_in_buckets(spark, monkeypatch, bucket, longest):
+    monkeypatch.setattr(prefix, "BUCKET", bucket)
+    rng = random.Random(bucket + longest)
+    w = {d: [rng.randrange(9) for _ in range(n)] for d, n in enumerate((1, 4, 8, 9, 40))}
+    rows = spark.createDataFrame([(d, i, x) for d, ws in w.items() for i, x in enumerate(ws)], "doc_id long, pos long, w long")
+    found = [(d, i, n) for d, ws in w.items() for i in range(len(ws)) for n in range(1, longest + 1)]
+    df = spark.createDataFrame(found, "doc_id long, pos long, len int")
+    got = {(r["doc_id"], r["pos"], r["len"]): r["utility"] for r in prefix.bucket_utility(prefix.sum_buckets(prefix.prefix_sums(rows, 4), longest), df, longest).collect()}
+    assert got == {(d, i, n): sum(w[d][i : i + n]) if i + n <= len(w[d]) else None for d, i, n in found}
+
+
+def test_looked_up_weights(spark):
+    """Equal to weights carried along; missing and null weights count 0; texts may be null or empty."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abé") for _ in range(n)) for n in (1, 30, 700)]
+    rows = [(d, t, [float(rng.randrange(9)) for _ in t]) for d, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (7, None, None), (8, "", [])], "doc_id long, text string, weights array<double>")
+    patterns = asked(spark, "a", "ab", "é", "zz", texts[1][3:20], texts[2][:300], "a", None, "")
+    want = utilities(utility.answers(df, patterns, weights="weights"))
+    assert utilities(utility.answers(df, patterns, weights="weights", distinct_ids=True)) == want
+    assert want["zz"] == (0, 0) and want[texts[2][:300]][0] == 1
+    short = spark.createDataFrame([(0, "aaa", [2.0, None])], "doc_id long, text string, weights array<double>")
+    assert utilities(utility.weighted_utility(short, asked(spark, "a", "aa"), "weights")) == {"a": (3, 2.0), "aa": (2, 2.0)}
+
+
 def test_table_answers_agree(spark):
     c = corpus(spark, "banana", "bandana", "ananas")
     table = topk.expanded(topk.top_nodes(c, 4, 4)).withColumnRenamed("substr", "pattern")
@@ -352,6 +378,56 @@ def test_extensions_by_brute_force(spark):
     assert extensions.range_minima(rows, spark.createDataFrame([], "doc_id long, low long, high long")).count() == 0
 
 
+@pytest.mark.parametrize("head", [1, 4, 32])
+def test_extensions_by_fingerprints(spark, head):
+    rng = random.Random(head)
+    unit = "".join(rng.choice("abé") for _ in range(50))
+    texts = ["".join(rng.choice("abé") for _ in range(40)), "a" * 150, unit * 3 + "x" + unit, "", None]
+    pairs = [(d, i, j, "x") for d, t in enumerate(texts) if t for i in range(0, len(t) + 2, 7) for j in range(0, len(t) + 2, 10)]
+    odd = [(0, None, 1, "x"), (None, 0, 0, "x"), (9, 0, 0, "x"), (3, 0, 0, "x"), (1, 0, 1, "y"), (1, 0, 1, "y")]
+    df = spark.createDataFrame(pairs + odd, "doc_id long, i long, j long, head string")
+    got = Counter(map(tuple, extensions.fingerprint_extensions(corpus(spark, *texts), df, head=head).collect()))
+    same = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    want = Counter((d, i, j, x, same(texts[d][i:], texts[d][j:])) for d, i, j, x in pairs)
+    want.update([(0, None, 1, "x", None), (1, 0, 1, "y", 149), (1, 0, 1, "y", 149)])
+    assert got == want
+    none = spark.createDataFrame([], df.schema)
+    assert extensions.fingerprint_extensions(corpus(spark, *texts), none, head=head).count() == 0
+
+
+def test_extensions_of_spans(spark, tmp_path):
+    rng = random.Random(5)
+    unit = "".join(rng.choice("ab ") for _ in range(700))
+    text = unit + "q" + unit + "r" + unit[:300]
+    (tmp_path / "t").write_text(text)
+    spans = files.read_spans(spark, str(tmp_path / "t"), 400, 40, " ")
+    doc = spans.first()["doc_id"]
+    pairs = [(0, 701), (1, 702), (350, 1051), (0, 1402), (701, 1402), (5, 5), (699, 1400)]
+    df = spark.createDataFrame([(doc, i, j) for i, j in pairs], "doc_id string, i long, j long" if isinstance(doc, str) else "doc_id long, i long, j long")
+    got = {(r["i"], r["j"]): r["lce"] for r in extensions.fingerprint_extensions(spans, df).collect()}
+    assert got == {(0, 701): 700, (1, 702): 699, (350, 1051): 350, (0, 1402): 300, (701, 1402): 300, (5, 5): len(text) - 5, (699, 1400): 1}
+
+
+def test_levels_beyond_what_is_carried(spark):
+    """Repeats of 90 symbols are found past the symbols that positions carry, and what levels write is deleted."""
+    from pathlib import Path
+
+    from strandex.operators import lineage
+
+    rng = random.Random(3)
+    repeat = "".join(rng.choice("abcdefgh") for _ in range(90))
+    texts = ["x" + repeat, "y" + repeat, "z" + repeat + "é", "", None]
+    want = [(s, n) for s, n in sorted(brute_counts([t or "" for t in texts], 91).items(), key=lambda x: (-x[1], len(x[0]), x[0].encode())) if n >= 2]
+    at = Path(lineage.folder(spark).removeprefix("file:"))
+    before = set(at.iterdir()) if at.exists() else set()
+    got = [(r["substr"], r["freq"]) for r in topk.levelwise(corpus(spark, *texts), len(want) + 5).orderBy("rank").collect()]
+    assert got == want
+    assert set(at.iterdir()) == before
+    assert topk.levelwise(corpus(spark, "", None), 5).count() == 0
+    k = len(want)
+    assert {(r["label"], r["freq"]) for r in topk.top_nodes(corpus(spark, *texts), k).collect() if r["d"] == 90} == {(repeat, 3)}
+
+
 def test_cache_contents(spark):
     rng = random.Random(7)
     rows = [(s, i, rng.choice("abcdefgh")) for s in (0, 1, None) for i in range(60)]
