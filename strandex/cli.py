@@ -7,6 +7,7 @@ utility TEXT WEIGHTS|random PATTERNS [K [STRIDE]]               utilities, with
 utility TEXT WEIGHTS|random random:COUNT:MIN:MAX [K [STRIDE]]   the same for random patterns
 replay TEXT WEIGHTS|random K PATTERNS --policy lru|lfu|sketch
 index TEXT PATH                                             store the suffixes of one text of any size, read in spans
+sizes PATH                                                  files and bytes of a stored index
 search PATH PATTERNS [--places]                             ranks and counts of patterns, or where they are, from a stored index
 """
 
@@ -16,7 +17,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandex.operators import cache, index, sketch, topk, utility
+from strandex.operators import cache, index, metrics, sketch, topk, utility
 from strandex.sources import files
 
 
@@ -48,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("index")
     c.add_argument("text")
     c.add_argument("path")
+    sub.add_parser("sizes").add_argument("path")
     c = sub.add_parser("search")
     c.add_argument("path")
     c.add_argument("patterns")
@@ -60,6 +62,8 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
     if a.command == "index":
         index.build(files.read_spans(spark, a.text), a.path)
         return spark.read.parquet(f"{a.path}/parts")
+    if a.command == "sizes":
+        return metrics.sizes(spark, a.path)
     if a.command == "search":
         found = index.search(spark, a.path, files.read_patterns(spark, a.patterns))
         return index.places(spark, a.path, found) if a.places else found

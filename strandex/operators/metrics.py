@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def sources(answered: DataFrame, table: DataFrame) -> DataFrame:
@@ -35,3 +35,15 @@ def timed(answered: DataFrame, write=None) -> dict:
     took = time.perf_counter() - at
     n = seen.get["queries"]
     return {"queries": n, "seconds": took, "seconds_a_query": took / n if n else None}
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(table, files, bytes) of what is stored under `path`: a row for each folder in it, as index.build() writes them.
+
+    Only the files' lengths are read. A path without files gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    root = path.split(":", 1)[-1].rstrip("/").lstrip("/") + "/"
+    below = F.split(F.expr("substr(path, instr(path, root) + length(root))"), "/")
+    own = files.withColumn("root", F.lit(root)).select(F.get(below, F.lit(0)).alias("table"), "length")
+    return own.groupBy("table").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

@@ -158,5 +158,8 @@ def test_commands(spark, tmp_path):
     assert cli.run(spark, ["index", str(tmp_path / "t"), str(tmp_path / "ix")]).agg({"size": "sum"}).first()[0] == 6
     got = cli.run(spark, ["search", str(tmp_path / "ix"), str(tmp_path / "p")]).orderBy("query_id").collect()
     assert [(r["pattern"], r["occurrences"]) for r in got] == [("ana", 2), ("x", 0), ("n", 2)]
+    got = {r["table"]: (r["files"], r["bytes"]) for r in cli.run(spark, ["sizes", str(tmp_path / "ix")]).collect()}
+    stored = {t: [f.stat().st_size for f in (tmp_path / "ix" / t).rglob("part-*.parquet")] for t in ("suffixes", "parts")}
+    assert got == {t: (len(b), sum(b)) for t, b in stored.items()}
     at = cli.run(spark, ["search", str(tmp_path / "ix"), str(tmp_path / "p"), "--places"]).collect()
     assert sorted((r["pattern"], r["pos"]) for r in at) == [("ana", 1), ("ana", 3), ("n", 2), ("n", 4)]
