@@ -225,11 +225,16 @@ def whole_sets(docs: DataFrame, ids: DataFrame, k: int, text: str = "text", id:
     return some.mapInPandas(rows, f"id {kind}, grams array<long>")
 
 
-def _beside(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """`pairs` with the columns of `rows` for the id in `key`. A row goes to each of SALTS parts of its pairs that has any."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)))
-    wanted = salted.select(key, "salt").distinct().join(rows.withColumnRenamed("id", key), key)
-    return salted.join(wanted, [key, "salt"]).drop("salt")
+def _beside(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """`pairs`, a stored table, with the columns of `x` for the id in `a` and of `y` for `b`.
+
+    A row goes to each of SALTS parts of its pairs that has any. Which those are is read from the table for either side, so that no plan holds another twice.
+    """
+    salted = out = pairs.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)))
+    for key, rows in (("a", x), ("b", y)):
+        wanted = salted.select(key, "salt").distinct().join(rows.withColumnRenamed("id", key), key)
+        out = out.join(wanted, [key, "salt"])
+    return out.drop("salt")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str, id: str) -> DataFrame:
@@ -253,8 +258,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, text: str,
     at, entries = 0.0, pairs.select("a", "b", F.lit(0).cast("long").alias("overlap"))
     for end in BLOCKS:
         part = block(at, end)
-        both = _beside(entries, part.select("id", F.col("n").alias("nx"), F.col("rest").alias("rx"), F.col("g").alias("gx")), "a")
-        both = _beside(both, part.select("id", F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("g").alias("gy")), "b")
+        x, y = (part.select("id", F.col("n").alias(f"n{z}"), F.col("rest").alias(f"r{z}"), F.col("g").alias(f"g{z}")) for z in "xy")
+        both = _beside(entries, x, y)
         now = written(both.mapInPandas(add, f"a {kind}, b {kind}, overlap long"), "entries")
         forget(entries)
         entries, at = now, end
@@ -325,28 +330,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
         return f"CASE WHEN size({x}) > size({y}) THEN transform(sequence(0, size({y}) - 1), i -> {x}[i] ^ {x}[i + size({y})]) ELSE {x} END"
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        """Discard pairs of (a, b) by size and by the parity of their symmetric difference, which the set bits never exceed."""
+        """Discard pairs of (a, b) by size and by the parity of their symmetric difference, which the set bits never exceed. Gives a stored table."""
+        pairs = written(pairs, "tried")
         x = sketch.select("id", F.col("n").alias("na"), F.col("sketch").alias("x"))
         y = sketch.select("id", F.col("n").alias("nb"), F.col("sketch").alias("y"))
         near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
         bits = f"aggregate(zip_with({halved('x', 'y')}, {halved('y', 'x')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
         unlike = "size(x) > 2 * size(y) OR size(y) > 2 * size(x)"  # not for similarities over a half
-        return _beside(_beside(pairs, x, "a"), y, "b").where(near).where(f"{unlike} OR {bits} <= {differs('na', 'nb')}").select("a", "b").distinct()
+        left = written(_beside(pairs, x, y).where(near).where(f"{unlike} OR {bits} <= {differs('na', 'nb')}").select("a", "b").distinct(), "pairs")
+        forget(pairs)
+        return left
 
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
 
     # Each column times two of its rows.
     one = block.select(own.alias("x"), F.explode(F.array("p1", "p2")).alias("y"))
     one = one.where("x.id <> y.id").where(fits("x", "y")).select(*pair).distinct()
-    tried = written(plausible(one), "pairs")
+    tried = plausible(one)
     near = _linked(tried, docs, k, percent, text, id)
     label = components(near)
 
     # Rows of different components in a column. Most columns have one component by now.
-    named = block.join(label, "id", "left").select("col", "id", "n", "q", "last", "pos", F.coalesce("component", "id").alias("c"))
-    kinds = named.groupBy("col", "c").agg(F.count("*").alias("m"))
+    part = written(block.join(label, "id", "left").select("col", "id", "n", "q", "last", "pos", F.coalesce("component", "id").alias("c")), "named")
+    kinds = part.groupBy("col", "c").agg(F.count("*").alias("m"))
     mixed = kinds.groupBy("col").agg(F.count("*").alias("k"), F.sum("m").alias("m")).where("k > 1")
-    named = named.join(mixed, "col")
+    named = several = written(part.join(mixed, "col"), "several")
+    forget(part)
     # By now a column that only one component has is lost as well. Of the columns up to place() a row shares `need` or more with
     # any row of its size or larger that it links with. So it looks in all its columns but need - few of the commonest, and
     # meets such a row in `few` of them at least, which is more than rows share by chance.
@@ -357,6 +366,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
     named = named.join(alone(named), "id").join(spare, "id").withColumn("left_out", F.greatest(F.lit(0), F.col("need") - MEET))
     named = named.select("col", "k", "id", "n", "q", "last", "pos", "c", "fade", "small", (F.col("late") > F.col("left_out")).alias("looks"), (F.col("left_out") + F.col("open")).alias("open"))
     named = written(named, "mixed")
+    forget(several)
     # A shared column leaves the rests of x and y behind it for the overlap, and what may be shared before it.
     places = f"{100 + percent} * (1 + least(x.n - x.pos - 1, y.n - y.pos - 1) + least(x.pos, y.pos)) >= {percent} * (x.n + y.n)"
     differ = " + ".join(f"bit_count(x.small[{w}] ^ y.small[{w}])" for w in range(FOLDED // 64))
@@ -372,7 +382,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, text: str
     # Overlap is at most what these columns add up to, those left out and those after place().
     two = two.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.max("open").alias("open"), F.max("both").alias("both"))
     two = two.where(f"{100 + percent} * (overlap + open) >= {percent} * both").select("a", "b")
-    rest = written(plausible(two.join(tried, ["a", "b"], "left_anti")), "pairs")
+    rest = plausible(two.join(tried, ["a", "b"], "left_anti"))
     far = _linked(rest, docs, k, percent, text, id)
     links = near.unionByName(far)
     # Rows that share an id are one document: its classes link.
