@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandex.functions import fingerprint
 from strandex.functions.symbols import gram_weight, symbol_weight, symbols
-from strandex.operators import cache, extensions, grams, index, lineage, metrics, prefix, sketch, suffixes, topk, utility
+from strandex.operators import cache, extensions, grams, index, lineage, merging, metrics, prefix, sketch, suffixes, topk, utility
 from strandex.sources import files
 
 PATTERNS = ("the", "a", "ion", "zzzq", "e ", "tion", "the ", "er", "on the", "schein", "eau", "ción", "Licensed under", "and of", "xyz", "the", "é", "\n")
@@ -142,6 +142,10 @@ def topk_heavykeeper(spark, d):
     return sketch.heavy_keeper(documents(spark, d), K, None)
 
 
+def topk_merged(spark, d):
+    return merging.top(documents(spark, d), K, 6)
+
+
 def topk_approx(spark, d):
     return sketch.approximate(documents(spark, d), K)
 
@@ -276,7 +280,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         pattern_utility, utility_by_lang, utility_position_weights, table_answer, pattern_positions, char_alphabet, weight_prefix_sums, random_weights, random_patterns, gram_counts, topk_exact, topk_nodes,
-        topk_summary, topk_utility_table, topk_levelwise, topk_levelwise_unbounded, topk_sampled, topk_sampled_pruned, topk_recall, topk_heavykeeper, topk_approx, topk_rollup, cache_lru_replay, cache_lru_evictions,
+        topk_summary, topk_utility_table, topk_levelwise, topk_levelwise_unbounded, topk_sampled, topk_sampled_pruned, topk_recall, topk_heavykeeper, topk_merged, topk_approx, topk_rollup, cache_lru_replay, cache_lru_evictions,
         cache_lfu_replay, cache_sketch_replay, kr_fingerprint, kr_composition, suffix_array, lcp_array,
         table_position_weights, suffix_array_end_last, range_minima, common_extensions, pattern_prefixes, kr_prefixes, kr_substrings, answer_metrics, cache_metrics, cache_lru_contents,
         pattern_intervals, index_lcps, lcp_intervals,
@@ -380,6 +384,7 @@ y AS (SELECT item_id, row_number() OVER w - 1 AS rank, pos, t, lag(t) OVER w AS
 SELECT item_id, rank, pos, coalesce(list_max(list_filter(range(0, least(length(t), length(p)) + 1), lambda n: substr(t, 1, n::INT) = substr(p, 1, n::INT))), 0)::BIGINT AS lcp FROM y""",
 }
 ORACLES["topk_levelwise"] = ORACLES["topk_exact"]
+ORACLES["topk_merged"] = f"WITH {_grams('documents', 'doc_id', 6)}, x AS (SELECT substr, len, count(*) AS freq, min({{'d': doc_id, 'p': pos}}) AS f FROM g GROUP BY substr, len HAVING count(*) >= 2) SELECT row_number() OVER (ORDER BY {_TIES}) AS rank, substr, len, freq, f.d AS first_doc, f.p AS first_pos FROM x ORDER BY {_TIES} LIMIT {K}"
 # No substring of more than 16 symbols is among the 2000 best of the small corpus.
 ORACLES["topk_levelwise_unbounded"] = f"WITH {_grams('benchmark', 'item_id', 16)}, x AS (SELECT substr, len, count(*) AS freq FROM g GROUP BY substr, len HAVING count(*) >= 2) SELECT row_number() OVER (ORDER BY {_TIES}) AS rank, substr, len, freq FROM x ORDER BY {_TIES} LIMIT 2000"
 # A full cache evicts at every further miss.
