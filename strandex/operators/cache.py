@@ -82,29 +82,38 @@ def _digests(key: str) -> tuple[int, int, int]:
     return tuple(xxhash.xxh64_intdigest(key, seed) for seed in (99, 0, 1))
 
 
+def _draws(seed: int):
+    """What a seeded generator's random() gives, drawn in blocks."""
+    rng = np.random.default_rng(seed)
+    while True:
+        yield from rng.random(1024).tolist()
+
+
 class Keeper:
     """Counts with exponential decay in two rows of `width` cells, with a seeded generator."""
 
     DECAY = 1.08
+    CHANCE = tuple(1 / int(1.08**n) for n in range(401))  # that a cell of this count loses one to another key
 
     def __init__(self, width: int = 1024, seed: int = 1):
-        self.rng = np.random.default_rng(seed)
+        self.random = _draws(seed).__next__
         self.width = width
         self.cells = [[[0, 0] for _ in range(width)] for _ in range(2)]
 
     def add(self, key: str) -> int:
         best = 0
-        mark, *places = _digests(key)
-        for row in range(2):
-            cell = self.cells[row][places[row] % self.width]
-            if cell[0] and cell[1] == mark:
-                cell[0] += 1
-                best = max(best, cell[0])
-            elif self.rng.random() < 1 / int(self.DECAY ** min(cell[0], 400)):
-                cell[0] -= 1
-                if cell[0] <= 0:
+        mark, one, two = _digests(key)
+        for cell in (self.cells[0][one % self.width], self.cells[1][two % self.width]):
+            n = cell[0]
+            if n and cell[1] == mark:
+                cell[0] = n = n + 1
+                if n > best:
+                    best = n
+            elif self.random() < self.CHANCE[n if n < 400 else 400]:
+                cell[0] = n - 1
+                if n <= 1:
                     cell[:] = [1, mark]
-                    best = max(best, 1)
+                    best = best or 1
         return best
 
 

@@ -18,17 +18,17 @@ def walk(texts, k: int, longest: int | None = None, seed: int = 1, always: int =
     probability 1 / floor(1.08 ** length), which is certain up to length 9. Lengths end at `longest`, if given.
     """
     top = TopQueries(k, Keeper(min(256 * k, 1 << 20), seed))
-    draw = top.counter.rng.random
+    draw, offer, place = top.counter.random, top.offer, top.kept.place
     for text in texts:
         for i in range(len(text) - always + 1):
             for n in range(1, always + 1):
-                top.offer(text[i : i + n])
-            if text[i : i + always] not in top.kept:
+                offer(text[i : i + n])
+            if text[i : i + always] not in place:
                 continue
             for n in range(always + 1, min(longest or len(text), len(text) - i) + 1):
                 s = text[i : i + n]
-                known = s in top.kept
-                admitted, _ = top.offer(s)
+                known = s in place
+                admitted, _ = offer(s)
                 if known:
                     continue
                 if not admitted:
@@ -43,7 +43,7 @@ def heavy_keeper(corpus: DataFrame, k: int, longest: int | None = 6, text: str =
 
     def run(batches):
         kept = walk((t for pdf in batches for t in pdf["t"] if t), k, longest, seed)
-        yield pd.DataFrame({"substr": list(kept), "est": list(kept.values())})
+        yield pd.DataFrame({"substr": pd.Series(list(kept), dtype=object), "est": pd.Series(list(kept.values()), dtype="int64")})  # a task without texts has no types to infer
 
     part = corpus.select(F.col(text).alias("t")).mapInPandas(run, "substr string, est long")
     total = part.groupBy("substr").agg(F.sum("est").alias("est_freq")).withColumn("len", F.length("substr"))

@@ -226,6 +226,11 @@ def test_exact_frequency_cache_is_its_model(spark):
         assert {(r["stream_id"], r["seq"]): r["hit"] for r in hits.collect()} == {(s, i): h for s, q in seqs.items() for i, h in enumerate(lru(q, 3))}
 
 
+def test_heavy_keeper_in_tasks_without_texts(spark):
+    c = spark.range(0, 8, 1, 8).where("id = 3").select(F.col("id").alias("doc_id"), F.lit("abab").alias("text"))
+    assert {(r["substr"], r["est_freq"]) for r in sketch.heavy_keeper(c, 20, 2).collect()} == {("a", 2), ("b", 2), ("ab", 2), ("ba", 1)}
+
+
 def test_walk_does_not_depend_on_batches(spark):
     c = corpus(spark, *["the cat and the hat " * 3] * 50).coalesce(1)
     rows = lambda: sorted(map(tuple, sketch.heavy_keeper(c, 12, 5).collect()))
