@@ -58,11 +58,11 @@ def packable(corpus: DataFrame, id: str = "doc_id") -> bool:
 
 
 def counts(rows: DataFrame, by: tuple[str, ...] = (), first: bool = False, packed: bool = False) -> DataFrame:
-    """(by, substr, len, freq[, first_doc, first_pos]) of gram rows. Partial sums are combined before the shuffle.
+    """(by, substr, len, freq[, first_doc, first_pos]) of gram rows, each as often as `n` says if it has one. Partial sums are combined before the shuffle.
 
     The first occurrence is the least (doc_id, pos); as one long, if `packed`, it is aggregated by hash and not by sort.
     """
     place = F.shiftleft(F.col("doc_id").cast("long"), 32).bitwiseOR(F.col("pos")) if packed else F.struct("doc_id", "pos")
-    out = rows.groupBy(*by, "substr", "len").agg(F.count("*").alias("freq"), *([F.min(place).alias("first")] if first else []))
+    out = rows.groupBy(*by, "substr", "len").agg((F.sum("n") if "n" in rows.columns else F.count("*")).alias("freq"), *([F.min(place).alias("first")] if first else []))
     doc, pos = ("shiftright(first, 32)", "first & 4294967295L") if packed else ("first.doc_id", "first.pos")
     return out.select(*by, "substr", "len", "freq", *([F.expr(doc).alias("first_doc"), F.expr(pos).alias("first_pos")] if first else []))

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .grams import blocks, counts, grams, packable
 from .lineage import forget, written
 from .utility import _small
+from .windows import substrings, windows
 
 STEP = 3  # lengths that are counted in a pass
+LISTED = 20_000  # prefixes that tasks are given as a list; more are joined
 REACH = 32  # symbols that go on with a position from pass to pass; texts are cut again only for longer ones
 
 
@@ -29,18 +31,23 @@ def exact(corpus: DataFrame, k: int, longest: int, least: int = 2, text: str = "
 class _Levels:
     """Substrings level by level, over positions that get fewer.
 
-    The first pass cuts all texts. The second writes the positions whose prefix is alive, with REACH symbols each; later
-    passes read these and never the texts, until lengths go beyond what is carried, which is then twice as much.
+    The first two passes count windows within tasks; the second, those alone that begin with what is alive. The next writes the positions whose
+    prefix is alive, with REACH symbols each; later passes read these and never the texts, until lengths go beyond what is carried, which
+    is then twice as much. If more than LISTED prefixes are alive after the first pass, positions are written in the second.
     """
 
-    def __init__(self, corpus: DataFrame, text: str, id: str):
-        self.corpus, self.text, self.id = corpus, text, id
+    def __init__(self, corpus: DataFrame, text: str, id: str, first: bool = False):
+        self.corpus, self.text, self.id, self.first = corpus, text, id, first
         self.carried, self.width = None, 0
 
     def rows(self, level: int, last: int, alive: DataFrame | None) -> DataFrame:
-        """(doc_id, pos, len, substr) of `level` to `last` symbols, of those alone whose first level - 1 symbols are in `alive` (prefix)."""
+        """Rows for counts(): substrings of `level` to `last` symbols, those alone whose first level - 1 symbols are in `alive` (prefix)."""
         if alive is None:
-            return grams(self.corpus, list(range(level, last + 1)), text=self.text, id=self.id)
+            return substrings(windows(self.corpus, last, (), self.text, self.id, self.first), level, last)
+        if level == STEP + 1:
+            few = [r["prefix"] for r in alive.limit(LISTED + 1).collect()]
+            if len(few) <= LISTED:
+                return substrings(windows(self.corpus, last, (), self.text, self.id, self.first, few), level, last)
         alive = _small(alive)
         if self.width < last:
             self.forget()
@@ -99,7 +106,7 @@ def _frequent(corpus: DataFrame, k: int, text: str, id: str) -> DataFrame:
     The driver holds k frequencies; what a level finds is written, and what is left of all levels is written once more.
     """
     packed = packable(corpus, id)
-    levels = _Levels(corpus, text, id)
+    levels = _Levels(corpus, text, id, first=True)
     best: list[int] = []
     tables: list[DataFrame] = []
     alive = None
@@ -213,7 +220,7 @@ def rollup(corpus: DataFrame, k: int, longest: int, by: tuple[str, str], text: s
 
     Grams are counted for the pairs once; the grouping sets expand those counts, not the text.
     """
-    c = counts(grams(corpus, list(range(1, longest + 1)), by, text, id), by)
+    c = counts(substrings(windows(corpus, longest, by, text, id), 1, longest), by)
     a, b = by
     none = lambda c_: F.lit(None).cast("string").alias(c_)
     level = c.select(F.explode(F.array(*(F.struct(F.lit(g).alias("g"), *(F.col(x).alias(x) if on else none(x) for x, on in zip(by, ons, strict=True))) for g, ons in enumerate(((True, True), (True, False), (False, True), (False, False)))))).alias("s"), "substr", "len", "freq")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandex.functions import fingerprint
-from strandex.operators import cache, extensions, grams, metrics, prefix, sketch, suffixes, topk, utility
+from strandex.operators import cache, extensions, grams, metrics, prefix, sketch, suffixes, topk, utility, windows
 from strandex.plans import catalog
 from strandex.sources import files
 from strandex.streaming.caches import stream_replay, windowed_patterns
@@ -456,3 +456,26 @@ def test_table_function_and_times(spark):
     assert sorted(map(tuple, got)) == [(0, 1, "a"), (0, 2, "ab"), (1, 1, "b"), (1, 2, "ba"), (2, 1, "a")]
     out = metrics.timed(spark.range(1000))
     assert out["queries"] == 1000 and out["seconds"] > 0 and out["seconds_a_query"] == out["seconds"] / 1000
+
+
+def test_windows_count_what_rows_did(spark, monkeypatch):
+    """Windows counted within tasks against every occurrence as a row: texts cut in pieces, repeated and null ids, wide symbols."""
+    monkeypatch.setattr(windows, "PIECE", 7)
+    texts = ["abcabcab", "", None, "é漢😀é漢😀é", "a", "ab\0ab\0a", "abcabcab" * 3]
+    c = spark.createDataFrame([(i, t, "x" if i == 3 else None) for i, t in zip([3, 1, 1, None, 3, 3, 0], texts, strict=True)], "doc_id long, text string, lang string")
+    names = lambda df: sorted(map(repr, df.collect()))
+    for last in (2, 3, 5):
+        rows = grams.grams(c, list(range(1, last + 1)), ("lang",))
+        want = grams.counts(rows, ("lang",), True).select("lang", "substr", "len", "freq", "first_doc", "first_pos")
+        got = grams.counts(windows.substrings(windows.windows(c, last, ("lang",), first=True), 1, last), ("lang",), True)
+        assert names(got.select(*want.columns)) == names(want)
+    begins = ["abc", "cab"]
+    want = grams.counts(grams.grams(c, [4, 5]).where(F.substring("substr", 1, 3).isin(begins)))
+    got = grams.counts(windows.substrings(windows.windows(c, 5, prefixes=begins), 4, 5))
+    assert names(got.select(*want.columns)) == names(want)
+
+
+def test_levels_make_few_rows(spark):
+    """Of 200,000 positions, a window for each distinct one reaches the shuffle's side and not a row for each length."""
+    c = spark.range(100).select(F.col("id").alias("doc_id"), F.expr("repeat('ab', 1000)").alias("text"))
+    assert topk._Levels(c, "text", "doc_id").rows(1, 3, None).count() < 2000
