@@ -8,29 +8,26 @@ that is cut in the same way, so that it does not matter how many tasks there wer
 
 from __future__ import annotations
 
-from collections import Counter
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .grams import counts, grams
 from .lineage import forget, spread, written
-from .topk import _best
+from .topk import LISTED, _best
 from .utility import _small
+from .windows import IN_KEY, decoded, distinct, listed, pieces, prefixes_of, runs, strings, substrings, windows
 
-PIECE = 4096  # starts of a text that are counted at a time
 FAN = 8  # summaries that become one in a round
 
 
-def _cut(held: dict[str, int], tracked: int) -> tuple[dict[str, int], int]:
-    """At most `tracked` counts, and what was taken off each."""
-    if len(held) <= tracked:
-        return held, 0
-    n = np.fromiter(held.values(), np.int64, len(held))
-    off = int(-np.partition(-n, tracked)[tracked])
-    return {s: c - off for s, c in held.items() if c > off}, off
+def _off(n: np.ndarray, tracked: int) -> int:
+    """What is taken off each count so that `tracked` are left at most."""
+    return int(-np.partition(-n, tracked)[tracked]) if len(n) > tracked else 0
 
 
 def _merge(rows: DataFrame, tracked: int) -> DataFrame:
@@ -45,38 +42,48 @@ def _merge(rows: DataFrame, tracked: int) -> DataFrame:
     return cut.withColumn("n", n).where("n > 0 OR substr IS NULL").select("part", "substr", "n", "at")
 
 
-def summary(corpus: DataFrame, longest: int, tracked: int, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(substr, count, error, doc_id, pos) of the substrings of up to `longest` symbols that are tracked at the end.
+def summary(corpus: DataFrame, longest: int, tracked: int, text: str = "text", id: str = "doc_id", shortest: int = 1, prefixes: list[str] | None = None) -> DataFrame:
+    """(substr, count, error, doc_id, pos) of the substrings of `shortest` to `longest` symbols that are tracked at the end.
 
     `error` is the same in all rows. (doc_id, pos) is an occurrence, the first since its substring is tracked; it is null where the
-    text has no id. Null and empty texts have no substrings, and an empty table gives no rows. A task holds five times
-    `tracked` counts and a piece's, however long a text is.
+    text has no id. Null and empty texts have no substrings, and an empty table gives no rows. `prefixes`, of the same length, a multiple
+    of IN_KEY, restrict to what begins with one of them. A task holds `tracked` counts and the substrings of a piece of a
+    million starts or so, however long a text is.
     """
     kind = dict(corpus.dtypes)[id]
+    values, whole = listed(prefixes)
 
     def run(batches):
-        held, first, error = Counter(), {}, 0
-        for pdf in batches:
-            for doc, t in zip(pdf["doc"], pdf["t"], strict=True):
-                for start in range(0, len(t or ""), PIECE):
-                    piece = t[start : start + PIECE + longest - 1]
-                    for n in range(1, longest + 1):
-                        own = [piece[i : i + n] for i in range(min(PIECE, len(piece) - n + 1))]
-                        places = dict(zip(reversed(own), range(start + len(own) - 1, start - 1, -1), strict=True))  # the first one stays
-                        for s in places.keys() - held.keys():
-                            first[s] = (None, None) if pd.isna(doc) else (doc, places[s])
-                        held.update(own)
-                    if len(held) > 4 * tracked:
-                        kept, off = _cut(held, tracked)
-                        held, error = Counter(kept), error + off
-                        first = {s: first[s] for s in held}
-        held, off = _cut(held, tracked)
-        docs, places = ([None, *(first[s][j] for s in held)] for j in (0, 1))
-        yield pd.DataFrame({"part": TaskContext.get().partitionId(), "substr": [None, *held], "n": [error + off, *held.values()], "doc": pd.Series(docs, dtype=object), "pos": pd.Series(places, dtype=object)})
-
-    texts = spread(corpus.where(F.length(text) > 0).select(F.col(id).alias("doc"), F.col(text).alias("t")))
-    rows = texts.mapInPandas(run, f"part long, substr string, n long, doc {kind}, pos long")
-    rows = written(rows.select("part", "substr", "n", F.when(F.col("pos").isNotNull(), F.struct("doc", "pos")).alias("at")), "summaries")
+        cols = [np.zeros(0, np.int64) for _ in range(-(-longest // IN_KEY))]
+        n, pos, docs, error = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object), 0
+        for batch in batches:
+            ids = np.array(batch.column("doc").to_pylist(), object)
+            for p in pieces(decoded(batch), longest, values):
+                order, at, own, times = distinct(p, whole)
+                if not len(at):
+                    continue
+                found = list(prefixes_of(own, times, np.minimum.reduceat(order, at), shortest, longest))
+                if not found:
+                    continue
+                first = np.concatenate([f for _, _, f in found])
+                cols = [np.concatenate([c, *(f[j] for f, _, _ in found)]) for j, c in enumerate(cols)]
+                n = np.concatenate([n, *(c for _, c, _ in found)])
+                pos, docs = np.concatenate([pos, p.pos[first]]), np.concatenate([docs, ids[p.row[first]]])
+                order, at = runs(cols)
+                n, was = np.add.reduceat(n[order], at), np.minimum.reduceat(order, at)  # what was held before comes first
+                off = _off(n, tracked)
+                left = n > off
+                n, error, was = n[left] - off, error + off, was[left]
+                cols, pos, docs = [c[was] for c in cols], pos[was], docs[was]
+        part = pa.array(np.full(len(n) + 1, TaskContext.get().partitionId(), np.int32))
+        substr = pa.concat_arrays([pa.nulls(1, pa.string()), strings(cols)])
+        ids = pa.array([None, *docs.tolist()], to_arrow_type(schema["doc"].dataType))
+        yield pa.RecordBatch.from_arrays([part, substr, pa.array(np.append(error, n)), ids, pa.array([None, *pos.tolist()], pa.int64())], ["part", "substr", "n", "doc", "pos"])
+
+    texts = spread(corpus.where(F.length(text) > 0).select(F.col(id).alias("doc"), F.col(text).cast("binary").alias("t")))
+    schema = texts.schema
+    rows = texts.mapInArrow(run, f"part int, substr string, n long, doc {kind}, pos long")
+    rows = written(rows.select("part", "substr", "n", F.when(F.col("doc").isNotNull(), F.struct("doc", "pos")).alias("at")), "summaries")
     parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         merged = written(_merge(rows.withColumn("part", F.expr(f"part div {FAN}")), tracked), "summaries")
@@ -105,6 +112,17 @@ def top(corpus: DataFrame, k: int, longest: int, tracked: int = 20_000, least: i
         tracked *= 4
     wanted = written(found.where(F.col("count") + F.col("error") >= bar).select("substr"), "wanted")
     forget(found)
-    lengths = [r[0] for r in wanted.select(F.length("substr")).distinct().collect()] or [1]  # `longest` numbers at most
-    rows = grams(corpus, lengths, text=text, id=id).join(_small(wanted), "substr", "left_semi")
+    few = [r["substr"] for r in wanted.limit(LISTED + 1).collect()]
+    if len(few) <= LISTED:
+        found = []
+        for level in range(1, longest + 1, IN_KEY):
+            last = min(level + IN_KEY - 1, longest)
+            begins = sorted({s[: level - 1] for s in few if level <= len(s) <= last})
+            if begins:
+                found.append(substrings(windows(corpus, last, (), text, id, True, begins if level > 1 else None), level, last))
+        rows = reduce(DataFrame.unionByName, found) if found else grams(corpus, [1], text=text, id=id)
+    else:
+        lengths = [r[0] for r in wanted.select(F.length("substr")).distinct().collect()]  # `longest` numbers at most
+        rows = grams(corpus, lengths, text=text, id=id)
+    rows = rows.join(_small(wanted), "substr", "left_semi")
     return _best(counts(rows, first=True).where(F.col("freq") >= least), k).select("rank", "substr", "len", "freq", "first_doc", "first_pos")

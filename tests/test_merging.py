@@ -49,3 +49,14 @@ def test_awkward(spark):
     assert {(r["substr"], r["count"], r["error"]) for r in merging.summary(c, 2, 50).collect()} == {("a", 9, 0), ("aa", 6, 0)}
     long = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("repeat('ab', 50000)").alias("text"))
     assert {(r["substr"], r["count"]) for r in merging.summary(long, 2, 50).collect()} == {("a", 50000), ("b", 50000), ("ab", 50000), ("ba", 49999)}
+
+
+def test_some_lengths_and_prefixes(spark):
+    texts, true = texts_and_counts(60, 5)
+    c = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
+    begins = sorted((s for s in true if len(s) == 3), key=lambda s: (-true[s], s))[:5]
+    want = {s: n for s, n in true.items() if len(s) > 3 and s[:3] in begins}
+    for tracked in (30, 5000):
+        got = {r["substr"]: r for r in merging.summary(c, 5, tracked, shortest=4, prefixes=begins).collect()}
+        assert len(got) == min(tracked, len(want)) or (tracked == 30 and 0 < len(got) <= 30)
+        assert all(r["count"] <= want[s] <= r["count"] + r["error"] and texts[r["doc_id"]].startswith(s, r["pos"]) for s, r in got.items())
