@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .cache import Keeper, TopQueries
-from .grams import grams
+from .lineage import forget
+from .merging import summary
 from .topk import STEP
 
 
@@ -52,7 +53,7 @@ def heavy_keeper(corpus: DataFrame, k: int, longest: int | None = 6, text: str =
 
 
 def approximate(corpus: DataFrame, k: int, longest: int | None = None, tracked: int = 10_000, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(substr, len, est_freq) by the built-in mergeable sketch, `tracked` items in each.
+    """(substr, len, est_freq) by mergeable summaries of `tracked` counts each; est_freq - error <= frequency <= est_freq, see merging.summary().
 
     A pass has STEP lengths. Substrings go on to the next whose prefix was returned with the k-th best estimate so far
     or more, and the work ends when none is left, or at `longest`. The driver holds the k best.
@@ -63,12 +64,10 @@ def approximate(corpus: DataFrame, k: int, longest: int | None = None, tracked:
     level = 1
     while longest is None or level <= longest:
         last = level + STEP - 1 if longest is None else min(level + STEP - 1, longest)
-        g = grams(corpus, list(range(level, last + 1)), text=text, id=id)
-        if level > 1:
-            before = spark.createDataFrame([(s,) for s in alive], "prefix string")  # k rows at most
-            g = g.withColumn("prefix", F.expr(f"substring(substr, 1, {level - 1})")).join(F.broadcast(before), "prefix", "left_semi")
-        top = g.agg(F.expr(f"approx_top_k(substr, {k}, {max(tracked, k)})").alias("t")).select(F.explode("t").alias("x"))
-        rows = [(r["substr"], r["len"], r["n"]) for r in top.select(F.col("x.item").alias("substr"), F.length("x.item").alias("len"), F.col("x.count").alias("n")).collect()]
+        found = summary(corpus, last, max(tracked, k), text, id, level, alive)
+        top = found.orderBy(F.desc("count"), F.length("substr"), "substr").limit(k).collect()
+        forget(found)
+        rows = [(r["substr"], len(r["substr"]), r["count"] + r["error"]) for r in top]
         best = sorted(best + rows, key=lambda r: (-r[2], r[1], r[0].encode()))[:k]
         bar = best[-1][2] if len(best) == k else 2
         alive = [s for s, n, freq in rows if n == last and freq >= bar]
