@@ -163,3 +163,10 @@ def test_commands(spark, tmp_path):
     assert got == {t: (len(b), sum(b)) for t, b in stored.items()}
     at = cli.run(spark, ["search", str(tmp_path / "ix"), str(tmp_path / "p"), "--places"]).collect()
     assert sorted((r["pattern"], r["pos"]) for r in at) == [("ana", 1), ("ana", 3), ("n", 2), ("n", 4)]
+
+
+def test_nodes_deeper_than_a_bound_of_24(spark):
+    t = "the quick brown fox jumps over a lazy dog"
+    c = spark.createDataFrame([(0, t + "1"), (1, t + "2")], "doc_id long, text string")
+    got = {(r["label"], r["freq"], r["d"]) for r in index.nodes(c, index.suffix_order(c)).collect()}
+    assert (t, 2, len(t)) in got
