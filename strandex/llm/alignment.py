@@ -1,28 +1,30 @@
 """Cross-tokenizer alignment.
 
-Both tokenizers cut the bytes of one text; where tokens of both end, a group ends. Python encodes, and gives each
-token's id and end; all that follows is Spark's functions on arrays. Two tokens overlap in exactly one of the ranges
-between neighbouring ends of either kind, so that the union of both end arrays has one entry for each link, and the
-tokens that hold the byte before such an end are the linked ones.
+Both tokenizers cut the bytes of one text; where tokens of both end, a group ends. Two tokens overlap in exactly one of
+the ranges between neighbouring ends of either kind, so that the union of both kinds of ends has one entry for each link,
+and the tokens that hold the byte before such an end are the linked ones. A task encodes its texts and takes groups and
+links of many texts at a time, in arrays; pairs are counted and looked up by Spark.
 
-Texts are encoded word by word where that is the same, with the words seen lately kept, and in whole otherwise. A long
-text is handed on in parts that end where a group does.
+Texts are encoded word by word where that is the same, with the words seen lately kept, and in whole otherwise. The links of a long
+text are handed on in parts that end where a group does.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .base import forget, written
 
 PART = 1 << 14  # bytes after which a text is cut at the next end of a group
-WORDS = 100_000  # words whose tokens a task keeps
+WORDS = 200_000  # words whose tokens a task keeps
+TOKENS = 1 << 17  # tokens whose groups and links are taken at a time, or those of one part
 #: Distinct pairs of ids up to this many are broadcast with their counts; more are joined by a shuffle.
 PAIRS = 1_000_000
 
@@ -59,6 +61,8 @@ class Encoders:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.b_len = np.array([len(b) for b in self.b_bytes], np.int32)
+        self.a_own, self.b_own = Bytes(self.a_bytes), Bytes(self.b_bytes)
+        self.shown = _shown(max(len(self.a_bytes), len(self.b_bytes)))
         # No piece has a blank after something else, so that none crosses the blank ahead of a word.
         self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
         self.words: dict[str, int] = {}
@@ -117,8 +121,26 @@ class Encoders:
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> bytes | None:
         """The bytes of the tokens, if those of both are the same."""
-        one, two = b"".join(map(self.a_bytes.__getitem__, a.tolist())), b"".join(map(self.b_bytes.__getitem__, b.tolist()))
-        return one if one == two else None
+        one = self.a_own.joined(a)
+        return one if one == self.b_own.joined(b) else None
+
+
+class Bytes:
+    """The bytes of a vocabulary in one array."""
+
+    def __init__(self, tokens_: list[bytes]):
+        self.flat = np.frombuffer(b"".join(tokens_), np.uint8)
+        self.size = np.array([len(b) for b in tokens_], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        return self.flat[np.repeat(self.start[ids] - np.cumsum(size) + size, size) + np.arange(size.sum())].tobytes()
+
+
+def _shown(n: int) -> np.ndarray:
+    """The decimal digits of ids up to n, first digit in the lowest byte; the highest is free for what stands behind."""
+    return np.array([int.from_bytes(str(i).encode(), "little") for i in range(n)], "<u8")
 
 
 class Flat:
@@ -193,87 +215,101 @@ def _parts(a_end: np.ndarray, b_end: np.ndarray) -> list[tuple[int, int, int, in
     return out
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(x) for x in arrays], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, _NONE]), kind))
-
+def _split(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Values as lists of the given sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
 
-def tokens(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(row, doc_id, part, parts, a, a_end, a_size, b, b_end, b_size): both tokenizers' tokens as id * 2^32 + end, ends and sizes in bytes, ends counted from the part on.
 
-    A text without tokens is one part with empty arrays. `row` tells rows apart that share an id; a task that runs again numbers them anew,
-    so that a table is to be written before `row` joins anything.
+def _linked(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, both: Encoders) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Links (an id pair a * 2^32 + b for each) of texts or parts one after the other, none empty, `n_a` and `n_b` tokens each; then
+    for each text its number of links, of groups, and its groups, `a1,a2|b1;a3|b2,b3`.
+    """
+    a_end, b_end = np.cumsum(both.a_len[a], dtype=np.int64), np.cumsum(both.b_len[b], dtype=np.int64)
+    last_a, last_b = np.cumsum(n_a) - 1, np.cumsum(n_b) - 1
+    on_a, on_b = np.zeros(a_end[-1] + 1, bool), np.zeros(a_end[-1] + 1, bool)
+    on_a[a_end] = True
+    on_b[b_end] = True
+    ends = np.flatnonzero(on_a | on_b)
+    is_a, is_b = on_a[ends], on_b[ends]
+    til_a, til_b = np.cumsum(is_a), np.cumsum(is_b)
+    links = (a[til_a - is_a].astype(np.int64) << 32) | b[til_b - is_b]
+
+    shared = np.flatnonzero(is_a & is_b)
+    til_a, til_b = til_a[shared], til_b[shared]
+    behind = lambda n, sign: np.full(n, ord(sign) << 56, "<u8")
+    after_a, after_b = behind(len(a), ","), behind(len(b), ",")
+    after_a[til_a - 1] = ord("|") << 56
+    after_b[til_b - 1] = ord(";") << 56
+    after_b[last_b] = ord("\n") << 56
+    shown = np.empty(len(a) + len(b), "<u8")  # a group's tokens of a, then those of b
+    shown[np.arange(len(a)) + np.repeat(til_b - np.diff(til_b, prepend=0), np.diff(til_a, prepend=0))] = both.shown[a] | after_a
+    shown[np.arange(len(b)) + np.repeat(til_a, np.diff(til_b, prepend=0))] = both.shown[b] | after_b
+    flat = shown.view(np.uint8)
+    groups = flat[flat > 0].tobytes().split(b"\n")[:-1]
+
+    upto = np.searchsorted(ends, a_end[last_a], "right")
+    return links, np.diff(upto, prepend=0), np.diff(np.searchsorted(ends[shared], a_end[last_a], "right"), prepend=0), groups
+
+
+def linked(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(row, doc_id, parts, n_a, n_b, n_groups, links, digest): both tokenizers' tokens, groups and links (an id pair a * 2^32 + b for each), part by part.
+
+    A text without tokens is one part with an empty array. `digest` hashes a text's groups and stands in its last part; elsewhere it is ''. `row`
+    tells rows apart that share an id; a task that runs again numbers them anew, so that a table is to be written before `row` joins anything.
     """
     kind = dict(docs.dtypes)[id]
-    names = ("row", "part", "parts", "a", "a_end", "a_size", "b", "b_end", "b_size")
-    packed = lambda ids, ends: (ids.astype(np.int64) << 32) | ends
+    names = ["row", "doc_id", "parts", "n_a", "n_b", "n_groups", "links", "digest"]
 
     def run(batches):
         both = encoders(byte_path, piece_path)
         number = TaskContext.get().partitionId() << 40
+        rows, some_a, some_b = [], [], []  # (row, doc_id, part, parts), and ids
+        hashed = None  # of the parts so far of the text whose parts are under way
+
+        def give(of):
+            nonlocal rows, some_a, some_b, hashed
+            n_a, n_b = (np.array([len(x) for x in some], np.int64) for some in (some_a, some_b))
+            n_links, n_groups, digests = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), [""] * len(rows)
+            links, held = np.empty(0, np.int64), np.flatnonzero(n_a)
+            if len(held):
+                links, n_links[held], n_groups[held], groups = _linked(np.concatenate(some_a), np.concatenate(some_b), n_a[held], n_b[held], both)
+                for i, g in zip(held.tolist(), groups, strict=True):
+                    _, _, part, parts = rows[i]
+                    if part == 0:
+                        hashed = hashlib.sha256(g)
+                    else:
+                        hashed.update(b";" + g)
+                    if part == parts - 1:
+                        digests[i] = hashed.hexdigest()
+            numbers, ids, _, parts = zip(*rows, strict=True)
+            cols = [pa.array(numbers, pa.int64()), pa.array(ids, of), pa.array(parts, pa.int32()), *(pa.array(n, pa.int32()) for n in (n_a, n_b, n_groups))]
+            rows, some_a, some_b = [], [], []
+            return pa.RecordBatch.from_arrays([*cols, _split(links, n_links), pa.array(digests, pa.string())], names)
+
         for batch in batches:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64(), pa.int32(), pa.int32()] * 2]
-            ids, held, out = [], 0, [[] for _ in names]
-
-            def give(ids, out, kinds=kinds, of=batch.schema.field("i").type):
-                cols = [pa.array(c, k) for c, k in zip(out[:3], kinds[:3], strict=True)] + [_lists(c, k) for c, k in zip(out[3:], kinds[3:], strict=True)]
-                return pa.RecordBatch.from_arrays([pa.array(ids, of), *cols], ["doc_id", *names])
-
-            for i, t in zip(batch.column("i"), batch.column("t"), strict=True):
-                doc, whole = i.as_py(), t.as_py()
-                a, b = both.encode(whole) if whole else (_NONE, _NONE)
-                a_size, b_size = both.a_len[a], both.b_len[b]
-                a_end, b_end = np.cumsum(a_size, dtype=np.int64), np.cumsum(b_size, dtype=np.int64)
-                cut = _parts(a_end, b_end) if len(a) else [(0, 0, 0, 0, 0, 0)]
-                for p, (base, _, ia, ja, ib, jb) in enumerate(cut):
-                    ids.append(doc)
-                    ea, eb = a_end[ia:ja] - base, b_end[ib:jb] - base
-                    row = (number, p, len(cut), packed(a[ia:ja], ea), ea.astype(np.int32), a_size[ia:ja], packed(b[ib:jb], eb), eb.astype(np.int32), b_size[ib:jb])
-                    for c, v in zip(out, row, strict=True):
-                        c.append(v)
+            of, held = batch.schema.field("i").type, 0
+            for doc, whole in zip(batch.column("i").to_pylist(), batch.column("t"), strict=True):
+                t = whole.as_py()
+                a, b = both.encode(t) if t else (_NONE, _NONE)
+                cut = [(0, 0, 0, len(a), 0, len(b))]
+                if len(a) and 4 * len(t) >= PART:
+                    cut = _parts(np.cumsum(both.a_len[a], dtype=np.int64), np.cumsum(both.b_len[b], dtype=np.int64))
+                for p, (_, _, ia, ja, ib, jb) in enumerate(cut):
+                    rows.append((number, doc, p, len(cut)))
+                    some_a.append(a[ia:ja])
+                    some_b.append(b[ib:jb])
                     held += ja - ia
-                    if held > 1 << 17:
-                        yield give(ids, out)
-                        ids, held, out = [], 0, [[] for _ in names]
+                    if held > TOKENS:
+                        yield give(of)
+                        held = 0
                 number += 1
-            yield give(ids, out)
+            if rows:
+                yield give(of)
 
-    schema = f"doc_id {kind}, row long, part int, parts int, a array<long>, a_end array<int>, a_size array<int>, b array<long>, b_end array<int>, b_size array<int>"
+    schema = f"row long, doc_id {kind}, parts int, n_a int, n_b int, n_groups int, links array<long>, digest string"
     return docs.select(F.col(id).alias("i"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
-def _by_byte(tokens_: Column, sizes: Column) -> Column:
-    """For each byte of a text the token that holds it."""
-    return F.flatten(F.zip_with(tokens_, sizes, lambda t, n: F.array_repeat(t, n)))
-
-
-_LOW = (1 << 32) - 1
-
-
-def _ids(on: Column, low: Column, high: Column) -> Column:
-    """The ids of the tokens that cover the bytes from `low` to `high`, `i,j` for two; mostly it is one."""
-    first = F.get(on, low)
-    ends = lambda e: F.get(on, e - 1).bitwiseAND(F.lit(_LOW)) == e.cast("long")
-    several = F.transform(F.filter(F.sequence(low + 1, high), ends), lambda e: F.shiftrightunsigned(F.get(on, e - 1), 32).cast("string"))
-    return F.when(first.bitwiseAND(F.lit(_LOW)) == high.cast("long"), F.shiftrightunsigned(first, 32).cast("string")).otherwise(F.array_join(several, ","))
-
-
-def linked(parts: DataFrame) -> DataFrame:
-    """`parts` of tokens() with n_a, n_b, n_groups, links (an id pair a * 2^32 + b for each) and `groups`, `a1,a2|b1;a3|b2,b3`."""
-    a, a_end, b, b_end, on_a, on_b, both = map(F.col, ("a", "a_end", "b", "b_end", "on_a", "on_b", "both"))
-    # Generated rows hold the arrays by byte as they are; a projection would make them anew for each element that looks into them.
-    made = (_by_byte(a, F.col("a_size")).alias("on_a"), _by_byte(b, F.col("b_size")).alias("on_b"), F.array_intersect(a_end, b_end).alias("both"))
-    rows = parts.select("row", "doc_id", "part", "parts", "a_end", "b_end", F.inline(F.array(F.struct(*made))))
-    pair = lambda e: F.get(on_a, e - 1).bitwiseAND(F.lit((1 << 63) - (1 << 32))).bitwiseOR(F.shiftrightunsigned(F.get(on_b, e - 1), 32))
-    before = F.slice(F.concat(F.array(F.lit(0)), both), F.lit(1), F.size(both))
-    groups = F.zip_with(before, both, lambda p, e: F.concat(_ids(on_a, p, e), F.lit("|"), _ids(on_b, p, e)))
-    return rows.select(
-        "row", "doc_id", "part", "parts", F.size(a_end).alias("n_a"), F.size(b_end).alias("n_b"), F.size(both).alias("n_groups"),
-        F.transform(F.array_union(a_end, b_end), pair).alias("links"), F.array_join(groups, ";").alias("groups"),
-    )
-
-
 def pair_counts(table: DataFrame) -> DataFrame:
     """(pair, n, best): in how many documents an id pair is linked, and whether no pair of its first id is in more.
 
@@ -296,10 +332,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text",
     id, null included. A text of any length is encoded in its task's memory and then goes by parts. Columns of `docs` but id and
     text are ignored; an empty table gives an empty one.
     """
-    digest = F.when(F.col("parts") == 1, F.when(F.size("links") > 0, F.sha2("groups", 256)).otherwise(""))
-    table = linked(tokens(docs, byte_path, piece_path, text, id))
-    table = table.select("row", "doc_id", "part", "parts", "n_a", "n_b", "n_groups", "links", digest.alias("digest"), F.when(F.col("parts") > 1, F.col("groups")).alias("groups"))
-    table = written(table, "links")
+    table = written(linked(docs, byte_path, piece_path, text, id), "links")
     counts = pair_counts(table)
     each = table.select("row", F.explode("links").alias("pair"))
     if counts.count() <= pairs:
@@ -308,13 +341,12 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text",
         rated = each.groupBy("row", "pair").agg(F.count("*").alias("times")).join(counts, "pair").select("row", (F.col("n") * F.col("times")).alias("n"), F.when(F.col("best"), F.col("times")).alias("best"))
     best = F.col("best").cast("long")
     sums = rated.groupBy("row").agg(F.sum(best).alias("n_best"), F.sum("n").alias("count_sum"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("part", "groups")))), lambda x: x["groups"]), ";")
     docs_ = table.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("parts").alias("parts"), F.max("digest").alias("digest"), whole.alias("whole"),
+        F.first("doc_id").alias("doc_id"), F.max("digest").alias("groups_sha256"),
         *(F.sum(c).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups")), F.sum(F.size("links")).cast("long").alias("n_links"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return docs_.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), F.when(F.col("parts") > 1, F.sha2("whole", 256)).otherwise(F.col("digest")).alias("groups_sha256"))
+    return docs_.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
 
 
 def op12_token_alignment(spark, sf_dir: str) -> DataFrame:

@@ -173,6 +173,26 @@ def test_alignment_of_a_long_text(spark):
     assert got[1][7] == hashlib.sha256(whole.encode()).hexdigest()
 
 
+def test_groups_and_links_are_made_in_arrays(spark):
+    """No function of an array's elements is left to the JVM, and what a long text's parts have goes on from batch to batch."""
+    text = " ".join(f"word{i % 89} Straße" for i in range(40_000))
+    docs = [(1, "word1 Straße"), (2, text), (3, None), (4, "word2 Straße")]
+    table = alignment.linked(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), *_paths())
+    assert "lambda" not in table._jdf.queryExecution().toString()
+    enc = alignment.encoders(*_paths())
+    a, b = enc.both(text)
+    assert len(a) > alignment.TOKENS
+    rows = sorted(map(tuple, table.select("doc_id", "parts", "n_a", "n_b", F.size("links"), "digest").collect()))
+    long_ = [r for r in rows if r[0] == 2]
+    assert len(long_) == long_[0][1] > 5
+    ends = [np.cumsum(n[x]) for x, n in ((a, enc.a_len), (b, enc.b_len))]
+    assert [sum(r[i] for r in long_) for i in (2, 3, 4)] == [len(a), len(b), len(np.union1d(*ends))]
+    shared = np.intersect1d(*ends)
+    groups = [",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in zip(*(np.split(i, np.searchsorted(e, shared, "right")[:-1]) for i, e in zip((a, b), ends, strict=True)), strict=True)]
+    assert [r[5] for r in long_ if r[5]] == [hashlib.sha256(";".join(groups).encode()).hexdigest()]
+    assert [r for r in rows if r[0] == 3] == [(3, 1, 0, 0, 0, "")]
+
+
 def test_words_encode_as_texts():
     enc = alignment.encoders(*_paths())
     rng = random.Random(1)
