@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import OrderedDict, defaultdict
 from functools import lru_cache
+from math import log, log1p
 
 import numpy as np
 import pandas as pd
@@ -94,6 +95,7 @@ class Keeper:
 
     DECAY = 1.08
     CHANCE = tuple(1 / int(1.08**n) for n in range(401))  # that a cell of this count loses one to another key
+    STAY = tuple(log1p(-p) if p < 1 else 0.0 for p in CHANCE)  # logarithm of the chance that it loses none
 
     def __init__(self, width: int = 1024, seed: int = 1):
         self.random = _draws(seed).__next__
@@ -116,9 +118,35 @@ class Keeper:
                     best = best or 1
         return best
 
+    def add_times(self, key: str, times: int) -> tuple[int, int]:
+        """`times` add()s in a row: which is the first to give a count, times + 1 if none is, and what the last gives.
+
+        From the first on, each gives one more than the one before. How many it takes until a cell loses one is drawn at once.
+        """
+        first, best = times + 1, 0
+        mark, one, two = _digests(key)
+        for cell in (self.cells[0][one % self.width], self.cells[1][two % self.width]):
+            n, left = cell[0], times
+            if n and cell[1] == mark:
+                cell[0] = n + times
+                first, best = 1, max(best, n + times)
+                continue
+            while True:
+                stay = self.STAY[n if n < 400 else 400]
+                left -= 1 + int(log(1 - self.random()) / stay) if stay else 1
+                if left < 0:
+                    cell[0] = n
+                    break
+                n -= 1
+                if n <= 0:
+                    cell[:] = [1 + left, mark]
+                    first, best = min(first, times - left), max(best, 1 + left)
+                    break
+        return first, best
+
 
 class Ranked:
-    """Keys in ascending order of counts, at most `capacity`; the first is the next to go. All steps take constant time.
+    """Keys in ascending order of counts, at most `capacity`; the first is the next to go. Steps of one take constant time.
 
     Ties are kept by place: a key whose count grows changes places with the last one of its old count, and a new key
     takes the place before all others, or of the one that goes.
@@ -145,19 +173,25 @@ class Ranked:
     def count(self, key: str) -> int:
         return self.counts[self.place[key]]
 
-    def grow(self, key: str) -> None:
+    def grow(self, key: str, by: int = 1) -> None:
+        """Add `by` to a key's count, as that many steps of one would."""
         p = self.place[key]
-        c = self.counts[p]
-        q = self.last[c]
-        other = self.keys[q]
-        self.keys[p], self.keys[q] = other, key
-        self.place[other], self.place[key] = p, q
-        self.counts[q] = c + 1
-        if q > self.low and self.counts[q - 1] == c:
-            self.last[c] = q - 1
-        else:
-            del self.last[c]
-        self.last.setdefault(c + 1, q)
+        c, want = self.counts[p], self.counts[p] + by
+        while True:
+            q = self.last[c]
+            other = self.keys[q]
+            self.keys[p], self.keys[q] = other, key
+            self.place[other], self.place[key] = p, q
+            up = min(want, self.counts[q + 1]) if q + 1 < self.capacity else want
+            self.counts[q] = up
+            if q > self.low and self.counts[q - 1] == c:
+                self.last[c] = q - 1
+            else:
+                del self.last[c]
+            self.last.setdefault(up, q)
+            if up == want:
+                return
+            p, c = q, up
 
     def enter(self, key: str, count: int) -> str | None:
         """Take in a new key; what goes for it. When full, `count` is the least one and 1."""
@@ -197,6 +231,23 @@ class TopQueries:
             return True, kept.enter(key, n)
         return False, None
 
+    def offer_times(self, key: str, times: int) -> int:
+        """`times` offers in a row: which of them admits the key; 0 if it was kept before, times + 1 if none does."""
+        first, last = self.counter.add_times(key, times)
+        kept, at = self.kept, 0
+        if key not in kept:
+            if kept.full():
+                n = kept.least() + 1
+                at = times - (last - n)
+                if not first <= at <= times or self.capacity <= 0:
+                    return times + 1
+            else:
+                at, n = 1, max(last - times + 1, 0)
+            kept.enter(key, n)
+        if last > kept.count(key):
+            kept.grow(key, last - kept.count(key))
+        return at
+
     def use(self, key: str) -> tuple[bool, str | None]:
         hit = key in self.kept
         return hit, self.offer(key)[1]

@@ -245,6 +245,63 @@ def test_walk_does_not_depend_on_batches(spark):
     assert few == {"a": 2, "ab": 2, "aba": 1, "abab": 1, "b": 2, "ba": 1, "bab": 1}
 
 
+def test_walk_counts_equal_substrings_at_once(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("etaoin shrdlu") for _ in range(1000)) for _ in range(100)]
+    asked, digests = [], cache._digests
+    monkeypatch.setattr(cache, "_digests", lambda key: asked.append(key) or digests(key))
+    kept = sketch.walk(texts, 50)
+    assert len(asked) < 40_000  # of 100,000 symbols, each counted with some longer substrings
+    assert all(kept[c] == sum(t.count(c) for t in texts) for c in "etaoin shrdlu")
+
+
+def test_sums_have_what_is_second_rate_in_each_task(spark):
+    c = spark.range(0, 2, 1, 2).select(F.col("id").alias("doc_id"), F.expr("repeat('a', 10) || repeat(if(id = 0, 'b', 'd'), 9) || repeat('c', 8)").alias("text"))
+    assert [(r["substr"], r["est_freq"]) for r in sketch.heavy_keeper(c, 2, 1).collect()] == [("a", 20), ("c", 16)]
+
+
+@pytest.mark.parametrize("first, piece, ahead, longest", [(1, 3, 1, None), (5, 7, 2, None), (256, 1 << 18, 3, None), (4, 50, 1, 6)])
+def test_walk_in_pieces_is_exact_while_nothing_is_short(monkeypatch, first, piece, ahead, longest):
+    for name, n in (("FIRST", first), ("PIECE", piece), ("AHEAD", ahead)):
+        monkeypatch.setattr(sketch, name, n)
+    rng = random.Random(first)
+    texts = ["".join(rng.choice(["a", "b", "\0", "𝄞", "é"]) for _ in range(n)) for n in (1, 30, 0, 2, 25, 25, 1)]
+    want = Counter(t[i : i + n] for t in texts for i in range(len(t)) for n in range(1, min(len(t) - i, longest or 99) + 1))
+    assert sketch.walk(texts, 5000, longest) == want
+
+
+def test_uses_in_a_row_equal_single_ones():
+    rng = random.Random(1)
+    for _ in range(300):
+        width, k = rng.choice([1, 2, 5, 40]), rng.randint(0, 6)
+        rows, single = (cache.TopQueries(k, cache.Keeper(width)) for _ in range(2))
+        for top in (rows, single):
+            top.counter.random = lambda: 0.0  # a cell of another key always loses one
+        for _ in range(40):
+            key, times = rng.choice("abcdefghijkl"), rng.choice([1, 1, 2, 3, 7, 30])
+            at = 0 if key in single.kept else times + 1
+            for i in range(times):
+                single.offer(key)
+                if at > times and key in single.kept:
+                    at = i + 1
+            assert rows.offer_times(key, times) == at
+            assert rows.kept.items() == single.kept.items() and rows.kept.last == single.kept.last and rows.counter.cells == single.counter.cells
+
+
+def test_cells_lose_as_often_when_draws_are_made_at_once():
+    lost = []
+    for seed in range(3000):
+        rows, single = cache.Keeper(1, seed), cache.Keeper(1, seed + 3000)
+        for keeper in (rows, single):
+            keeper.cells = [[[20, 7]], [[20, 7]]]
+        rows.add_times("x", 30)
+        for _ in range(30):
+            single.add("x")
+        lost.append((rows.cells[0][0][0], single.cells[0][0][0]))
+    own, other = (sum(x) / len(lost) for x in zip(*lost, strict=True))
+    assert abs(own - other) < 0.6, (own, other)
+
+
 def test_streaming_caches_equal_batch(spark, tmp_path):
     rows = [(s, i, random.Random(s * 100 + i).choice("abcd")) for s in range(3) for i in range(40)]
     df = spark.createDataFrame(rows, "stream_id long, seq long, pattern string")
